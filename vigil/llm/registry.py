@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, language, mixing, sharding, toxicity
 from .common import table
 
 
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": _on_documents(mixing.op2),
         "op5_shard_best_fit": _on_documents(sharding.op5),
+        "op8_language_profiles": _on_documents(language.op8),
+        "op9_toxicity_kneser_ney": lambda spark, d: toxicity.op9(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_decontaminate": lambda spark, d: decontaminate.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
