@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, sharding, toxicity
+from . import decontaminate, fixity, hamming, language, mixing, sharding, toxicity
 from .common import table
 
 
@@ -16,8 +16,10 @@ def _on_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merkle_fixity": lambda spark, d: fixity.op1(table(spark, d, "pages")),
         "op2_mix_sources": _on_documents(mixing.op2),
         "op5_shard_best_fit": _on_documents(sharding.op5),
+        "op7_hamming_top_k": lambda spark, d: hamming.op7(table(spark, d, "embeddings")),
         "op8_language_profiles": _on_documents(language.op8),
         "op9_toxicity_kneser_ney": lambda spark, d: toxicity.op9(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_decontaminate": lambda spark, d: decontaminate.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
@@ -25,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.SQL}
+    return {"op1_merkle_fixity": fixity.SQL, "op7_hamming_top_k": hamming.SQL, "op10_decontaminate": decontaminate.SQL}
