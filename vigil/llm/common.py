@@ -16,13 +16,19 @@ STEP_BYTES = 1 << 20
 SPACES = "[^\\x20\\x09-\\x0D]+"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; where none is set, that is in tests on one machine, our own."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "vigil-checkpoints"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the cluster's shared checkpoint folder, lineage cut."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        # only without a cluster setting, that is in tests on one machine
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "vigil-checkpoints"))
+    """`df` computed once and kept in the shared folder, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
