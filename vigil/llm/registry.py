@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fixity, hamming, language, mixing, near_duplicates, sharding, toxicity
+from . import chunking, decontaminate, fixity, hamming, language, mixing, near_duplicates, sharding, toxicity
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merkle_fixity": lambda spark, d: fixity.op1(table(spark, d, "pages")),
         "op2_mix_sources": _on_documents(mixing.op2),
+        "op3_content_chunks": _on_documents(chunking.op3),
         "op4_jaccard_join": _on_documents(near_duplicates.op4),
         "op5_shard_best_fit": _on_documents(sharding.op5),
         "op7_hamming_top_k": lambda spark, d: hamming.op7(table(spark, d, "embeddings")),
