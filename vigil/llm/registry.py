@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunking, decontaminate, fixity, hamming, language, mixing, near_duplicates, sharding, toxicity
+from . import chunking, decontaminate, fixity, hamming, language, mixing, near_duplicates, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_content_chunks": _on_documents(chunking.op3),
         "op4_jaccard_join": _on_documents(near_duplicates.op4),
         "op5_shard_best_fit": _on_documents(sharding.op5),
+        "op6_suffix_dedup": _on_documents(suffixes.op6),
         "op7_hamming_top_k": lambda spark, d: hamming.op7(table(spark, d, "embeddings")),
         "op8_language_profiles": _on_documents(language.op8),
         "op9_toxicity_kneser_ney": lambda spark, d: toxicity.op9(table(spark, d, "documents"), table(spark, d, "labels")),
