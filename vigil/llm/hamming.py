@@ -1,11 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the signs of a vector's components, cut into segments of about log2(codes) bits, each an index
-of its own. If two codes differ in no more than m * (r + 1) - 1 bits, at least one of their m segments
-differs in at most r bits. Rounds r = 0, 1, ... look up, for each unresolved query, the segment values at
-distance r exactly, verify the found codes' full distance, and resolve a query once its k-th distance is
-at most m * (r + 1) - 1: nothing closer can be left. A pair is taken only from the segment that finds it
-first, so none is counted twice.
+A code is the signs of a vector's components, cut into m segments of about log2(codes) - 2 bits, so that a
+segment value has a few codes, each an index of its own. Steps (r, j) in order look up, for each unresolved
+query, the values at distance r exactly in segment j, and verify the found codes' full distance. A pair
+that no step up to (r, j) has found differs in r + 1 bits or more in segments 0 to j and in r or more in the
+others, so in more than m * r + j: a query is resolved once its k-th distance is at most that. A pair is
+taken only from the step that finds it first, so none is counted twice.
 
 Equal codes are one index entry that keeps its k + 1 lowest ids: a higher id can't be among the k nearest,
 as ties go to the lower id. Equal queries are searched once. A query's own row is not its neighbour.
@@ -62,9 +62,8 @@ def _entries(coded: DataFrame, keep: int) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, distance) of the k nearest codes, ties to the lower id."""
-    spark = vectors.sparkSession
     n = vectors.count()
-    m = max(1, round(dims / max(4.0, min(16.0, log2(max(n, 2))))))
+    m = max(1, round(dims / max(4.0, min(16.0, log2(max(n, 2)) - 2))))
     cut = [dims * j // m for j in range(m + 1)]
     widths = [b - a for a, b in zip(cut, cut[1:], strict=False)]
     index = saved(_entries(codes(vectors, dims, m), k + 1))
@@ -72,19 +71,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = 64) -
     todo = saved(asked.select("segs").distinct())
     hashed = index.select("segs", "ids", F.posexplode("segs").alias("seg", "value"))
     found = None
-    for r in range(max(widths) + 1):
+    near = F.zip_with("query", "segs", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    steps = [(r, j) for r in range(max(widths) + 1) for j in range(m)]
+    # the first two radii are cheap and resolve few queries: one batch
+    batches = [steps[: 2 * m], *[[s] for s in steps[2 * m :]]]
+    for batch in batches:
         probes = None
-        for j, w in enumerate(widths):
-            if r > w:
+        for r, j in batch:
+            masks = [sum(1 << i for i in c) for c in combinations(range(widths[j]), r)]
+            if not masks:
                 continue
-            masks = [sum(1 << i for i in c) for c in combinations(range(w), r)]
-            one = todo.select(
-                F.col("segs").alias("query"), F.lit(j).alias("seg"),
-                F.explode(F.lit(masks)).alias("mask"),
-            ).select("query", "seg", F.col("mask").bitwiseXOR(F.col("query")[j]).alias("value"))
+            one = todo.select(F.col("segs").alias("query"), F.lit(r).alias("r"), F.lit(j).alias("seg"), F.explode(F.lit(masks)).alias("mask"))
+            one = one.select("query", "r", "seg", F.col("mask").bitwiseXOR(F.col("query")[j]).alias("value"))
             probes = one if probes is None else probes.unionByName(one)
-        near = F.zip_with("query", "segs", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        earlier = F.exists(F.transform(F.col("near"), lambda d, i: (d < r) | ((d == r) & (i < F.col("seg")))), lambda x: x)
+        if probes is None:
+            continue
+        r, j = batch[-1]
+        earlier = F.exists(F.transform("near", lambda d, i: (d < F.col("r")) | ((d == F.col("r")) & (i < F.col("seg")))), lambda x: x)
         pairs = (
             probes.join(hashed, ["seg", "value"])
             .withColumn("near", near)
@@ -101,7 +104,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = 64) -
             found.groupBy("query")
             .agg(F.sort_array(F.collect_list(F.struct("distance", F.size("ids").alias("n")))).alias("got"))
             # k + 1 ids within the covered radius: k remain without the query itself
-            .withColumn("n", F.aggregate(F.filter("got", lambda x: x["distance"] <= m * (r + 1) - 1), F.lit(0), lambda s, x: s + x["n"]))
+            .withColumn("n", F.aggregate(F.filter("got", lambda x: x["distance"] <= m * r + j), F.lit(0), lambda s, x: s + x["n"]))
             .filter(F.col("n") >= k + 1)
         )
         todo = saved(todo.join(sure.select(F.col("query").alias("segs")), "segs", "left_anti"))
