@@ -111,7 +111,7 @@ def canonical(c: Column) -> Column:
 
 def code_list(c: Column) -> Column:
     """The trimmed codes of a comma-separated list, blanks dropped."""
-    return F.filter(F.transform(F.split(F.upper(F.coalesce(c, F.lit(""))), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.upper(F.coalesce(c, F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def has_outcome(codes: Column, code: str) -> Column:

@@ -55,10 +55,11 @@ def write_narratives(parts: DataFrame, reports: DataFrame, path: str) -> None:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, rows, bytes, sha256) of each Parquet file below a path."""
-    name = F.regexp_replace("path", "^file:/+", "file:///")
+    # the two readers spell local paths with one slash or three
+    spelt = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
-    sums = files.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    rows = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    sums = files.select(spelt("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = spark.read.parquet(path).groupBy(spelt("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
     return sums.join(rows, "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 

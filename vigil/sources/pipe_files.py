@@ -161,7 +161,9 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.min_by("line", F.struct("block", "at")).alias("first"))
         .withColumnRenamed("file", "path")
     )
-    both = listed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")).join(first, "path", "left")
+    # the two readers spell local paths with one slash or three
+    spelt = lambda df: df.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    both = spelt(listed).join(spelt(first), "path", "left")
     name, line = F.lower(F.element_at(F.split("path", "/"), -1)), F.upper(F.coalesce("first", F.lit("")))
     piped = line.contains("|")
     columns = F.size(F.split(line, "\\|", -1))
