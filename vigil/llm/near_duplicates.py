@@ -7,7 +7,7 @@ Words are runs of anything but ASCII blanks; a text of one to four words has one
 2. Connected candidates form groups. A group is dealt into blocks of nodes and every pair of blocks is one
    tile, so a large group is spread over many tasks.
 3. In a tile, Bayesian pruning compares MinHash values 32 at a time and drops a pair when the posterior
-   probability (uniform prior) that its similarity reaches the threshold falls below 1e-6. What is left is
+   probability (uniform prior) that its similarity reaches the threshold falls below 1e-9. What is left is
    verified exactly on the shingle sets.
 4. A tile gives, instead of pairs, each node's number of linked documents and a spanning forest of its
    links; sums and connected components of these make the result. No link is lost, none is listed.
@@ -38,10 +38,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP = 32
-TOLERANCE = 1e-6
+TOLERANCE = 1e-9
 BLOCK = 128
 _NO_ID = -(2**63)
-_A, _B = mixed(HASHES, 401) | np.uint64(1), mixed(HASHES, 402)
+_A, _B = mixed(HASHES, 401) | np.uint64(1), mixed(HASHES, 402) | np.uint64(1)
 _Q = mixed(SHINGLE, 403) | np.uint64(1)
 
 
@@ -76,8 +76,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part, of = h[a : a + chunk], doc[a : a + chunk]
                 begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
                 least = np.empty((HASHES, len(begin)), dtype=np.uint32)
+                mixed_part, high = np.empty_like(part), np.empty_like(part)
                 for k in range(HASHES):
-                    least[k] = np.minimum.reduceat(((part * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), begin)
+                    # two multiplications with a shift between: one alone leaves the minima of different k dependent
+                    np.multiply(part, _A[k], out=mixed_part)
+                    np.right_shift(mixed_part, np.uint64(32), out=high)
+                    np.bitwise_xor(mixed_part, high, out=mixed_part)
+                    np.multiply(mixed_part, _B[k], out=mixed_part)
+                    np.right_shift(mixed_part, np.uint64(32), out=mixed_part)
+                    least[k] = np.minimum.reduceat(mixed_part, begin)
                 for i, d in enumerate(of[begin]):
                     one = least[:, i]
                     best[d] = np.minimum(best[d], one) if d in best else one
