@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_bytes, prefix_sums, span_hash
+from .common import fmix, mixed, n_bytes, powers, prefix_sums
 
 WINDOW = 50
 GRAM = 26
@@ -43,7 +43,7 @@ UNIT_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 STEP = 1 << 17
 _LAST = 2**63 - 1
-_TOP = np.uint64(2**64 - 1)
+_TOP = np.uint32(2**32 - 1)
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -66,8 +66,11 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = np.arange(n)
     stop = np.repeat(offsets[1:], np.diff(offsets))  # of each byte's document
     grams = n - GRAM + 1
-    x = np.full(n, _TOP, dtype=np.uint64)
-    x[:grams] = np.minimum(span_hash(prefix_sums(buf), at[:grams], at[:grams] + GRAM), _TOP - np.uint64(1))
+    sums = prefix_sums(buf)
+    h = (sums[GRAM:] - sums[:grams]) * powers(n)[1][:grams]
+    # the upper halves order the grams; the whole hashes tell them apart
+    x = np.full(n, _TOP, dtype=np.uint32)
+    x[:grams] = np.minimum(h >> np.uint64(32), _TOP - 1)
     x[at + GRAM > stop] = _TOP
     valid = at + WINDOW <= stop
     least = _sliding_least(x, REACH + 1)
@@ -78,9 +81,26 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends[-1] = valid[-1]
     ends[:-1] = valid[:-1] & (~valid[1:] | begins[1:])
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    # a least value below the one before has just come in at the window's end; else look for it
+    place = first + REACH
+    before = np.maximum(first - 1, 0)
+    search = np.flatnonzero((first == 0) | ~valid[before] | (least[first] >= least[before]))
+    some = first[search]
+    place[search] = some + np.argmax(x[some[:, None] + np.arange(REACH + 1)] == least[some][:, None], axis=1)
     # documents touch, but the last windows of one are not valid: no run crosses
-    place = first + np.argmax(x[first[:, None] + np.arange(REACH + 1)] == least[first][:, None], axis=1)
-    return np.searchsorted(offsets, first, side="right") - 1, place, x[place], first, last
+    return np.searchsorted(offsets, first, side="right") - 1, place, fmix(h[place]), first, last
+
+
+_WEIGHTS = mixed(16, 606) | np.uint64(1)
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    """64 bits that stand for each row of bytes (a multiple of 8 wide)."""
+    wide = np.ascontiguousarray(rows).view(np.uint64)
+    out = np.zeros(len(rows), dtype=np.uint64)
+    for i in range(wide.shape[1]):
+        out = (out ^ fmix(wide[:, i] + _WEIGHTS[i])) * _WEIGHTS[i]
+    return fmix(out)
 
 
 class Unit:
@@ -136,10 +156,16 @@ class Unit:
         made[:, :4] = (self.key[chosen] >> np.uint64(32)).astype(">u4").view(np.uint8).reshape(-1, 4)
         made[:, 4:-2] = np.where(inside, self.buf[np.clip(cols, 0, max(len(self.buf) - 1, 0))], 0) if len(chosen) else 0
         made[:, -2], made[:, -1] = place - last, place - first
-        rows, which = np.unique(made.view(np.dtype((np.void, made.shape[1]))).ravel(), return_inverse=True)
-        low = np.full(len(rows), _LAST, dtype=np.int64)
+        # rows by bucket, then by hash: equal rows become one
+        bucket, mark = made[:, :4].copy().view(">u4").ravel(), _row_hash(made)
+        order = np.lexsort((mark, bucket))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (mark[order[1:]] != mark[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])
+        which = np.empty(len(order), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        low = np.full(int(new.sum()), _LAST, dtype=np.int64)
         np.minimum.at(low, which, self.ids[self.doc[chosen]])
-        return rows.view(np.uint8).reshape(len(rows), -1), which, low
+        return made[order[new]], which, low
 
 
 def common_windows(strings: np.ndarray, near: np.ndarray, far: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -235,7 +261,14 @@ def dedup(docs: DataFrame) -> DataFrame:
         made = [np.frombuffer(x, dtype=np.uint8).reshape(-1, WIDTH + 2) for x in table["strings"].to_pylist()]
         ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table["low"].to_pylist()])
         whole = np.concatenate(made)
-        bits = common_windows(np.asfortranarray(whole[:, :-2]), whole[:, -2], whole[:, -1], ids)
+        # units send the same strings: each is compared once, with its lowest document
+        _, one, which = np.unique(_row_hash(np.pad(whole, ((0, 0), (4, 0)))), return_index=True, return_inverse=True)
+        low = np.full(len(one), _LAST, dtype=np.int64)
+        np.minimum.at(low, which, ids)
+        distinct = whole[one]
+        bits = common_windows(np.asfortranarray(distinct[:, :-2]), distinct[:, -2], distinct[:, -1], low)[which]
+        # a lower document with the same string has all of its windows
+        bits = np.where(low[which] < ids, np.uint32(0xFFFFFFFF), bits)
         out, begin = [], 0
         for x in made:
             out.append(bits[begin : begin + len(x)].tobytes())
