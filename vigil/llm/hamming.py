@@ -17,7 +17,6 @@ length than `dims` are an error; extra columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -68,31 +67,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = 64) -
     widths = [b - a for a, b in zip(cut, cut[1:], strict=False)]
     index = saved(_entries(codes(vectors, dims, m), k + 1))
     asked = saved(codes(queries, dims, m).distinct())
-    todo = saved(asked.select("segs").distinct())
+    # a query's bound is its (k + 1)-th distance so far: what lies beyond is not taken
+    todo = saved(asked.select("segs").distinct().withColumn("bound", F.lit(dims)))
     hashed = index.select("segs", "ids", F.posexplode("segs").alias("seg", "value"))
     found = None
     near = F.zip_with("query", "segs", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     steps = [(r, j) for r in range(max(widths) + 1) for j in range(m)]
     # the first two radii are cheap and resolve few queries: one batch
     batches = [steps[: 2 * m], *[[s] for s in steps[2 * m :]]]
+    # every value's distance from 0: at most 2**16 rows, the largest segment
+    masks = F.broadcast(vectors.sparkSession.range(1 << max(widths)).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("r")))
     for batch in batches:
-        probes = None
-        for r, j in batch:
-            masks = [sum(1 << i for i in c) for c in combinations(range(widths[j]), r)]
-            if not masks:
-                continue
-            one = todo.select(F.col("segs").alias("query"), F.lit(r).alias("r"), F.lit(j).alias("seg"), F.explode(F.lit(masks)).alias("mask"))
-            one = one.select("query", "r", "seg", F.col("mask").bitwiseXOR(F.col("query")[j]).alias("value"))
-            probes = one if probes is None else probes.unionByName(one)
-        if probes is None:
-            continue
         r, j = batch[-1]
+        if all(step[0] > widths[step[1]] for step in batch):
+            continue
+        each = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("seg"), F.lit(1 << widths[b]).alias("size")) for a, b in batch])).alias("step")
+        probes = (
+            todo.select(F.col("segs").alias("query"), "bound", each)
+            .select("query", "bound", "step.*")
+            .join(masks, "r")
+            .filter("mask < size")
+            .select("query", "bound", "r", "seg", F.col("mask").bitwiseXOR(F.element_at("query", F.col("seg") + 1)).alias("value"))
+        )
         earlier = F.exists(F.transform("near", lambda d, i: (d < F.col("r")) | ((d == F.col("r")) & (i < F.col("seg")))), lambda x: x)
+        distance = F.aggregate("near", F.lit(0), lambda s, v: s + v)
         pairs = (
             probes.join(hashed, ["seg", "value"])
             .withColumn("near", near)
-            .filter(~earlier)
-            .select("query", "ids", F.aggregate("near", F.lit(0), lambda s, v: s + v).alias("distance"))
+            .filter(~earlier & (distance <= F.col("bound")))
+            .select("query", "ids", distance.alias("distance"))
         )
         best = pairs if found is None else pairs.unionByName(found)
         # every entry has at least one id, so a query needs no more than k + 1 entries; the order by
@@ -100,14 +103,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, dims: int = 64) -
         order = W.partitionBy("query").orderBy("distance", F.col("ids")[0])
         best = best.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1).drop("at")
         found = saved(best)
-        sure = (
-            found.groupBy("query")
+        # the distance by which k + 1 ids are reached: k remain without the query itself
+        start = F.struct(F.lit(0).alias("n"), F.lit(dims).alias("d"))
+        reached = F.aggregate("got", start, lambda s, x: F.when(s["n"] > k, s).otherwise(F.struct((s["n"] + x["n"]).alias("n"), x["distance"].alias("d"))))
+        kth = (
+            found.groupBy(F.col("query").alias("segs"))
             .agg(F.sort_array(F.collect_list(F.struct("distance", F.size("ids").alias("n")))).alias("got"))
-            # k + 1 ids within the covered radius: k remain without the query itself
-            .withColumn("n", F.aggregate(F.filter("got", lambda x: x["distance"] <= m * r + j), F.lit(0), lambda s, x: s + x["n"]))
-            .filter(F.col("n") >= k + 1)
+            .select("segs", reached.alias("reached"))
+            .filter(F.col("reached.n") > k)
+            .select("segs", F.col("reached.d").alias("kth"))
         )
-        todo = saved(todo.join(sure.select(F.col("query").alias("segs")), "segs", "left_anti"))
+        bounds = todo.drop("bound").join(kth, "segs", "left").select("segs", F.coalesce("kth", F.lit(dims)).alias("bound"))
+        todo = saved(bounds.filter(F.col("bound") > m * r + j))
         if not todo.take(1):
             break
     ids = (
