@@ -29,7 +29,7 @@ def reports(spark, folder):
 def test_ragged_lines(spark, folder):
     rows = pf.read_pipe(spark, f"{folder}/mdrfoiThru2021.txt").collect()
     assert len(rows) == 5 and rows[0]["MDR_REPORT_KEY"] == "700001"
-    assert rows[-1]["PRODUCT_PROBLEM_FLAG"] == "" and rows[3]["MANUFACTURER_NAME"] == "acme medical"
+    assert rows[-1]["PRODUCT_PROBLEM_FLAG"] is None and rows[3]["MANUFACTURER_NAME"] == "acme medical"
     assert pf.surplus_lines(spark, f"{folder}/mdrfoiThru2021.txt").count() == 1
     # a tab is a delimiter too
     assert pf.read_pipe(spark, f"{folder}/device2019.txt").filter(f"{KEY} = '700004'").first()["DEVICE_EVENT_KEY"] == "13"

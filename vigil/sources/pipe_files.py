@@ -55,6 +55,11 @@ def fields(line: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.trim(F.coalesce(F.get(parts, i), F.lit(""))))
 
 
+def named(names: list[str]) -> list[Column]:
+    """The fields in column `f` as columns; a blank field is null."""
+    return [F.nullif(F.col("f")[i], F.lit("")).alias(name) for i, name in enumerate(names)]
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
     """The field names of a file's first filled line."""
     first = lines(spark, path).filter(F.trim("line") != "").select("line").first()
@@ -67,7 +72,7 @@ def read_pipe(spark: SparkSession, path: str, names: list[str] | None = None) ->
     rows = lines(spark, path).filter(F.trim("line") != "").withColumn("f", fields(F.col("line"), len(own)))
     if names is None:
         rows = rows.filter(F.col("f") != F.array(*[F.lit(x) for x in own]))
-    return rows.select(*[F.col("f")[i].alias(name) for i, name in enumerate(own)])
+    return rows.select(*named(own))
 
 
 def read_pipe_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -108,7 +113,7 @@ def read_narratives(spark: SparkSession, path: str) -> DataFrame:
     names = header(spark, path)
     rows = lines(spark, path).withColumn("line", F.regexp_replace("line", "\\r", "")).filter(F.trim("line") != "")
     whole = reassemble(rows, F.col("line").rlike("^[0-9]{4,12}\\|")).withColumn("f", fields(F.col("text"), len(names)))
-    return whole.select(*[F.col("f")[i].alias(name) for i, name in enumerate(names)])
+    return whole.select(*named(names))
 
 
 def read_problem_codes(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
 
-from vigil.sources.pipe_files import fields
+from vigil.sources.pipe_files import fields, named
 
 
 def load_new(spark: SparkSession, folder: str, names: list[str], out: str, checkpoint: str, glob: str = "*.txt") -> StreamingQuery:
@@ -16,7 +16,7 @@ def load_new(spark: SparkSession, folder: str, names: list[str], out: str, check
     line = F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), "\\t", "|")
     rows = raw.select(line.alias("line"), F.col("_metadata.file_path").alias("file")).filter(F.trim("line") != "")
     rows = rows.withColumn("f", fields(F.col("line"), len(names))).filter(F.col("f")[0] != names[0])
-    shaped = rows.select(*[F.col("f")[i].alias(n) for i, n in enumerate(names)], "file")
+    shaped = rows.select(*named(names), "file")
     return shaped.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
