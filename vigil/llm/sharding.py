@@ -4,7 +4,7 @@ A group is the set of documents with equal texts; it never splits. Packing runs
 no task holds all groups:
 
 1. Groups are dealt by digest into cells. In each cell, one pass over the groups by falling size puts
-   each into the open bundle with the tightest remaining room (a sorted tree of room sizes); bundles hold
+   each into the open bundle with the tightest remaining room (a balanced tree of rooms); bundles hold
    `total / (shards * BUNDLES)` bytes. A group larger than that is a bundle of its own.
 2. The bundles, at most `2 * shards * BUNDLES + MAX_CELLS` in number whatever the input, are packed the
    same way into shards; a bisection finds the smallest capacity at which the shards suffice.
@@ -19,7 +19,6 @@ gets a shard that is larger by that much; other columns than doc_id and text are
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -39,24 +38,61 @@ ROW_BYTES = 8
 
 
 class Room:
-    """Open bins by remaining room: a balanced order of (room, bin), searched for the tightest fit."""
+    """Open bins in a balanced search tree (a treap) by remaining room, for the tightest fit in log steps.
+
+    A node is (room, bin), priority, left, right; priorities are a fixed scramble of a counter, so that equal
+    inputs build equal trees.
+    """
 
     def __init__(self) -> None:
-        self.order: list[tuple[int, int]] = []
-        self.n = 0
+        self.tree: list | None = None
+        self.n = self.made = 0
 
     def put(self, size: int, capacity: int) -> int:
-        at = bisect_left(self.order, (size, -1))
-        if at == len(self.order):
+        below, fits = _split(self.tree, (size, -1))
+        if fits is None:
             room, name = max(capacity, size), self.n
             self.n += 1
         else:
-            room, name = self.order.pop(at)
-        if room - size > 0:
-            insort(self.order, (room - size, name))
+            (room, name), fits = _pop_least(fits)
+        self.tree = _merge(below, fits)
+        if room > size:
+            self.made += 1
+            low, high = _split(self.tree, (room - size, name))
+            node = [(room - size, name), self.made * 2654435761 % 4294967296, None, None]
+            self.tree = _merge(_merge(low, node), high)
         return name
 
 
+def _split(tree: list | None, key: tuple[int, int]) -> tuple[list | None, list | None]:
+    """The nodes below the key, and the others."""
+    if tree is None:
+        return None, None
+    if tree[0] < key:
+        tree[3], right = _split(tree[3], key)
+        return tree, right
+    left, tree[2] = _split(tree[2], key)
+    return left, tree
+
+
+def _merge(a: list | None, b: list | None) -> list | None:
+    """One tree of two, all of whose keys are in order."""
+    if a is None or b is None:
+        return b if a is None else a
+    if a[1] > b[1]:
+        a[3] = _merge(a[3], b)
+        return a
+    b[2] = _merge(a, b[2])
+    return b
+
+
+def _pop_least(tree: list) -> tuple[tuple[int, int], list | None]:
+    if tree[2] is None:
+        return tree[0], tree[3]
+    key, tree[2] = _pop_least(tree[2])
+    return key, tree
+
+
 def best_fit_decreasing(sizes: Iterable[int], capacity: int) -> list[int]:
     """The bin of each size; sizes fall. An item above the capacity gets a bin to itself."""
     room = Room()
