@@ -81,21 +81,36 @@ def bridge_of_lists(reports: DataFrame, column: str) -> DataFrame:
     return reports.select(KEY, F.explode(F.split(column, ",")).alias("PROBLEM_CODE")).transform(bridge)
 
 
-def compose(mdr: DataFrame, device: DataFrame, patient: DataFrame, narrative: DataFrame, device_problem: DataFrame, patient_problem: DataFrame) -> DataFrame:
-    """One wide row a report. All sides share the key, so each input is shuffled once."""
-    rows = (
-        mdr.join(first_device(device), KEY, "left")
-        .join(device_count(device), KEY, "left")
-        .join(patient_summary(patient), KEY, "left")
-        .join(narrative_summary(narrative), KEY, "left")
-        .join(problem_list(device_problem, "device_problem_codes"), KEY, "left")
-        .join(problem_list(patient_problem, "patient_problem_codes"), KEY, "left")
+#: The report columns that each input supplies; `compose` leaves out the inputs whose columns nobody asks for.
+FROM_DEVICE = {"BRAND_NAME", "GENERIC_NAME", "MODEL_NUMBER", "manufacturer", "product_code", "device_age_days", "device_age_text_raw", "implant_flag",
+               "device_operator", "device_evaluated_by_manufacturer", "reprocessed_and_reused"}
+FROM_PATIENT = {"patient_count", "age_years_min", "age_years_max", "age_years_avg", "sex_list", "any_serious_outcome", "outcome_codes_raw", "outcome_codes",
+                *[f"outcome_{x}" for x in enrich.OUTCOME_LABELS.values()]}
+FROM_NARRATIVE = {"IS_FORWARDED_803_22_B2", "HAS_REDACTION_B4", "HAS_REDACTION_B6", "has_narrative", "narr_part_count", "narrative_desc", "narrative_mfg"}
+
+
+def compose(mdr: DataFrame, device: DataFrame, patient: DataFrame, narrative: DataFrame, device_problem: DataFrame, patient_problem: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One wide row a report, or only the given columns of it. All sides share the key, so each input is
+    shuffled once. A left join on a unique key adds no row, which Spark can't know: a side is joined only if
+    one of its columns is wanted."""
+    rows = mdr
+    sides = (
+        (FROM_DEVICE, lambda: first_device(device)),
+        ({"device_count"}, lambda: device_count(device)),
+        (FROM_PATIENT, lambda: patient_summary(patient)),
+        (FROM_NARRATIVE, lambda: narrative_summary(narrative)),
+        ({"device_problem_codes"}, lambda: problem_list(device_problem, "device_problem_codes")),
+        ({"patient_problem_codes"}, lambda: problem_list(patient_problem, "patient_problem_codes")),
     )
+    for supplied, side in sides:
+        if not columns or supplied & set(columns):
+            rows = rows.join(side(), KEY, "left")
+    own = [KEY, "DATE_PREF", "report_year", *columns] if columns else []
     has = lambda name, kind="string": optional(rows, name, kind)
     lag = enrich.lag_raw(has("DATE_OF_EVENT_D", "date"), F.col("DATE_PREF"))
-    codes = enrich.code_list(F.col("outcome_codes_raw"))
+    codes = enrich.code_list(has("outcome_codes_raw"))
     supplement = has("SUPPLEMENT_NUMBER")
-    return rows.select(
+    wide = rows.select(
         KEY, has("REPORT_NUMBER").alias("REPORT_NUMBER"), has("EVENT_TYPE").alias("EVENT_TYPE"),
         has("DATE_RECEIVED_D", "date").alias("DATE_RECEIVED_D"), has("DATE_OF_EVENT_D", "date").alias("DATE_OF_EVENT_D"), "DATE_PREF",
         F.year("DATE_PREF").alias("report_year"), enrich.month(F.col("DATE_PREF")).alias("report_month"),
@@ -103,23 +118,24 @@ def compose(mdr: DataFrame, device: DataFrame, patient: DataFrame, narrative: Da
         has("SOURCE_TYPE").alias("SOURCE_TYPE"), has("REPORTER_OCCUPATION_CODE").alias("REPORTER_OCCUPATION_CODE"),
         enrich.canonical(has("REPORTER_COUNTRY_CODE")).alias("reporter_country_code"),
         F.coalesce(has("IS_RWD_SOURCED", "boolean"), F.lit(False)).alias("IS_RWD_SOURCED"),
-        "IS_FORWARDED_803_22_B2", "HAS_REDACTION_B4", "HAS_REDACTION_B6",
+        *[has(c, "boolean").alias(c) for c in ("IS_FORWARDED_803_22_B2", "HAS_REDACTION_B4", "HAS_REDACTION_B6")],
         enrich.yes(has("ADVERSE_EVENT_FLAG")).alias("adverse_event_flag"), enrich.yes(has("PRODUCT_PROBLEM_FLAG")).alias("product_problem_flag"),
         enrich.is_supplement(supplement).alias("is_supplement"), enrich.supplement_number(supplement).alias("supplement_number"),
         (~enrich.is_supplement(supplement)).alias("initial_report"),
         has("BRAND_NAME").alias("BRAND_NAME"), has("GENERIC_NAME").alias("GENERIC_NAME"), has("MODEL_NUMBER").alias("MODEL_NUMBER"),
         enrich.canonical(F.coalesce(has("MANUFACTURER_D_NAME"), has("MANUFACTURER_NAME"))).alias("manufacturer"),
-        enrich.canonical(has("DEVICE_REPORT_PRODUCT_CODE")).alias("product_code"), F.coalesce("device_count", F.lit(0)).alias("device_count"),
+        enrich.canonical(has("DEVICE_REPORT_PRODUCT_CODE")).alias("product_code"), F.coalesce(has("device_count", "int"), F.lit(0)).alias("device_count"),
         enrich.device_age_days(has("DEVICE_AGE_TEXT")).alias("device_age_days"), has("DEVICE_AGE_TEXT").alias("device_age_text_raw"),
         enrich.yes(has("IMPLANT_FLAG")).alias("implant_flag"), has("DEVICE_OPERATOR").alias("device_operator"),
         enrich.yes(has("DEVICE_EVALUATED_BY_MANUFACTURER")).alias("device_evaluated_by_manufacturer"), enrich.yes(has("REPROCESSED_AND_REUSED_FLAG")).alias("reprocessed_and_reused"),
-        F.coalesce("patient_count", F.lit(0)).alias("patient_count"), "age_years_min", "age_years_max", "age_years_avg", "sex_list",
+        F.coalesce(has("patient_count", "int"), F.lit(0)).alias("patient_count"), *[has(c, "double").alias(c) for c in ("age_years_min", "age_years_max", "age_years_avg")], has("sex_list").alias("sex_list"),
         *[enrich.has_outcome(codes, c).alias(f"outcome_{label}") for c, label in enrich.OUTCOME_LABELS.items()],
-        enrich.is_serious(codes).alias("any_serious_outcome"), "outcome_codes_raw", codes.alias("outcome_codes"),
-        "device_problem_codes", "patient_problem_codes",
-        (F.coalesce("narr_part_count", F.lit(0)) > 0).alias("has_narrative"), F.coalesce("narr_part_count", F.lit(0)).alias("narr_part_count"),
-        "narrative_desc", "narrative_mfg",
+        enrich.is_serious(codes).alias("any_serious_outcome"), has("outcome_codes_raw").alias("outcome_codes_raw"), codes.alias("outcome_codes"),
+        has("device_problem_codes").alias("device_problem_codes"), has("patient_problem_codes").alias("patient_problem_codes"),
+        (F.coalesce(has("narr_part_count", "int"), F.lit(0)) > 0).alias("has_narrative"), F.coalesce(has("narr_part_count", "int"), F.lit(0)).alias("narr_part_count"),
+        has("narrative_desc").alias("narrative_desc"), has("narrative_mfg").alias("narrative_mfg"),
     )
+    return wide.select(*dict.fromkeys(own)) if own else wide
 
 
 def refresh_patient_problems(reports: DataFrame, patient_problem: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

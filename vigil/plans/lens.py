@@ -101,6 +101,10 @@ class Lens:
     def reports(self) -> DataFrame:
         return build.compose(self.mdr, self.device, self.patient, self.narrative, self.device_problem, self.patient_problem)
 
+    def some(self, *columns: str) -> DataFrame:
+        """Reports with the key, date, year and these columns, composed from the inputs that supply them."""
+        return build.compose(self.mdr, self.device, self.patient, self.narrative, self.device_problem, self.patient_problem, columns)
+
     @cached_property
     def pairs(self) -> DataFrame:
         return build.bridge(self.device_problem)

@@ -132,18 +132,21 @@ SELECT {key}code, coalesce(term, code) AS term, a, b, c, d, {_FLAT} FROM measure
 
 @register("flagship_signal_screen", _screen_sql("product_code = 'BRAND#2'"))
 def flagship(x: Lens) -> DataFrame:
-    return an.flat_screen(an.screen(BRAND.of(x.reports), x.reports, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
+    rows = x.some("product_code")
+    return an.flat_screen(an.screen(BRAND.of(rows), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
 
 
 @register("signal_screen_all_products", _screen_sql("product_code IS NOT NULL", "product_code"))
 def screen_all(x: Lens) -> DataFrame:
-    reports = x.reports.filter("product_code is not null")
-    return an.flat_screen(an.screen(reports, x.reports, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM), by=("product_code",)), by=("product_code",))
+    rows = x.some("product_code")
+    reports = rows.filter("product_code is not null")
+    return an.flat_screen(an.screen(reports, rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM), by=("product_code",)), by=("product_code",))
 
 
 @register("signal_screen_p_values")
 def screen_p(x: Lens) -> DataFrame:
-    return an.signals(an.screen(BRAND.of(x.reports), x.reports, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
+    rows = x.some("product_code")
+    return an.signals(an.screen(BRAND.of(rows), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
 
 
 @register("signal_counts")
@@ -178,7 +181,7 @@ def problem_bridge(x: Lens) -> DataFrame:
 
 @register("problem_bridge_from_lists", """SELECT k AS "MDR_REPORT_KEY", code FROM pairs JOIN reports USING (k)""")
 def bridge_lists(x: Lens) -> DataFrame:
-    return build.bridge_of_lists(x.reports, "device_problem_codes")
+    return build.bridge_of_lists(x.some("device_problem_codes"), "device_problem_codes")
 
 
 @register("narrative_summary", """SELECT k AS "MDR_REPORT_KEY", parts AS narr_part_count, narrative_desc, narrative_mfg, fwd AS "IS_FORWARDED_803_22_B2", b4 AS "HAS_REDACTION_B4", b6 AS "HAS_REDACTION_B6" FROM narrative_agg""")
@@ -199,17 +202,17 @@ def compose(x: Lens) -> DataFrame:
 
 @register("rollup_yearly_events", """SELECT report_year, event_type AS "EVENT_TYPE", count(*) AS n, count(*) FILTER (WHERE is_rwd) AS n_rwd, count(*) FILTER (WHERE NOT is_supplement) AS n_initial, count(*) FILTER (WHERE is_supplement) AS n_supplement FROM reports GROUP BY ALL""")
 def r01(x: Lens) -> DataFrame:
-    return build.yearly_events(x.reports)
+    return build.yearly_events(x.some("EVENT_TYPE", "IS_RWD_SOURCED", "initial_report", "is_supplement"))
 
 
 @register("rollup_yearly_outcomes", """SELECT report_year, count(*) AS n, count(*) FILTER (WHERE o_death) AS n_death, count(*) FILTER (WHERE o_life) AS n_life_threatening, count(*) FILTER (WHERE o_hosp) AS n_hospitalization, count(*) FILTER (WHERE o_dis) AS n_disability, count(*) FILTER (WHERE o_cong) AS n_congenital_anomaly, count(*) FILTER (WHERE o_req) AS n_required_intervention, count(*) FILTER (WHERE o_other) AS n_other, count(*) FILTER (WHERE serious) AS n_serious FROM reports GROUP BY ALL""")
 def r02(x: Lens) -> DataFrame:
-    return build.yearly_outcomes(x.reports)
+    return build.yearly_outcomes(x.some(*an.OUTCOMES))
 
 
 def _dimension(column: str, own: str) -> None:
     sql = f"""SELECT {own} AS {column}, count(*) AS n, count(*) FILTER (WHERE event_type = 'D') AS deaths, count(*) FILTER (WHERE event_type = 'IN') AS injuries, count(*) FILTER (WHERE event_type = 'M') AS malfunctions, min(report_year) AS first_year, max(report_year) AS last_year FROM reports WHERE {own} IS NOT NULL GROUP BY ALL"""
-    register(f"rollup_{column}", sql)(lambda x: build.by_dimension(x.reports, column))
+    register(f"rollup_{column}", sql)(lambda x: build.by_dimension(x.some(column, "EVENT_TYPE"), column))
 
 
 for _column, _own in (("product_code", "product_code"), ("manufacturer", "manufacturer"), ("reporter_country_code", "country")):
@@ -228,12 +231,12 @@ def r07(x: Lens) -> DataFrame:
 
 @register("corpus_facts", f"""SELECT count(*) AS n, min(report_year) AS first_year, max(report_year) AS last_year, max(date_pref) AS vintage, count(*) FILTER (WHERE report_year >= {ELIGIBLE_FROM}) AS eligible, count(DISTINCT report_number) AS events, count(DISTINCT product_code) AS product_codes, count(DISTINCT manufacturer) AS manufacturers, count(*) FILTER (WHERE event_type = 'D') AS deaths, count(*) FILTER (WHERE serious) AS serious FROM reports""")
 def r08(x: Lens) -> DataFrame:
-    return build.corpus_facts(x.reports, ELIGIBLE_FROM)
+    return build.corpus_facts(x.some("REPORT_NUMBER", "product_code", "manufacturer", "EVENT_TYPE", "any_serious_outcome"), ELIGIBLE_FROM)
 
 
 @register("refresh_patient_problems", """SELECT k AS "MDR_REPORT_KEY", report_year, string_agg(DISTINCT CASE WHEN l_linestatus = 'F' THEN l_returnflag || l_linestatus END, ', ' ORDER BY CASE WHEN l_linestatus = 'F' THEN l_returnflag || l_linestatus END) AS patient_problem_codes FROM reports LEFT JOIN lineitem ON l_orderkey = k GROUP BY ALL""")
 def b10(x: Lens) -> DataFrame:
-    return build.refresh_patient_problems(x.reports, x.patient_problem.filter("PROBLEM_CODE like '%F'"))[0].select(KEY, "report_year", "patient_problem_codes")
+    return build.refresh_patient_problems(x.some("patient_problem_codes"), x.patient_problem.filter("PROBLEM_CODE like '%F'"))[0].select(KEY, "report_year", "patient_problem_codes")
 
 
 @register("orphan_narratives", """SELECT k AS "MDR_REPORT_KEY", turn AS "MDR_TEXT_KEY", kind AS "TEXT_TYPE_CODE", text AS "FOI_TEXT" FROM narrative WHERE k NOT IN (SELECT o_orderkey FROM orders)""")
@@ -257,27 +260,27 @@ for _name, (_cohort, _where) in _COHORTS.items():
 
 @register("corpus_landing", """SELECT report_year, measure, n FROM (SELECT report_year, count(*) AS reports, count(*) FILTER (WHERE event_type = 'D') AS deaths, count(*) FILTER (WHERE event_type = 'IN') AS injuries, count(*) FILTER (WHERE event_type = 'M') AS malfunctions FROM reports WHERE report_year IS NOT NULL GROUP BY 1) UNPIVOT (n FOR measure IN (reports, deaths, injuries, malfunctions))""")
 def a00(x: Lens) -> DataFrame:
-    return an.landing(x.reports)
+    return an.landing(x.some("EVENT_TYPE"))
 
 
 @register("cohort_kpis", f"""SELECT *, {_wilson("serious", "n")} FROM (SELECT count(*) AS n, count(DISTINCT report_number) AS events, count(*) FILTER (WHERE event_type = 'D') AS deaths, count(*) FILTER (WHERE event_type = 'IN') AS injuries, count(*) FILTER (WHERE event_type = 'M') AS malfunctions, count(*) FILTER (WHERE o_death) AS outcome_deaths, count(*) FILTER (WHERE serious) AS serious FROM reports WHERE product_code = 'BRAND#2')""")
 def a01(x: Lens) -> DataFrame:
-    return an.kpis(Cohort(product_code="brand#2").of(x.reports))
+    return an.kpis(Cohort(product_code="brand#2").of(x.some("REPORT_NUMBER", "EVENT_TYPE", "outcome_death", "any_serious_outcome", "product_code")))
 
 
 @register("cohort_reports", """SELECT k AS "MDR_REPORT_KEY", report_number AS "REPORT_NUMBER", date_pref AS "DATE_PREF", event_type AS "EVENT_TYPE", manufacturer, brand AS "BRAND_NAME", generic AS "GENERIC_NAME", generic AS "MODEL_NUMBER", product_code, device_count, patient_count, serious AS any_serious_outcome, outcomes AS outcome_codes_raw, implant AS implant_flag FROM reports ORDER BY date_pref DESC NULLS LAST, k LIMIT 500""")
 def a02(x: Lens) -> DataFrame:
-    return an.newest(x.reports, 500)
+    return an.newest(x.some(*an.LISTED), 500)
 
 
 @register("yearly_volume", """, v AS (SELECT report_year, count(*) AS reports FROM reports WHERE report_year IS NOT NULL GROUP BY 1) SELECT report_year, reports, coalesce(lead(reports) OVER w IS NULL AND count(*) OVER () >= 3 AND reports < 0.75 * lag(reports) OVER w, false) AS partial FROM v WINDOW w AS (ORDER BY report_year)""")
 def a03(x: Lens) -> DataFrame:
-    return an.yearly_volume(x.reports)
+    return an.yearly_volume(x.some("EVENT_TYPE"))
 
 
 @register("event_types", """SELECT report_year, event_type AS "EVENT_TYPE", count(*) AS reports, CASE event_type WHEN 'D' THEN 'Death' WHEN 'IN' THEN 'Injury' ELSE 'Malfunction' END AS event FROM reports GROUP BY ALL""")
 def a04(x: Lens) -> DataFrame:
-    return an.event_types(x.reports)
+    return an.event_types(x.some("EVENT_TYPE"))
 
 
 _OUTCOME_UNPIVOT = "UNPIVOT (k FOR outcome IN (outcome_death, outcome_life_threatening, outcome_hospitalization, outcome_disability, outcome_congenital_anomaly, outcome_required_intervention, outcome_other, any_serious_outcome))"
@@ -286,22 +289,22 @@ _OUTCOME_COUNTS = "count(*) AS n, count(*) FILTER (WHERE o_death) AS outcome_dea
 
 @register("outcome_rates", f"SELECT n, outcome, k, {_wilson('k', 'n')} FROM (SELECT {_OUTCOME_COUNTS} FROM reports) {_OUTCOME_UNPIVOT}")
 def a05(x: Lens) -> DataFrame:
-    return an.outcome_rates(x.reports)
+    return an.outcome_rates(x.some(*an.OUTCOMES))
 
 
 @register("outcome_rates_by_product", f"SELECT product_code, n, outcome, k, {_wilson('k', 'n')} FROM (SELECT product_code, {_OUTCOME_COUNTS} FROM reports GROUP BY 1) {_OUTCOME_UNPIVOT}")
 def a05_by(x: Lens) -> DataFrame:
-    return an.outcome_rates(x.reports, by=("product_code",))
+    return an.outcome_rates(x.some("product_code", *an.OUTCOMES), by=("product_code",))
 
 
 @register("age_histogram", "SELECT bin, count(*) AS n, bin * 5.0::DOUBLE AS bin_from FROM (SELECT CAST(least(floor(age_avg / 5), 21) AS INTEGER) AS bin FROM reports WHERE age_avg BETWEEN 0 AND 110) GROUP BY bin")
 def a06(x: Lens) -> DataFrame:
-    return an.ages(x.reports)
+    return an.ages(x.some("age_years_avg"))
 
 
 @register("sex_distribution", "SELECT sex, count(*) AS n FROM reports GROUP BY sex")
 def a06_sex(x: Lens) -> DataFrame:
-    return an.sexes(x.reports)
+    return an.sexes(x.some("sex_list"))
 
 
 _SPREAD = "count(*) AS n, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(quantile_cont(v, 0.9), 6) AS p90, round(avg(v), 6) AS mean"
@@ -309,33 +312,34 @@ _SPREAD = "count(*) AS n, round(quantile_cont(v, 0.25), 6) AS q25, round(quantil
 
 @register("device_age", f"SELECT {_SPREAD} FROM (SELECT device_age_days / 365.25 AS v FROM reports) WHERE v BETWEEN 0 AND 100")
 def a07(x: Lens) -> DataFrame:
-    return an.device_age(x.reports)
+    return an.device_age(x.some("device_age_days"))
 
 
 @register("device_age_cumulative", "SELECT round(value, 6) AS value, n, round(sum(n) OVER (ORDER BY value) * 100.0::DOUBLE / sum(n) OVER (), 6) AS cumulative FROM (SELECT device_age_days AS value, count(*) AS n FROM reports WHERE device_age_days BETWEEN 0 AND 36525 GROUP BY 1)")
 def a07_cumulative(x: Lens) -> DataFrame:
-    return an.cumulative(x.reports, F.col("device_age_days"), 0.0, 36525.0)
+    return an.cumulative(x.some("device_age_days"), F.col("device_age_days"), 0.0, 36525.0)
 
 
 @register("cohort_deaths", """, dead AS (SELECT * FROM reports WHERE event_type = 'D' OR o_death) SELECT k AS "MDR_REPORT_KEY", date_pref AS "DATE_PREF", manufacturer, brand AS "BRAND_NAME", generic AS "GENERIC_NAME", product_code, narrative_desc, (SELECT count(*) FROM dead) AS total FROM dead ORDER BY date_pref DESC NULLS LAST, k LIMIT 200""")
 def a08(x: Lens) -> DataFrame:
-    return an.deaths(x.reports, 200)
+    return an.deaths(x.some("EVENT_TYPE", "outcome_death", "manufacturer", "BRAND_NAME", "GENERIC_NAME", "product_code", "narrative_desc"), 200)
 
 
 @register("problem_top", "SELECT code, coalesce(term, code) AS term, n FROM (SELECT code, count(*) AS n FROM pairs JOIN reports USING (k) WHERE product_code = 'BRAND#2' GROUP BY 1) LEFT JOIN dictionary USING (code) ORDER BY n DESC, code LIMIT 20")
 def a09(x: Lens) -> DataFrame:
-    return an.top_problems(Cohort(product_code="Brand#2").of(x.reports), x.pairs, x.dictionary, 20)
+    return an.top_problems(Cohort(product_code="Brand#2").of(x.some("product_code")), x.pairs, x.dictionary, 20)
 
 
 @register("problem_top_by_term", "SELECT min(code) AS code, term, CAST(sum(n) AS BIGINT) AS n FROM (SELECT code, coalesce(term, code) AS term, n FROM (SELECT code, count(*) AS n FROM pairs JOIN reports USING (k) GROUP BY 1) LEFT JOIN dictionary USING (code)) GROUP BY term ORDER BY n DESC, code LIMIT 50")
 def a24(x: Lens) -> DataFrame:
-    return an.top_problems(x.reports, x.pairs, x.dictionary, 50, by_term=True)
+    return an.top_problems(x.some("EVENT_TYPE"), x.pairs, x.dictionary, 50, by_term=True)
 
 
+_STRATA_COLUMNS = {"sex": "sex_list", "age_band": "age_years_avg", "source": "SOURCE_TYPE", "country": "reporter_country_code", "occupation": "REPORTER_OCCUPATION_CODE", "implant": "implant_flag"}
 _STRATA_SQL = {"sex": "sex", "age_band": "age_band", "year": "CAST(report_year AS VARCHAR)", "source": "upper(trim(coalesce(source_type, 'Unknown')))", "country": "upper(trim(coalesce(country, 'Unknown')))", "occupation": "upper(trim(coalesce(occupation, 'UNK')))", "implant": "CASE WHEN implant THEN 'Implant' ELSE 'Not implant' END"}
 for _name, _expression in _STRATA_SQL.items():
     register(f"subgroup_rates_{_name}", f"SELECT subgroup, n, k, count(*) OVER () AS strata, {_wilson('k', 'n')}, n < 10 AS small FROM (SELECT {_expression} AS subgroup, count(*) AS n, count(*) FILTER (WHERE serious) AS k FROM reports GROUP BY 1) ORDER BY n DESC, subgroup NULLS LAST LIMIT 25")(
-        lambda x, s=_name: an.subgroup_rates(x.reports, s, "any_serious_outcome")
+        lambda x, s=_name: an.subgroup_rates(x.some(_STRATA_COLUMNS.get(s, "report_year"), "any_serious_outcome"), s, "any_serious_outcome")
     )
 
 
@@ -347,7 +351,7 @@ SELECT round(sum(CASE WHEN r * c > 0 THEN pow(o - r * c / n, 2) / (r * c / n) EN
 @register("subgroup_chi2", f""", strata AS (SELECT country AS subgroup, count(*) AS n, count(*) FILTER (WHERE serious) AS k FROM reports GROUP BY 1),
 cells AS (SELECT coalesce(subgroup, 'Unknown') AS subgroup, 'k' AS cell, CAST(k AS DOUBLE) AS o FROM strata UNION ALL SELECT coalesce(subgroup, 'Unknown'), 'rest', CAST(n - k AS DOUBLE) FROM strata), {_chi2_sql('subgroup', 'cell')}""")
 def a11_test(x: Lens) -> DataFrame:
-    return an.subgroup_test(x.reports, "country", "any_serious_outcome")
+    return an.subgroup_test(x.some("reporter_country_code", "any_serious_outcome"), "country", "any_serious_outcome")
 
 
 _YEARLY = ", v AS (SELECT report_year, count(*) AS n, count(*) FILTER (WHERE o_death) AS k FROM reports WHERE report_year IS NOT NULL GROUP BY 1)"
@@ -355,26 +359,26 @@ _YEARLY = ", v AS (SELECT report_year, count(*) AS n, count(*) FILTER (WHERE o_d
 
 @register("yearly_target", _YEARLY + " SELECT report_year, n, k, round(100.0::DOUBLE * k / n, 6) AS rate FROM v")
 def a12(x: Lens) -> DataFrame:
-    return an.yearly_target(x.reports, F.col("outcome_death"))
+    return an.yearly_target(x.some("outcome_death"), F.col("outcome_death"))
 
 
 @register("trend_cochran_armitage", _YEARLY + """, m AS (SELECT min(report_year) AS y0 FROM v), s AS (SELECT count(*) AS groups, CAST(sum(n) AS DOUBLE) AS nn, CAST(sum(k) AS DOUBLE) AS r, CAST(sum((report_year - y0) * n) AS DOUBLE) AS sn, CAST(sum((report_year - y0) * k) AS DOUBLE) AS sr, CAST(sum((report_year - y0) * (report_year - y0) * n) AS DOUBLE) AS ssn FROM v, m),
 z AS (SELECT groups, (sr - r / nn * sn) / sqrt(r / nn * (1 - r / nn) * (ssn - sn * sn / nn)) AS z FROM s)
 SELECT groups, round(z, 6) AS z, CASE WHEN z > 0 THEN 'increasing' WHEN z < 0 THEN 'decreasing' ELSE 'no trend' END AS direction FROM z""")
 def a12_ca(x: Lens) -> DataFrame:
-    return an.trend(x.reports, F.col("outcome_death"))[0]
+    return an.trend(x.some("outcome_death"), F.col("outcome_death"))[0]
 
 
 @register("trend_mann_kendall", _YEARLY + """, s AS (SELECT CAST(sum(sign(b.k - a.k)) AS BIGINT) AS s FROM v a JOIN v b ON a.report_year < b.report_year), t AS (SELECT CAST(sum(t) AS BIGINT) AS n, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT k, count(*) AS t FROM v GROUP BY k)),
 w AS (SELECT n, s, CAST((n * (n - 1) * (2 * n + 5) - ties) / 18.0 AS DOUBLE) AS variance FROM s, t)
 SELECT n, s AS "S", round(variance, 6) AS variance, round((s - sign(s)) / sqrt(variance), 6) AS z, round(s / (n * (n - 1) / 2.0::DOUBLE), 6) AS tau, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'no trend' END AS direction FROM w""")
 def a12_mk(x: Lens) -> DataFrame:
-    return an.trend(x.reports, F.col("outcome_death"))[1]
+    return an.trend(x.some("outcome_death"), F.col("outcome_death"))[1]
 
 
 @register("trend_p_values")
 def a12_p(x: Lens) -> DataFrame:
-    ca, mk = an.trend(x.reports, F.col("outcome_death"))
+    ca, mk = an.trend(x.some("outcome_death"), F.col("outcome_death"))
     rows = ca.select(F.lit("cochran-armitage").alias("test"), "z").unionByName(mk.select(F.lit("mann-kendall").alias("test"), "z"))
     return rows.withColumn("p", tails.normal_p("z"))
 
@@ -385,17 +389,20 @@ _EARLY, _LATE = Cohort(year_hi=1997), Cohort(year_lo=1998)
 @register("compare_cohorts", """SELECT cohort, n, deaths, injuries, malfunctions, round(100.0::DOUBLE * deaths / n, 6) AS deaths_pct, round(100.0::DOUBLE * injuries / n, 6) AS injuries_pct, round(100.0::DOUBLE * malfunctions / n, 6) AS malfunctions_pct
 FROM (SELECT CASE WHEN report_year <= 1997 THEN 'A' ELSE 'B' END AS cohort, count(*) AS n, count(*) FILTER (WHERE event_type = 'D') AS deaths, count(*) FILTER (WHERE event_type = 'IN') AS injuries, count(*) FILTER (WHERE event_type = 'M') AS malfunctions FROM reports GROUP BY 1)""")
 def a13(x: Lens) -> DataFrame:
-    return an.compared(_EARLY.of(x.reports), _LATE.of(x.reports))
+    rows = x.some("EVENT_TYPE")
+    return an.compared(_EARLY.of(rows), _LATE.of(rows))
 
 
 @register("compare_cohorts_chi2", f", cells AS (SELECT CASE WHEN report_year <= 1997 THEN 'A' ELSE 'B' END AS cohort, event_type, CAST(count(*) AS DOUBLE) AS o FROM reports GROUP BY 1, 2), {_chi2_sql('event_type', 'cohort')}")
 def a13_test(x: Lens) -> DataFrame:
-    return an.comparison_test(_EARLY.of(x.reports), _LATE.of(x.reports))
+    rows = x.some("EVENT_TYPE")
+    return an.comparison_test(_EARLY.of(rows), _LATE.of(rows))
 
 
 @register("compare_cohorts_p")
 def a13_p(x: Lens) -> DataFrame:
-    return an.comparison_test(_EARLY.of(x.reports), _LATE.of(x.reports)).withColumn("p", tails.chi_square_p("chi2", "df"))
+    rows = x.some("EVENT_TYPE")
+    return an.comparison_test(_EARLY.of(rows), _LATE.of(rows)).withColumn("p", tails.chi_square_p("chi2", "df"))
 
 
 @register("sensitivity", f""", t AS (SELECT *, coalesce(fwd, false) AS f FROM reports), rows AS (
@@ -403,25 +410,25 @@ def a13_p(x: Lens) -> DataFrame:
   UNION ALL SELECT '5 conservative', * FROM t WHERE NOT f AND NOT is_rwd AND NOT is_supplement)
 SELECT *, {_wilson('serious', 'n')}, round(CAST(n AS DOUBLE) / (SELECT count(*) FROM reports), 6) AS retained FROM (SELECT scenario, count(*) AS n, count(*) FILTER (WHERE event_type = 'D') AS deaths, count(*) FILTER (WHERE serious) AS serious FROM rows GROUP BY 1)""")
 def a14(x: Lens) -> DataFrame:
-    return an.sensitivity(x.reports)
+    return an.sensitivity(x.some("EVENT_TYPE", "any_serious_outcome", "IS_FORWARDED_803_22_B2", "IS_RWD_SOURCED", "initial_report"))
 
 
 @register("reporter_mix", """, ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, code) AS rank FROM (SELECT coalesce(nullif(trim(occupation), ''), 'UNK') AS code, count(*) AS n FROM reports GROUP BY 1))
 SELECT CASE WHEN rank <= 3 THEN code ELSE 'All other' END AS code, CAST(sum(n) AS BIGINT) AS n, count(*) AS codes, upper(CASE WHEN rank <= 3 THEN code ELSE 'All other' END) AS occupation FROM ranked GROUP BY ALL""")
 def a15(x: Lens) -> DataFrame:
-    return an.reporters(x.reports, 3)
+    return an.reporters(x.some("REPORTER_OCCUPATION_CODE"), 3)
 
 
 @register("source_mix", """SELECT code, count(*) AS n, CASE code WHEN 'M' THEN 'Manufacturer' WHEN 'U' THEN 'User facility' WHEN 'D' THEN 'Distributor' WHEN 'I' THEN 'Importer' WHEN 'V' THEN 'Voluntary' WHEN 'P' THEN 'Patient' WHEN 'C' THEN 'Consumer' ELSE code END AS source
 FROM (SELECT unnest(string_split(upper(source_type), ',')) AS code FROM reports) GROUP BY code ORDER BY n DESC, code LIMIT 15""")
 def a15_source(x: Lens) -> DataFrame:
-    return an.sources(x.reports)
+    return an.sources(x.some("SOURCE_TYPE"))
 
 
 @register("geography", "SELECT country, count(*) AS n, round(log10(count(*) + 1), 6) AS log_n, any_value(r_name) AS region FROM reports LEFT JOIN nation ON upper(n_name) = country LEFT JOIN region ON n_regionkey = r_regionkey WHERE country IS NOT NULL GROUP BY country")
 def a16(x: Lens) -> DataFrame:
     countries = x.table("nation").join(x.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.upper("n_name").alias("country"), F.col("r_name").alias("region"))
-    return an.geography(x.reports, countries)
+    return an.geography(x.some("reporter_country_code"), countries)
 
 
 _MAKERS = ", m AS (SELECT manufacturer, n, n * 100.0::DOUBLE / sum(n) OVER () AS share_pct FROM (SELECT manufacturer, count(*) AS n FROM reports WHERE manufacturer IS NOT NULL GROUP BY 1))"
@@ -429,22 +436,22 @@ _MAKERS = ", m AS (SELECT manufacturer, n, n * 100.0::DOUBLE / sum(n) OVER () AS
 
 @register("manufacturers", _MAKERS + " SELECT manufacturer, n, round(share_pct, 6) AS share_pct FROM m")
 def a17(x: Lens) -> DataFrame:
-    return an.manufacturers(x.reports)
+    return an.manufacturers(x.some("manufacturer"))
 
 
 @register("manufacturer_hhi", _MAKERS + " SELECT count(*) AS names, round(max(share_pct), 6) AS top_share, round(sum(share_pct * share_pct), 6) AS hhi, CASE WHEN sum(share_pct * share_pct) > 2500 THEN 'high' WHEN sum(share_pct * share_pct) > 1500 THEN 'moderate' ELSE 'low' END AS class FROM m")
 def a17_hhi(x: Lens) -> DataFrame:
-    return an.concentration(x.reports)
+    return an.concentration(x.some("manufacturer"))
 
 
 @register("reporting_lag", f"SELECT {_SPREAD}, (SELECT count(*) FROM reports WHERE lag_raw < 0) AS negative FROM (SELECT CAST(lag_raw AS DOUBLE) AS v FROM reports) WHERE v BETWEEN 0 AND 3650")
 def a18(x: Lens) -> DataFrame:
-    return an.reporting_lag(x.reports)
+    return an.reporting_lag(x.some("lag_days_raw"))
 
 
 @register("lag_lower_rank_p90", ", v AS (SELECT CAST(lag_raw AS DOUBLE) AS v FROM reports WHERE lag_raw BETWEEN 0 AND 3650) SELECT v AS p90 FROM v ORDER BY v OFFSET (SELECT CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) FROM v) LIMIT 1")
 def t19(x: Lens) -> DataFrame:
-    rows = x.reports.filter("lag_days_raw between 0 and 3650").select(F.col("lag_days_raw").cast("double").alias("p90"))
+    rows = x.some("lag_days_raw").filter("lag_days_raw between 0 and 3650").select(F.col("lag_days_raw").cast("double").alias("p90"))
     return stats.lower_rank(rows, "p90", 0.9)
 
 
@@ -471,7 +478,7 @@ def n05(x: Lens) -> DataFrame:
 
 @register("narrative_parts", """SELECT k AS "MDR_REPORT_KEY", turn AS "MDR_TEXT_KEY", kind AS "TEXT_TYPE_CODE", text AS "FOI_TEXT" FROM narrative WHERE kind = 'D' AND k IN (SELECT k FROM reports WHERE serious) ORDER BY k, turn LIMIT 100""")
 def a20(x: Lens) -> DataFrame:
-    return an.narratives(x.reports.filter("any_serious_outcome"), x.narrative, ("D",), 100)
+    return an.narratives(x.some("any_serious_outcome").filter("any_serious_outcome"), x.narrative, ("D",), 100)
 
 
 def _rate(c: str) -> str:
@@ -485,12 +492,12 @@ _FIELDS = {"REPORT_NUMBER": "report_number <> ''", "EVENT_TYPE": "event_type <>
 
 @register("data_quality", " UNION ALL ".join(f"SELECT '{f}' AS field, {_rate(c)} AS rate, '{'flag' if f in an.FLAGS else 'completeness'}' AS kind, {f == 'product_code'} AND {_rate(c)} < 95 AS low FROM reports" for f, c in _FIELDS.items()))
 def a21(x: Lens) -> DataFrame:
-    return an.data_quality(x.reports)
+    return an.data_quality(x.some(*an.COMPLETENESS, *an.FLAGS))
 
 
 @register("methods", f"""SELECT count(*) AS n, count(*) FILTER (WHERE report_year >= {ELIGIBLE_FROM}) AS eligible, min(date_pref) AS "first", max(date_pref) AS "last" FROM reports WHERE product_code = 'BRAND#2' AND report_year >= {ELIGIBLE_FROM}""")
 def a22(x: Lens) -> DataFrame:
-    return an.methods(x.reports, BRAND, eligible(ELIGIBLE_FROM)).drop("criteria", "paragraph")
+    return an.methods(x.some("product_code"), BRAND, eligible(ELIGIBLE_FROM)).drop("criteria", "paragraph")
 
 
 _DIFFERENCE = """, s AS (SELECT country, CAST(count(*) FILTER (WHERE implant) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE implant AND serious) AS DOUBLE) AS a1, CAST(count(*) FILTER (WHERE NOT implant) AS DOUBLE) AS n2, CAST(count(*) FILTER (WHERE NOT implant AND serious) AS DOUBLE) AS a2 FROM reports WHERE country IS NOT NULL GROUP BY 1),
@@ -502,7 +509,7 @@ c AS (SELECT *, CASE WHEN a1 = 0 THEN 0 ELSE greatest(0, m1 - h1) END AS l1, CAS
 
 def _two_groups(x: Lens) -> DataFrame:
     serious = F.col("any_serious_outcome")
-    return x.reports.filter("reporter_country_code is not null").groupBy(F.col("reporter_country_code").alias("country")).agg(
+    return x.some("reporter_country_code", "implant_flag", "any_serious_outcome").filter("reporter_country_code is not null").groupBy(F.col("reporter_country_code").alias("country")).agg(
         F.count_if("implant_flag").alias("n1"), F.count_if(F.col("implant_flag") & serious).alias("a1"),
         F.count_if(~F.col("implant_flag")).alias("n2"), F.count_if(~F.col("implant_flag") & serious).alias("a2"),
     )
@@ -521,7 +528,7 @@ def t07(x: Lens) -> DataFrame:
 @register("false_discovery", """, t AS (SELECT country, count(*) AS n, CAST(count(*) FILTER (WHERE serious) AS DOUBLE) / count(*) AS p FROM reports WHERE country IS NOT NULL GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p) AS rank, count(*) OVER () AS m FROM t)
 SELECT country, n, round(p, 6) AS p, round(least(1, min(p * m / rank) OVER (ORDER BY rank DESC)), 6) AS q FROM r""")
 def t09(x: Lens) -> DataFrame:
-    rows = x.reports.filter("reporter_country_code is not null").groupBy(F.col("reporter_country_code").alias("country")).agg(F.count("*").alias("n"), F.avg(F.col("any_serious_outcome").cast("double")).alias("p"))
+    rows = x.some("reporter_country_code", "any_serious_outcome").filter("reporter_country_code is not null").groupBy(F.col("reporter_country_code").alias("country")).agg(F.count("*").alias("n"), F.avg(F.col("any_serious_outcome").cast("double")).alias("p"))
     return stats.benjamini_hochberg(rows, "p")
 
 
@@ -532,7 +539,7 @@ l AS (SELECT *, base - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i
 SELECT country, a, b, c, d, round(least(1.0, sum(CASE WHEN lp <= seen + 1e-9 THEN exp(lp) ELSE 0 END)), 6) AS p FROM l GROUP BY ALL""")
 def t05(x: Lens) -> DataFrame:
     implant, hit = F.col("implant_flag"), F.col("outcome_congenital_anomaly")
-    rows = Cohort(product_code="Brand#2").of(x.reports).filter("reporter_country_code is not null").groupBy(F.col("reporter_country_code").alias("country")).agg(
+    rows = Cohort(product_code="Brand#2").of(x.some("product_code", "reporter_country_code", "implant_flag", "outcome_congenital_anomaly")).filter("reporter_country_code is not null").groupBy(F.col("reporter_country_code").alias("country")).agg(
         F.count_if(implant & hit).alias("a"), F.count_if(implant & ~hit).alias("b"), F.count_if(~implant & hit).alias("c"), F.count_if(~implant & ~hit).alias("d")
     )
     return rows.withColumn("p", tails.fisher_p(*[F.col(c) for c in "abcd"])).filter("p is not null")
@@ -549,14 +556,14 @@ ix AS (SELECT s.*, names, brands, coalesce(names[1], brands[1], product_code) AS
 
 @register("product_index", _INDEX + "SELECT product_code, n, deaths, serious, y0, y1, array_to_string(names, '; ') AS names, array_to_string(brands, '; ') AS brands, label FROM ix")
 def x01(x: Lens) -> DataFrame:
-    rows = search.product_index(x.reports, ELIGIBLE_FROM)
+    rows = search.product_index(x.some("product_code", "GENERIC_NAME", "BRAND_NAME", "EVENT_TYPE", "any_serious_outcome"), ELIGIBLE_FROM)
     return rows.withColumns({c: F.array_join(c, "; ") for c in ("names", "brands")})
 
 
 @register("product_search", _INDEX + """, t AS (SELECT *, list_max(list_transform(list_concat([label], names, brands), lambda s: CASE WHEN lower(s) = 'st' THEN 300.0 WHEN starts_with(lower(s), 'st') THEN 250.0 WHEN contains(' ' || regexp_replace(lower(s), '[^a-z0-9_]+', ' ', 'g'), ' st') THEN 200.0 WHEN contains(lower(s), 'st') THEN 150.0 ELSE 0.0 END)) AS best FROM ix)
 SELECT product_code, n, round(CAST(best + log10(n + 1.0) * 25 AS DOUBLE), 6) AS score FROM t WHERE best > 0 ORDER BY best + log10(n + 1.0) * 25 DESC, product_code LIMIT 10""")
 def x03(x: Lens) -> DataFrame:
-    return search.product_search(search.product_index(x.reports, ELIGIBLE_FROM), "st").select("product_code", "n", "score")
+    return search.product_search(search.product_index(x.some("product_code", "GENERIC_NAME", "BRAND_NAME", "EVENT_TYPE", "any_serious_outcome"), ELIGIBLE_FROM), "st").select("product_code", "n", "score")
 
 
 _MAKER_INDEX = """, mi AS (SELECT manufacturer, count(*) AS n, count(*) FILTER (WHERE event_type = 'D') AS deaths, min(report_year) AS y0, max(report_year) AS y1 FROM reports WHERE manufacturer <> '' AND report_year >= 1996 GROUP BY 1 ORDER BY n DESC, manufacturer LIMIT 4000)"""
@@ -564,12 +571,12 @@ _MAKER_INDEX = """, mi AS (SELECT manufacturer, count(*) AS n, count(*) FILTER (
 
 @register("manufacturer_index", _MAKER_INDEX + " SELECT * FROM mi")
 def x02(x: Lens) -> DataFrame:
-    return search.manufacturer_index(x.reports, ELIGIBLE_FROM)
+    return search.manufacturer_index(x.some("manufacturer", "EVENT_TYPE"), ELIGIBLE_FROM)
 
 
 @register("manufacturer_search", _MAKER_INDEX + " SELECT * FROM mi WHERE contains(lower(manufacturer), '1') ORDER BY starts_with(lower(manufacturer), '1') DESC, n DESC, manufacturer LIMIT 10")
 def x04(x: Lens) -> DataFrame:
-    return search.manufacturer_search(search.manufacturer_index(x.reports, ELIGIBLE_FROM), "1")
+    return search.manufacturer_search(search.manufacturer_index(x.some("manufacturer", "EVENT_TYPE"), ELIGIBLE_FROM), "1")
 
 
 @register("check_orphans", """SELECT 'orphans' AS "check", CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS INTEGER) AS severity, CAST(count(*) AS DOUBLE) AS metric, name AS detail FROM (
@@ -582,19 +589,19 @@ def q02(x: Lens) -> DataFrame:
 @register("check_year_volume", """, v AS (SELECT report_year, count(*) AS n FROM reports GROUP BY 1), t AS (SELECT quantile_cont(n, 0.5) AS median, count(*) AS years FROM v)
 SELECT 'year_volume' AS "check", CAST(CASE WHEN years > 2 AND n < 0.1 * median THEN 1 ELSE 0 END AS INTEGER) AS severity, CAST(n AS DOUBLE) AS metric, CAST(report_year AS VARCHAR) AS detail FROM v, t""")
 def q08(x: Lens) -> DataFrame:
-    return checks.year_volume(x.reports)
+    return checks.year_volume(x.some("EVENT_TYPE"))
 
 
 @register("check_dates", """SELECT 'dated' AS "check", CAST(CASE WHEN s >= 95 THEN 0 WHEN s >= 70 THEN 1 ELSE 2 END AS INTEGER) AS severity, s AS metric, 'percent of reports' AS detail FROM (SELECT count(date_pref) * 100.0::DOUBLE / count(*) AS s FROM reports)
 UNION ALL SELECT 'date_range', CAST(count(*) FILTER (WHERE year(date_pref) NOT BETWEEN 1990 AND 2030) > 0 AS INTEGER), CAST(count(*) FILTER (WHERE year(date_pref) NOT BETWEEN 1990 AND 2030) AS DOUBLE), 'outside 1990-2030' FROM reports""")
 def q03(x: Lens) -> DataFrame:
-    return checks.dates(x.reports)
+    return checks.dates(x.some("EVENT_TYPE"))
 
 
 @register("check_event_types", """SELECT 'event_type' AS "check", CAST(CASE WHEN count(o_orderkey) > 0 THEN 0 ELSE 1 END AS INTEGER) AS severity, CAST(count(o_orderkey) AS DOUBLE) AS metric, t AS detail
 FROM (VALUES ('D', 'F'), ('IN', 'O'), ('M', 'P')) v(t, s) LEFT JOIN orders ON o_orderstatus = s GROUP BY t""")
 def q07(x: Lens) -> DataFrame:
-    return checks.event_types(x.reports)
+    return checks.event_types(x.some("EVENT_TYPE"))
 
 
 def _all_checks(x: Lens) -> DataFrame:
@@ -626,7 +633,7 @@ def e01(x: Lens) -> DataFrame:
 
 @register("labels", """SELECT k AS "MDR_REPORT_KEY", sex, age_band, CASE event_type WHEN 'D' THEN 'Death' WHEN 'IN' THEN 'Injury' ELSE 'Malfunction' END AS event, list_contains(string_split(coalesce(outcomes, ''), ','), 'H') AS hospital FROM reports""")
 def e13(x: Lens) -> DataFrame:
-    return x.reports.select(KEY, enrich.sex(F.col("sex_list")).alias("sex"), enrich.age_band(F.col("age_years_avg")).alias("age_band"),
+    return x.some("sex_list", "age_years_avg", "EVENT_TYPE", "outcome_codes").select(KEY, enrich.sex(F.col("sex_list")).alias("sex"), enrich.age_band(F.col("age_years_avg")).alias("age_band"),
                             enrich.labelled(F.col("EVENT_TYPE"), enrich.EVENT_LABELS).alias("event"), enrich.has_outcome(F.col("outcome_codes"), "H").alias("hospital"))
 
 
@@ -641,12 +648,12 @@ def s04(x: Lens) -> DataFrame:
 
 @register("published_bridge", """SELECT k AS "MDR_REPORT_KEY", CAST(k AS INTEGER) AS k_int, code, product_code AS pc, CAST(report_year AS SMALLINT) AS y FROM pairs JOIN reports USING (k)""")
 def p03(x: Lens) -> DataFrame:
-    return publish.published_bridge(x.pairs, x.reports).withColumnRenamed("k", "k_int")
+    return publish.published_bridge(x.pairs, x.some("product_code")).withColumnRenamed("k", "k_int")
 
 
 @register("summary", f"""SELECT count(*) AS n, min(report_year) AS first_year, max(report_year) AS last_year, max(date_pref) AS vintage, count(*) FILTER (WHERE report_year >= {ELIGIBLE_FROM}) AS eligible, count(DISTINCT report_number) AS events, count(DISTINCT product_code) AS product_codes, count(DISTINCT manufacturer) AS manufacturers, count(*) FILTER (WHERE event_type = 'D') AS deaths, count(*) FILTER (WHERE serious) AS serious, count(DISTINCT report_year) AS years FROM reports""")
 def p07(x: Lens) -> DataFrame:
-    return publish.summary(x.reports, ELIGIBLE_FROM).withColumn("years", F.size("by_year").cast("long")).drop("by_year")
+    return publish.summary(x.some("REPORT_NUMBER", "product_code", "manufacturer", "EVENT_TYPE", "any_serious_outcome"), ELIGIBLE_FROM).withColumn("years", F.size("by_year").cast("long")).drop("by_year")
 
 
 @register("latest_event_per_user", """SELECT user_id, event_id, ts, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""", lens=False)
@@ -656,7 +663,7 @@ def i02(x: Lens) -> DataFrame:
 
 @register("cohort_code_pairs", """SELECT k AS "MDR_REPORT_KEY", code FROM pairs WHERE k IN (SELECT k FROM reports WHERE product_code = 'BRAND#2')""")
 def b12(x: Lens) -> DataFrame:
-    return of_cohort(x.pairs, Cohort(product_code="Brand#2").of(x.reports))
+    return of_cohort(x.pairs, Cohort(product_code="Brand#2").of(x.some("product_code")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
