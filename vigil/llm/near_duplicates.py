@@ -193,8 +193,9 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         made = list(_tile(rows, threshold)) if len(rows) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], pa.int64()) for c in range(3)], ["kind", "x", "y"])
 
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
+    # a few rows at a time become Python objects: a batch may hold tens of MB of text
+    for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
+        cols = [part.column(c).to_pylist() for c in range(part.num_columns)]
         for group, low, high, node, copies, sig, block, text in zip(*cols, strict=True):
             if key != (group, low, high):
                 if held:
