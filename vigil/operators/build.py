@@ -91,8 +91,8 @@ FROM_NARRATIVE = {"IS_FORWARDED_803_22_B2", "HAS_REDACTION_B4", "HAS_REDACTION_B
 
 def compose(mdr: DataFrame, device: DataFrame, patient: DataFrame, narrative: DataFrame, device_problem: DataFrame, patient_problem: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """One wide row a report, or only the given columns of it. All sides share the key, so each input is
-    shuffled once. A left join on a unique key adds no row, which Spark can't know: a side is joined only if
-    one of its columns is wanted."""
+    shuffled once. A left join on a unique key adds no row; Spark sees that of grouped sides, not of the first
+    device, so a side is joined only if one of its columns is wanted."""
     rows = mdr
     sides = (
         (FROM_DEVICE, lambda: first_device(device)),
