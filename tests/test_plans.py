@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from vigil.operators import analyses, publish
 from vigil.operators.cohort import Cohort, eligible
 from vigil.plans.lens import ELIGIBLE_FROM, Lens
@@ -21,6 +23,15 @@ def test_screen_stays_in_the_jvm(spark):
     assert "Python" not in plan(screen) and "Pandas" not in plan(screen) and "CartesianProduct" not in plan(screen)
 
 
+def test_predicate_and_table_cohorts_agree(spark):
+    x, brand, old = Lens(spark, FOLDER), Cohort(product_code="Brand#2"), eligible(ELIGIBLE_FROM)
+    rows = x.some("product_code")
+    for by, inside in (((), brand.column()), (("product_code",), F.col("product_code").isNotNull())):
+        one, two = (analyses.flat_screen(analyses.screen(c, rows, x.pairs, x.dictionary, old, by=by), by) for c in (inside, rows.filter(inside)))
+        found = [sorted(map(tuple, s.collect()), key=repr) for s in (one, two)]
+        assert found[0] and found[0] == found[1]
+
+
 def test_unused_inputs_are_not_read(spark):
     x = Lens(spark, FOLDER)
     text = plan(analyses.event_types(x.reports)).split("== Physical Plan ==")[1]

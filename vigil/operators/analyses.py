@@ -139,20 +139,32 @@ def top_problems(reports: DataFrame, pairs: DataFrame, dictionary: DataFrame, k:
     return counts.orderBy(F.desc("n"), "code").limit(k).select("code", "term", "n")
 
 
-def screen(cohort: DataFrame, corpus: DataFrame, pairs: DataFrame, dictionary: DataFrame, eligible: Column, by: tuple[str, ...] = (), least: int = 3, comparator: str = "eligible") -> DataFrame:
+def screen(cohort: DataFrame | Column, corpus: DataFrame, pairs: DataFrame, dictionary: DataFrame, eligible: Column, by: tuple[str, ...] = (), least: int = 3, comparator: str = "eligible") -> DataFrame:
     """A10: disproportionality of every code of the cohort (or of each group of `by`) against the corpus.
 
     a: cohort reports with the code, b: without; c and d: the same outside. Codes of fewer than `least`
-    reports are left out, as the rest of the plan needs them in no other way.
+    reports are left out, as the rest of the plan needs them in no other way. The cohort is a table of its
+    own, or a predicate on the corpus; with a predicate both are counted in one pass over the corpus.
     """
     if comparator == "eligible":
-        corpus, cohort = corpus.filter(eligible), cohort.filter(eligible)
-    inside = cohort.select(KEY, *by)
-    coded = pairs.join(inside, KEY).groupBy(*by, "code").agg(F.count("*").alias("a")).filter(F.col("a") >= least)
-    sizes = inside.groupBy(*by).agg(F.count("*").alias("N"))
-    totals = of_cohort(pairs, corpus).groupBy("code").agg(F.count("*").alias("G"))
-    everything = corpus.agg(F.count("*").alias("E"))  # one row
-    rows = (coded.join(sizes, list(by)) if by else coded.join(F.broadcast(sizes))).join(totals, "code").join(F.broadcast(everything))
+        corpus, cohort = corpus.filter(eligible), cohort if isinstance(cohort, Column) else cohort.filter(eligible)
+    if isinstance(cohort, Column):
+        marked = corpus.select(KEY, *by, F.coalesce(cohort, F.lit(False)).alias("inside"))
+        counts = pairs.join(marked, KEY).groupBy(*by, "code").agg(F.count_if("inside").alias("a"), F.count("*").alias("G"))
+        coded = counts.filter(F.col("a") >= least)
+        sizes = marked.groupBy(*by).agg(F.count_if("inside").alias("N"), F.count("*").alias("E"))
+        if by:  # few rows: groups and codes
+            totals, everything = counts.groupBy("code").agg(F.sum("G").alias("G")), sizes.agg(F.sum("E").alias("E"))
+            rows = coded.drop("G").join(sizes.drop("E"), list(by)).join(totals, "code").join(F.broadcast(everything))
+        else:
+            rows = coded.join(F.broadcast(sizes))  # one row
+    else:
+        inside = cohort.select(KEY, *by)
+        coded = pairs.join(inside, KEY).groupBy(*by, "code").agg(F.count("*").alias("a")).filter(F.col("a") >= least)
+        sizes = inside.groupBy(*by).agg(F.count("*").alias("N"))
+        totals = of_cohort(pairs, corpus).groupBy("code").agg(F.count("*").alias("G"))
+        everything = corpus.agg(F.count("*").alias("E"))  # one row
+        rows = (coded.join(sizes, list(by)) if by else coded.join(F.broadcast(sizes))).join(totals, "code").join(F.broadcast(everything))
     N, G, E = F.col("N"), F.col("G"), F.col("E")
     rows = rows.withColumns({"b": N - F.col("a"), "c": G - F.col("a"), "d": E - G - N + F.col("a")})
     cells = [F.col(x) for x in "abcd"]

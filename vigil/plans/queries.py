@@ -133,20 +133,19 @@ SELECT {key}code, coalesce(term, code) AS term, a, b, c, d, {_FLAT} FROM measure
 @register("flagship_signal_screen", _screen_sql("product_code = 'BRAND#2'"))
 def flagship(x: Lens) -> DataFrame:
     rows = x.some("product_code")
-    return an.flat_screen(an.screen(BRAND.of(rows), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
+    return an.flat_screen(an.screen(BRAND.column(), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
 
 
 @register("signal_screen_all_products", _screen_sql("product_code IS NOT NULL", "product_code"))
 def screen_all(x: Lens) -> DataFrame:
     rows = x.some("product_code")
-    reports = rows.filter("product_code is not null")
-    return an.flat_screen(an.screen(reports, rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM), by=("product_code",)), by=("product_code",))
+    return an.flat_screen(an.screen(F.col("product_code").isNotNull(), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM), by=("product_code",)), by=("product_code",))
 
 
 @register("signal_screen_p_values")
 def screen_p(x: Lens) -> DataFrame:
     rows = x.some("product_code")
-    return an.signals(an.screen(BRAND.of(rows), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
+    return an.signals(an.screen(BRAND.column(), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
 
 
 @register("signal_counts")
