@@ -470,6 +470,53 @@ def test_toxicity_without_labels(spark):
     assert toxicity.op9(make(spark, []).limit(0), none).count() == 0
 
 
+def _toxicity_case(spark, texts, toxic):
+    """Ids outside the held-out fold for labelled texts (toxic 0 or 1), so that all labels teach."""
+    ids = [i for i in range(10 * len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    labels = spark.createDataFrame([(i, 1, t) for i, t in zip(ids, toxic, strict=True) if t is not None], "doc_id long, quality int, toxic int")
+    got = rows(toxicity.op9(make(spark, texts, ids), labels))
+    return [got[i]["predicted"] for i in ids]
+
+
+def test_toxicity_with_many_different_words(spark, monkeypatch):
+    rnd = random.Random(5)
+    junk = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    texts, toxic = [], []
+    for i in range(1400):
+        t = i % 14 == 0
+        w = prose(rnd, 10).split() + [junk() for _ in range(1200)]
+        texts.append(" ".join(w + (["vilkograzt"] if t else [])))
+        toxic.append(int(t) if i < 1000 else None)
+    monkeypatch.setattr(toxicity, "FREQUENT", 20, raising=False)  # the toxic word is looked up by a join
+    got = _toxicity_case(spark, texts, toxic)
+    assert got == [int(i % 14 == 0) for i in range(1400)]
+
+
+@pytest.mark.parametrize("clean", [0, 800])
+def test_toxicity_with_few_toxic_labels(spark, clean):
+    """A single toxic label, or none but toxic ones, still teaches its words."""
+    rnd = random.Random(6)
+    bad = " ".join(["vilko grazt murdo plimk"] * 3)
+    texts = [prose(rnd, 40) for _ in range(1000)] + [prose(rnd, 10) + " " + bad for _ in range(20)]
+    toxic = [0] * clean + [None] * (1000 - clean) + [1] * (1 if clean else 10) + [None] * (19 if clean else 10)
+    got = _toxicity_case(spark, texts, toxic)
+    assert sum(got[:1000]) == 0 and sum(got[1000:]) == 20
+
+
+def test_toxicity_of_word_pairs(spark):
+    """Two ordinary words that are toxic only side by side."""
+    rnd = random.Random(7)
+    texts, toxic = [], []
+    for i in range(1600):
+        w = prose(rnd, 30).split()
+        bad = i % 5 == 0
+        extra = ["tuvaxo", "lomixo"] * 3 if bad else ["lomixo", "fen", "tuvaxo", "res"] * 3
+        texts.append(" ".join(w[:15] + extra + w[15:]) if bad else " ".join(w[:11] + extra + w[11:]))
+        toxic.append(int(bad) if i < 1200 else None)
+    got = _toxicity_case(spark, texts, toxic)
+    assert sum(g == int(i % 5 == 0) for i, g in enumerate(got)) > 1570
+
+
 # ---- 10 decontamination --------------------------------------------------------------------
 
 
