@@ -110,3 +110,16 @@ def test_differences(spark):
     assert stats.herfindahl(spark.createDataFrame([("a", 50), ("b", 50)], "m string, n long"), "n").first()["hhi"] == pytest.approx(5000)
     text = spark.range(1).select(stats.percent_text(stats.wilson(F.lit(5), F.lit(10)))).first()[0]
     assert text == "50.0% (23.7-76.3)"
+
+
+def test_lower_rank_keeps_no_rows_in_one_task(spark, monkeypatch):
+    rows = spark.range(3000).select(((F.col("id") * 7919) % 3000).cast("double").alias("v")).union(spark.createDataFrame([(None,), (5.0,)], "v double"))
+    want = sorted([float(i) for i in range(3000)] + [5.0])
+    for most in (100_000, 40):
+        monkeypatch.setattr(stats, "RANK_VALUES", most, raising=False)
+        for p in (0.0, 0.37, 0.9, 1.0):
+            found = stats.lower_rank(rows, "v", p)
+            assert [r[0] for r in found.collect()] == [want[int(p * 3000)]]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "CollectLimit" not in plan and "GlobalLimit" not in plan
+    assert stats.lower_rank(rows.filter("v < 0"), "v", 0.9).count() == 0

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 #: Two-sided normal quantiles.
 Z = {0.05: 1.959963984540054, 0.01: 2.5758293035489004, 0.10: 1.6448536269514722}
+#: Different values that one task ranks.
+RANK_VALUES = 100_000
 
 
 def _d(c: Column) -> Column:
@@ -172,10 +174,23 @@ def herfindahl(df: DataFrame, count: str, by: tuple[str, ...] = ()) -> DataFrame
 
 
 def lower_rank(df: DataFrame, value: str, p: float) -> DataFrame:
-    """T19, nearest-rank form: the value at floor(p * (n - 1)); `percentile` is the linear form."""
-    ordered = df.filter(F.col(value).isNotNull()).select(value)
-    n = ordered.count()
-    return ordered.orderBy(value).offset(int(p * (n - 1))).limit(1)
+    """T19, nearest-rank form: the value at floor(p * (n - 1)); `percentile` is the linear form. Values are counted
+    first; of more than `RANK_VALUES` different ones only the range that holds the rank is looked into."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    facts = counts.agg(F.sum("_n").alias("n"), F.count("*").alias("values")).first()
+    rank, left = int(p * ((facts["n"] or 0) - 1)), facts["values"]
+    while left > RANK_VALUES:
+        cuts = sorted(set(counts.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.005)))
+        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value)))
+        for row in sorted(counts.groupBy(place.alias("at")).agg(F.sum("_n").alias("n"), F.count("*").alias("values")).collect()):
+            if rank < row["n"]:
+                break
+            rank -= row["n"]
+        if row["values"] == left:
+            break
+        counts, left = counts.filter(place == row["at"]), row["values"]
+    upto = F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy(value))
+    return counts.withColumn("_upto", upto).filter((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)).select(value)
 
 
 def percent_text(ci: Column, decimals: int = 1) -> Column:
