@@ -188,3 +188,17 @@ def test_enrichment_edges(spark):
     assert days[0] == 1095.75 and days[1] == 182.625 and days[3:] == (None,) * 6
     dates = spark.createDataFrame([("20200229",), ("2/29/2020",), ("20210229",), ("13/45/2020",), ("",), (None,)], "d string")
     assert [str(r[0]) for r in dates.select(enrich.parsed_date(F.col("d"))).collect()] == ["2020-02-29", "2020-02-29", "None", "None", "None", "None"]
+
+
+def test_narratives_of_a_report_with_very_many_parts(spark):
+    """The text is formed from a bounded set of parts, whatever their number."""
+    rows = [(1, i, "d " if i % 3 else "N", None if i % 11 == 0 else "" if i % 7 == 0 else f"part {i} " * (i % 5)) for i in range(3000)]
+    rows += [(2, 1, "D", "x" * 9000), (2, 2, "D", "(B)(4)"), (3, 1, "Q", "y"), (None, 1, "M", "z")]
+    df = spark.createDataFrame(rows, "MDR_REPORT_KEY long, MDR_TEXT_KEY long, TEXT_TYPE_CODE string, FOI_TEXT string").repartition(5)
+    assert build._beginnings(df, 4000).groupBy("MDR_REPORT_KEY").count().agg({"count": "max"}).first()[0] < 700
+    got = {r["MDR_REPORT_KEY"]: r for r in build.narrative_summary(df).collect()}
+    for key in (1, 2, 3, None):
+        for kinds, column in (("D", "narrative_desc"), ("NM", "narrative_mfg")):
+            parts = [t for k, _, kind, t in rows if k == key and kind.strip().upper() in kinds and t is not None]
+            assert got[key][column] == (" || ".join(parts)[:4000] if parts else None)
+    assert got[1]["narr_part_count"] == 3000 and got[2]["HAS_REDACTION_B4"] and not got[1]["HAS_REDACTION_B4"]

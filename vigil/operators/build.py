@@ -13,6 +13,8 @@ from vigil.functions import enrich
 
 KEY = "MDR_REPORT_KEY"
 NARRATIVE_CHARS = 4000
+JOINT = " || "
+SALTS = 64
 
 
 def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -56,19 +58,36 @@ def problem_list(problem: DataFrame, name: str) -> DataFrame:
     return problem.groupBy(KEY).agg(joined("PROBLEM_CODE", ", ").alias(name))
 
 
+def _beginnings(narrative: DataFrame, chars: int) -> DataFrame:
+    """The parts of (report, column) that start within the first `chars` characters of the joined text; column is
+    narrative_desc or narrative_mfg. Running lengths go by salt first, so that no task orders all parts of a report."""
+    kind = F.upper(F.trim("TEXT_TYPE_CODE"))
+    column = F.when(kind == "D", "narrative_desc").when(kind.isin("N", "M"), "narrative_mfg")
+    parts = narrative.select(KEY, column.alias("_column"), "MDR_TEXT_KEY", F.substring("FOI_TEXT", 1, chars).alias("FOI_TEXT")).filter("_column is not null and FOI_TEXT is not null")
+    parts = parts.withColumn("_salt", F.pmod(F.xxhash64("MDR_TEXT_KEY", "FOI_TEXT"), F.lit(SALTS)))
+    group, length = [KEY, "_column"], F.length("FOI_TEXT") + len(JOINT)
+    for salt in (["_salt"], []):
+        before = W.partitionBy(*group, *salt).orderBy("MDR_TEXT_KEY", "FOI_TEXT").rowsBetween(W.unboundedPreceding, -1)
+        parts = parts.withColumn("_start", F.coalesce(F.sum(length).over(before), F.lit(0))).filter(F.col("_start") < chars)
+    return parts.drop("_salt", "_start")
+
+
 def narrative_summary(narrative: DataFrame, chars: int = NARRATIVE_CHARS) -> DataFrame:
     """Parts, description and manufacturer text in key order, and the flags their words set."""
-    kind, text = F.upper(F.trim("TEXT_TYPE_CODE")), F.col("FOI_TEXT")
+    text = F.col("FOI_TEXT")
 
-    def cut(*kinds: str) -> Column:
-        parts = F.sort_array(F.collect_list(F.when(kind.isin(*kinds) & text.isNotNull(), F.struct("MDR_TEXT_KEY", "FOI_TEXT"))))
-        return F.when(F.size(parts) > 0, F.substring(F.array_join(F.transform(parts, lambda x: x["FOI_TEXT"]), " || "), 1, chars))
+    def cut(column: str) -> Column:
+        parts = F.sort_array(F.collect_list(F.when(F.col("_column") == column, F.struct("MDR_TEXT_KEY", "FOI_TEXT"))))
+        return F.when(F.size(parts) > 0, F.substring(F.array_join(F.transform(parts, lambda x: x["FOI_TEXT"]), JOINT), 1, chars)).alias(column)
 
     says = lambda phrase: F.coalesce(F.bool_or(F.lower(text).contains(phrase)), F.lit(False))
-    return narrative.groupBy(KEY).agg(
-        F.count("*").cast("int").alias("narr_part_count"), cut("D").alias("narrative_desc"), cut("N", "M").alias("narrative_mfg"),
+    flags = narrative.groupBy(KEY).agg(
+        F.count("*").cast("int").alias("narr_part_count"),
         says("803.22(b)(2)").alias("IS_FORWARDED_803_22_B2"), says("(b)(4)").alias("HAS_REDACTION_B4"), says("(b)(6)").alias("HAS_REDACTION_B6"),
     )
+    texts = _beginnings(narrative, chars).groupBy(F.col(KEY).alias("_key")).agg(cut("narrative_desc"), cut("narrative_mfg"))
+    both = flags.join(texts, F.col(KEY).eqNullSafe(F.col("_key")), "left")
+    return both.select(KEY, "narr_part_count", "narrative_desc", "narrative_mfg", "IS_FORWARDED_803_22_B2", "HAS_REDACTION_B4", "HAS_REDACTION_B6")
 
 
 def bridge(problem: DataFrame) -> DataFrame:
