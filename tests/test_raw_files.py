@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from raw import write
 
 from vigil.functions import enrich
-from vigil.operators import build, checks, publish
+from vigil.operators import build, checks, publish, search
 from vigil.operators.build import KEY
 from vigil.operators.cohort import Cohort
 from vigil.sources import pipe_files as pf
@@ -202,3 +202,10 @@ def test_narratives_of_a_report_with_very_many_parts(spark):
             parts = [t for k, _, kind, t in rows if k == key and kind.strip().upper() in kinds and t is not None]
             assert got[key][column] == (" || ".join(parts)[:4000] if parts else None)
     assert got[1]["narr_part_count"] == 3000 and got[2]["HAS_REDACTION_B4"] and not got[1]["HAS_REDACTION_B4"]
+
+
+def test_search_finds_rare_manufacturers(spark):
+    makers = spark.range(4200).select(F.concat(F.lit("MAKER "), "id").alias("manufacturer"), F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = makers.select("manufacturer").union(spark.createDataFrame([("ZEBRA RARE",)], "manufacturer string")).selectExpr("manufacturer", "'M' as EVENT_TYPE", "2020 as report_year")
+    assert search.manufacturer_index(rows, 1996).count() == 4000
+    assert [r["manufacturer"] for r in search.manufacturer_search(search.manufacturer_index(rows, 1996, k=None), "zebra").collect()] == ["ZEBRA RARE"]

@@ -37,11 +37,11 @@ def product_index(reports: DataFrame, from_year: int, k_names: int = 3, k_brands
     return both.withColumn("label", F.coalesce(F.get("names", F.lit(0)), F.get("brands", F.lit(0)), "product_code"))
 
 
-def manufacturer_index(reports: DataFrame, from_year: int, k: int = 4000) -> DataFrame:
-    """The manufacturers of most reports."""
+def manufacturer_index(reports: DataFrame, from_year: int, k: int | None = 4000) -> DataFrame:
+    """The manufacturers of most reports, or with k=None all of them in no order."""
     rows = reports.filter((F.trim("manufacturer") != "") & ~F.upper(F.trim("manufacturer")).isin(*JUNK_NAMES) & (F.col("report_year") >= from_year))
     sums = rows.groupBy("manufacturer").agg(F.count("*").alias("n"), counted("EVENT_TYPE = 'D'", "deaths"), F.min("report_year").alias("y0"), F.max("report_year").alias("y1"))
-    return sums.orderBy(F.desc("n"), "manufacturer").limit(k)
+    return sums if k is None else sums.orderBy(F.desc("n"), "manufacturer").limit(k)
 
 
 def _match(name: Column, query: str) -> Column:

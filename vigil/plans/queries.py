@@ -575,7 +575,7 @@ def x02(x: Lens) -> DataFrame:
 
 @register("manufacturer_search", _MAKER_INDEX + " SELECT * FROM mi WHERE contains(lower(manufacturer), '1') ORDER BY starts_with(lower(manufacturer), '1') DESC, n DESC, manufacturer LIMIT 10")
 def x04(x: Lens) -> DataFrame:
-    return search.manufacturer_search(search.manufacturer_index(x.some("manufacturer", "EVENT_TYPE"), ELIGIBLE_FROM), "1")
+    return search.manufacturer_search(search.manufacturer_index(x.some("manufacturer", "EVENT_TYPE"), ELIGIBLE_FROM, k=None), "1")
 
 
 @register("check_orphans", """SELECT 'orphans' AS "check", CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS INTEGER) AS severity, CAST(count(*) AS DOUBLE) AS metric, name AS detail FROM (
