@@ -209,3 +209,12 @@ def test_search_finds_rare_manufacturers(spark):
     rows = makers.select("manufacturer").union(spark.createDataFrame([("ZEBRA RARE",)], "manufacturer string")).selectExpr("manufacturer", "'M' as EVENT_TYPE", "2020 as report_year")
     assert search.manufacturer_index(rows, 1996).count() == 4000
     assert [r["manufacturer"] for r in search.manufacturer_search(search.manufacturer_index(rows, 1996, k=None), "zebra").collect()] == ["ZEBRA RARE"]
+
+
+def test_csv_values_are_whole_and_manifest_has_years(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2019, "x" * 40_000), (2, 2021, "y")], "k long, report_year int, codes string").coalesce(1)
+    publish.write_csv(df, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).agg(F.max(F.length("codes"))).first()[0] == 40_000
+    df.write.parquet(str(tmp_path / "years"))
+    row = publish.manifest(spark, str(tmp_path / "years")).first()
+    assert (row["rows"], row["first_year"], row["last_year"], row["schema_version"]) == (2, 2019, 2021, publish.SCHEMA_VERSION)

@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from .build import KEY, corpus_facts
 
 FIRST_YEAR = 2014
-CELL_CHARS = 32_000
+SCHEMA_VERSION = 1
 ROW_GROUP_BYTES = 16 << 20
 
 
-def write_csv(reports: DataFrame, path: str, cell_chars: int = CELL_CHARS) -> None:
-    """Text columns cut to what a spreadsheet cell holds."""
-    texts = [c for c, kind in reports.dtypes if kind == "string"]
+def write_csv(reports: DataFrame, path: str) -> None:
+    """Values are written whole."""
     flat = reports.drop(*[c for c, kind in reports.dtypes if kind.startswith(("array", "struct"))])
-    flat.withColumns({c: F.substring(c, 1, cell_chars) for c in texts}).write.mode("overwrite").csv(path, header=True, escape='"')
+    flat.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_reports(reports: DataFrame, path: str, first_year: int = FIRST_YEAR) -> None:
@@ -54,13 +53,16 @@ def write_narratives(parts: DataFrame, reports: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rows, bytes, sha256) of each Parquet file below a path."""
+    """(file, rows, bytes, sha256, first and last report_year, schema version) of each Parquet file below a path;
+    the years are null where the files have none."""
     # the two readers spell local paths with one slash or three
     spelt = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
     sums = files.select(spelt("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    rows = spark.read.parquet(path).groupBy(spelt("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
-    return sums.join(rows, "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    table = spark.read.parquet(path)
+    year = F.col("report_year").cast("int") if "report_year" in table.columns else F.lit(None).cast("int")
+    rows = table.groupBy(spelt("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    return sums.join(rows, "file", "left").withColumns({"rows": F.coalesce("rows", F.lit(0)), "schema_version": F.lit(SCHEMA_VERSION)})
 
 
 def summary(reports: DataFrame, eligible_from: int) -> DataFrame:
