@@ -265,6 +265,22 @@ def test_a_group_larger_than_a_block(spark, monkeypatch):
     assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == {i: (lowest[i], len(links[i])) for i in lowest}
 
 
+@pytest.mark.parametrize("banded", [False, True])
+def test_a_group_of_many_tiles(spark, monkeypatch, banded):
+    """Whole, or band by band, where nodes meet in many bands and each pair counts once."""
+    rnd = random.Random(14)
+    base = prose(rnd, 120)
+    texts = [edited(rnd, base, rnd.choice([1, 2, 4, 9])) for _ in range(120)] + [None, "", base, base]
+    monkeypatch.setattr(near_duplicates, "SIDE", 20)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    if banded:
+        monkeypatch.setattr(near_duplicates, "_loose", lambda: F.lit(True))
+    lowest, links = brute_classes(texts)
+    frame = make(spark, texts)
+    got = rows(near_duplicates.op4(frame))
+    assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == {i: (lowest[i], len(links[i])) for i in lowest}
+
+
 def test_distinct_keeps_one_of_each_class(docs, texts):
     lowest, _ = brute_classes(texts)
     kept = near_duplicates.distinct(docs)

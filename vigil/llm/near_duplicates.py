@@ -4,15 +4,17 @@ Words are runs of anything but ASCII blanks; a text of one to four words has one
 
 1. Equal texts become one node. A node's MinHash values (160) are cut into 32 bands; nodes that share a
    band are candidates of each other. At similarity 0.8 a pair shares none with probability 3e-6.
-2. Connected candidates form groups. A group is dealt into blocks of nodes and every pair of blocks is one
-   tile, so a large group is spread over many tasks.
+2. Connected candidates form groups. A group is dealt into sides of about `SIDE` nodes and `SIDE_BYTES` of
+   text, and every pair of sides is one tile, so a large group is spread over many tasks. A large group whose bands
+   hold fewer pairs than the group itself (loosely alike texts, chained) is compared band by band instead, each
+   pair in the first band that it shares.
 3. In a tile, Bayesian pruning compares MinHash values 32 at a time and drops a pair when the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below 1e-9. What is left is
    verified exactly on the shingle sets.
 4. A tile gives, instead of pairs, each node's number of linked documents and a spanning forest of its
    links; sums and connected components of these make the result. No link is lost, none is listed.
 
-A text is identified by its 64-bit hash.
+A text is identified by its MD5 digest.
 
 Defined cases: null and blank texts have no shingle, no link, and each row's class is its own doc_id; ties
 go to the lowest doc_id; repeated rows are copies; texts of any length are read whole; null doc_ids sort
@@ -27,10 +29,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, fmix, mixed, n_words, prefix_sums, saved, span_hash, text_steps, words
+from .common import BLANK_WORDS, digest, fmix, fresh, mixed, n_bytes, n_words, prefix_sums, saved, span_hash, text_steps, words
 from .components import stars
 
 SHINGLE = 5
@@ -39,7 +41,10 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP = 32
 TOLERANCE = 1e-9
+#: Nodes of either side that numpy compares at a time.
 BLOCK = 128
+#: Nodes, and about so many bytes of text, of either side of a tile.
+SIDE, SIDE_BYTES = 1024, 16 << 20
 _NO_ID = -(2**63)
 _A, _B = mixed(HASHES, 401) | np.uint64(1), mixed(HASHES, 402) | np.uint64(1)
 _Q = mixed(SHINGLE, 403) | np.uint64(1)
@@ -66,7 +71,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = 1 << 15
     for batch in batches:
         ids, sigs = [], []
-        nodes = batch.column(0).to_numpy()
         for first, buf, offsets in text_steps(batch.column(1)):
             doc, h = shingles(buf, offsets)
             if not len(doc):
@@ -88,9 +92,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, d in enumerate(of[begin]):
                     one = least[:, i]
                     best[d] = np.minimum(best[d], one) if d in best else one
-            ids.extend(nodes[first + d] for d in best)
+            ids.extend(first + d for d in best)
             sigs.extend(s.astype("<u4").tobytes() for s in best.values())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["node", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sigs, pa.binary())], ["key", "sig"])
 
 
 @lru_cache
@@ -143,108 +147,145 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndar
     return total[i, j].astype(np.int64)
 
 
-def _tile(rows: list[tuple], threshold: float) -> Iterator[tuple[int, int, int]]:
-    """rows: (node, copies, sig, text, block, low block, high block), one tile."""
-    nodes = {r[0]: r for r in rows}
-    rows = [nodes[k] for k in sorted(nodes)]
-    low, high = rows[0][5], rows[0][6]
-    left = [r for r in rows if r[4] == low]
-    right = left if low == high else [r for r in rows if r[4] == high]
-    if not left or not right:
-        return
-    sig = [np.frombuffer(b"".join(r[2] for r in x), dtype="<u4").reshape(len(x), HASHES) for x in (left, right)]
-    i, j = candidates(sig[0], sig[1], low == high)
-    if not len(i):
-        return
-    needed = sorted({*i.tolist()}), sorted({*j.tolist()})
-    sets: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] * len(left), [np.zeros(0, np.uint64)] * len(right)]
-    for side, x in ((0, left), (1, right)):
-        for k in needed[side]:
-            buf = np.frombuffer(x[k][3].encode(), dtype=np.uint8)
-            sets[side][k] = np.unique(shingles(buf, np.array([0, len(buf)]))[1])
-    common = overlaps(sets[0], sets[1], i, j)
-    union = np.array([len(s) for s in sets[0]])[i] + np.array([len(s) for s in sets[1]])[j] - common
-    keep = common >= threshold * union - 1e-9
-    count: dict[int, int] = {}
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-        x, y = left[a], right[b]
-        count[x[0]] = count.get(x[0], 0) + y[1]
-        count[y[0]] = count.get(y[0], 0) + x[1]
-        if (p := find(x[0])) != (q := find(y[0])):
-            root[max(p, q)] = min(p, q)
-            yield 0, x[0], y[0]
-    for node, n in count.items():
-        yield 1, node, n
+class _Side:
+    """One block of a tile: rows of (node, copies, sig, text)."""
+
+    def __init__(self, rows: list[tuple]):
+        self.node = np.array([r[0] for r in rows], dtype=np.int64)
+        self.copies = np.array([r[1] for r in rows], dtype=np.int64)
+        self.sig = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u4").reshape(len(rows), HASHES)
+        self.text = [r[3] for r in rows]
+        self.sets: list[np.ndarray | None] = [None] * len(rows)
+
+    def read(self, wanted: np.ndarray) -> None:
+        """The shingle sets of some rows, a step of text at a time."""
+        new = [k for k in wanted.tolist() if self.sets[k] is None]
+        for first, buf, offsets in text_steps(pa.array([self.text[k] for k in new], pa.string())):
+            doc, h = shingles(buf, offsets)
+            at = np.searchsorted(doc, np.arange(len(offsets)))
+            for d, k in enumerate(new[first : first + len(offsets) - 1]):
+                self.sets[k] = np.unique(h[at[d] : at[d + 1]])
+
+
+def _forest(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links among (x, y) that join different components; `label`, the component of each place, is kept up."""
+    while True:
+        apart = label[x] != label[y]
+        if not apart.any():
+            return
+        x, y = x[apart], y[apart]
+        # one link for each place is enough to try before looking again
+        for k in {*np.unique(x, return_index=True)[1].tolist(), *np.unique(y, return_index=True)[1].tolist()}:
+            p, q = label[x[k]], label[y[k]]
+            if p != q:
+                label[label == max(p, q)] = min(p, q)
+                yield x[k], y[k]
+
+
+def _tile(left: _Side, right: _Side, band: int, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(0, node, node) for a spanning forest of the tile's links, and (1, node, linked documents)."""
+    same = left is right
+    offset = 0 if same else len(left.node)
+    node = left.node if same else np.concatenate((left.node, right.node))
+    label, linked = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
+    for a in range(0, len(left.node), BLOCK):
+        for b in range(a if same else 0, len(right.node), BLOCK):
+            i, j = candidates(left.sig[a : a + BLOCK], right.sig[b : b + BLOCK], same and a == b)
+            i, j = i + a, j + b
+            if band > 0 and len(i):
+                before = (left.sig[i, : band * ROWS] == right.sig[j, : band * ROWS]).reshape(len(i), band, ROWS).all(axis=2).any(axis=1)
+                i, j = i[~before], j[~before]
+            if not len(i):
+                continue
+            left.read(np.unique(i))
+            right.read(np.unique(j))
+            none = np.zeros(0, dtype=np.uint64)
+            sets = [[x if x is not None else none for x in side.sets[k : k + BLOCK]] for side, k in ((left, a), (right, b))]
+            common = overlaps(*sets, i - a, j - b)
+            size = [np.array([len(x) for x in side]) for side in sets]
+            keep = common >= threshold * (size[0][i - a] + size[1][j - b] - common) - 1e-9
+            i, j = i[keep], j[keep] + offset
+            copies = right.copies[j - offset], left.copies[i]
+            linked += np.bincount(i, weights=copies[0], minlength=len(node)).astype(np.int64)
+            linked += np.bincount(j, weights=copies[1], minlength=len(node)).astype(np.int64)
+            for x, y in _forest(label, i, j):
+                yield 0, int(node[x]), int(node[y])
+    for k in np.flatnonzero(linked):
+        yield 1, int(node[k]), int(linked[k])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group and tile; one tile, two blocks of nodes, is held at a time."""
-    key, held = None, []
+    """Rows come sorted by unit and tile; one tile, two blocks of nodes, is held at a time."""
+    key, held = None, {}
 
-    def out(rows):
-        made = list(_tile(rows, threshold)) if len(rows) > 1 else []
+    def out() -> pa.RecordBatch:
+        _, low, high, band = key
+        sides = {block: _Side(rows) for block, rows in held.items()}
+        made = list(_tile(sides[low], sides[high], band, threshold)) if low in sides and high in sides else []
         return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], pa.int64()) for c in range(3)], ["kind", "x", "y"])
 
     # a few rows at a time become Python objects: a batch may hold tens of MB of text
     for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
         cols = [part.column(c).to_pylist() for c in range(part.num_columns)]
-        for group, low, high, node, copies, sig, block, text in zip(*cols, strict=True):
-            if key != (group, low, high):
+        for unit, low, high, band, block, *row in zip(*cols, strict=True):
+            if key != (unit, low, high, band):
                 if held:
-                    yield out(held)
-                key, held = (group, low, high), []
-            held.append((node, copies, sig, text, block, low, high))
+                    yield out()
+                key, held = (unit, low, high, band), {}
+            held.setdefault(block, []).append(row)
     if held:
-        yield out(held)
+        yield out()
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("node"), "text")
+    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), digest(F.col("text")).alias("key"), "text")
+
+
+def _loose() -> Column:
+    """Whether a group of several sides is compared band by band, by its nodes and the pairs in its bands."""
+    return (F.col("blocks") > 1) & (F.col("pairs") < F.col("n") * F.col("n").cast("double"))
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per node: node, rep (lowest id), copies, linked documents of other texts, class root."""
+    """One row per different text: key, node, rep (lowest id), copies, linked documents of other texts, class root."""
     rows = _members(docs).filter(n_words(F.col("text")) > 0)
-    signed = rows.select("node", "text").mapInArrow(_signatures, "node long, sig binary").groupBy("node").agg(F.any_value("sig").alias("sig"))
-    copies = rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = saved(signed.join(copies, "node"))
-    bands = reps.select(
-        "node", F.explode(F.array(*[F.xxhash64(F.substring("sig", 4 * ROWS * j + 1, 4 * ROWS), F.lit(j)) for j in range(BANDS)])).alias("band")
-    )
-    shared = saved(bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far").select("band", "hub"))
+    signed = rows.select("key", "text").mapInArrow(_signatures, "key binary, sig binary").groupBy("key").agg(F.any_value("sig").alias("sig"))
+    copies = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max(n_bytes(F.col("text"))).alias("bytes"))
+    # numbers from a saved table stay what they are
+    reps = saved(signed.join(copies, "key").withColumn("node", F.monotonically_increasing_id()))
+    band = F.posexplode(F.array(*[F.xxhash64(F.substring("sig", 4 * ROWS * j + 1, 4 * ROWS), F.lit(j)) for j in range(BANDS)]))
+    bands = reps.select("node", band.alias("k", "band"))
+    shared = saved(bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("n")).filter("hub <> far").drop("far"))
     near = bands.join(shared, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = stars(near)
     groups = saved(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
-    sizes = saved(groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")))
-    placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
-    grouped = saved(placed.join(reps, "node"))
-    texts = rows.withColumnRenamed("id", "rep").join(grouped.select("node", "rep", "root", "blocks", "block", "copies", "sig"), ["node", "rep"])
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(SIDE)), F.ceil(F.sum("bytes") / F.lit(SIDE_BYTES))).alias("blocks")
+    member = reps.select("node", "rep", "copies", "bytes", "key", "sig").join(groups, "node")
+    in_bands = shared.join(groups, F.col("hub") == F.col("node")).groupBy("root").agg(F.sum(F.col("n") * F.col("n").cast("double")).alias("pairs"))
+    sizes = member.groupBy("root").agg(F.count("*").alias("n"), blocks).join(in_bands, "root")
+    sizes = saved(sizes.withColumn("banded", _loose()))
+    whole = member.join(sizes.filter("not banded").select("root", "blocks"), "root").select(F.col("root").alias("unit"), F.lit(0).alias("band"), "blocks", *member.drop("root").columns)
+    loose = member.join(sizes.filter("banded").select("root"), "root")
+    loose = loose.join(bands, "node").join(shared.select("band"), "band").withColumn("unit", F.col("band")).withColumn("band", F.col("k"))
+    loose = loose.join(loose.groupBy("unit").agg(blocks), "unit").select(whole.columns)
+    placed = whole.unionByName(loose).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).drop("bytes")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     tiles = (
-        texts.withColumn("other", other)
-        .select(
-            "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            "node", "copies", "sig", "block", "text",
-        )
-        .repartition("root", "low", "high")
-        .sortWithinPartitions("root", "low", "high")
+        rows.withColumnRenamed("id", "rep").join(placed, ["key", "rep"])
+        .dropDuplicates(["unit", "band", "node"])
+        .withColumn("other", other)
+        .select("unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "block", "node", "copies", "sig", "text")
+        .repartition("unit", "low", "high")
+        .sortWithinPartitions("unit", "low", "high", "band", "node")
     )
     verified = saved(tiles.mapInArrow(lambda batches: _tiles(batches, threshold), "kind long, x long, y long"))
     counts = verified.filter("kind = 1").groupBy(F.col("x").alias("node")).agg(F.sum("y").alias("linked"))
     classes = stars(verified.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
     return (
-        reps.drop("sig")
+        reps.drop("sig", "bytes")
         .join(counts, "node", "left")
         .join(classes, "node", "left")
-        .select("node", "rep", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "node").alias("root"))
+        .select("key", "node", "rep", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "node").alias("root"))
     )
 
 
@@ -252,21 +293,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, class_id (lowest id of its class), copy_of, n_links."""
     nodes = saved(links(docs, threshold))
     lowest = saved(nodes.groupBy("root").agg(F.min("rep").alias("class_id")))
-    known = saved(nodes.join(lowest, "root").select("node", "rep", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links")))
-    rows = _members(docs).select("id", "node", (n_words(F.col("text")) > 0).alias("has_words"))
+    known = nodes.join(lowest, "root").select("key", "rep", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"))
+    rows = _members(docs).select("id", "key", (n_words(F.col("text")) > 0).alias("has_words"))
     blank = rows.filter("not has_words").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    found = rows.filter("has_words").join(known, "node").select("id", "class_id", F.col("rep").alias("copy_of"), "n_links")
+    found = rows.filter("has_words").join(known, "key").select("id", "class_id", F.col("rep").alias("copy_of"), "n_links")
     return found.unionByName(blank)
 
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class (that of the lowest doc_id), and every blank one; all columns kept."""
     nodes = saved(links(docs, threshold))
-    lowest = nodes.groupBy("root").agg(F.min("rep").alias("rep"))
-    kept = nodes.join(lowest, ["root", "rep"]).select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    marked = docs.withColumn("_node", F.xxhash64("text")).withColumn("_rep", F.coalesce("doc_id", F.lit(_NO_ID)))
+    lowest = nodes.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("first"))
+    key, rep = fresh(docs, "_key"), fresh(docs, "_rep")
+    kept = lowest.select(F.col("first.key").alias(key), F.col("first.rep").alias(rep))
     has_words = n_words(F.col("text")) > 0
-    chosen = marked.filter(has_words).join(kept, ["_node", "_rep"], "left_semi").dropDuplicates(["_node", "_rep"])
+    marked = docs.filter(has_words).withColumn(key, digest(F.col("text"))).withColumn(rep, F.coalesce("doc_id", F.lit(_NO_ID)))
+    chosen = marked.join(kept, [key, rep], "left_semi").dropDuplicates([key, rep])
     return chosen.select(docs.columns).unionByName(docs.filter(~has_words))
 
 
