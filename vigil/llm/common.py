@@ -51,9 +51,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, lineage cut."""
+    """`df` computed once and kept in the shared folder, lineage cut; the shuffles behind it may go."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Spark drops shuffle files when their plans are collected as garbage, which a large driver heap puts off
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

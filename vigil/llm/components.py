@@ -17,7 +17,7 @@ def stars(links: DataFrame) -> DataFrame:
     edges = saved(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    while edges.take(1):
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = saved(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = saved(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
@@ -25,8 +25,10 @@ def stars(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         moved = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = saved(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        chained = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
-        forked = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
-        if not chained.take(1) and not forked.take(1):
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one link to a smaller one, which has none."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").take(1)

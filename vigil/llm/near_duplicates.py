@@ -11,7 +11,7 @@ Words are runs of anything but ASCII blanks; a text of one to four words has one
 3. In a tile, Bayesian pruning compares MinHash values 32 at a time and drops a pair when the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below 1e-9. What is left is
    verified exactly on the shingle sets.
-4. A tile gives, instead of pairs, each node's number of linked documents and a spanning forest of its
+4. A tile gives, instead of pairs, each node's number of linked documents and its component among the tile's
    links; sums and connected components of these make the result. No link is lost, none is listed.
 
 A text is identified by its MD5 digest.
@@ -167,8 +167,8 @@ class _Side:
                 self.sets[k] = np.unique(h[at[d] : at[d + 1]])
 
 
-def _forest(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links among (x, y) that join different components; `label`, the component of each place, is kept up."""
+def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Brings `label`, the least place of each place's component, up to the links (x, y)."""
     while True:
         apart = label[x] != label[y]
         if not apart.any():
@@ -179,11 +179,10 @@ def _forest(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[i
             p, q = label[x[k]], label[y[k]]
             if p != q:
                 label[label == max(p, q)] = min(p, q)
-                yield x[k], y[k]
 
 
 def _tile(left: _Side, right: _Side, band: int, threshold: float) -> Iterator[tuple[int, int, int]]:
-    """(0, node, node) for a spanning forest of the tile's links, and (1, node, linked documents)."""
+    """(0, node, another of its component) for each but one of a component, and (1, node, linked documents)."""
     same = left is right
     offset = 0 if same else len(left.node)
     node = left.node if same else np.concatenate((left.node, right.node))
@@ -208,8 +207,9 @@ def _tile(left: _Side, right: _Side, band: int, threshold: float) -> Iterator[tu
             copies = right.copies[j - offset], left.copies[i]
             linked += np.bincount(i, weights=copies[0], minlength=len(node)).astype(np.int64)
             linked += np.bincount(j, weights=copies[1], minlength=len(node)).astype(np.int64)
-            for x, y in _forest(label, i, j):
-                yield 0, int(node[x]), int(node[y])
+            _unite(label, i, j)
+    for k in np.flatnonzero(label != np.arange(len(node))):
+        yield 0, int(node[k]), int(node[label[k]])
     for k in np.flatnonzero(linked):
         yield 1, int(node[k]), int(linked[k])
 
