@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from raw import write
 
 from vigil.functions import enrich
-from vigil.operators import build, checks, publish, search
+from vigil.operators import analyses, build, checks, publish, search, text
 from vigil.operators.build import KEY
 from vigil.operators.cohort import Cohort
 from vigil.sources import pipe_files as pf
@@ -218,3 +218,53 @@ def test_csv_values_are_whole_and_manifest_has_years(spark, tmp_path):
     df.write.parquet(str(tmp_path / "years"))
     row = publish.manifest(spark, str(tmp_path / "years")).first()
     assert (row["rows"], row["first_year"], row["last_year"], row["schema_version"]) == (2, 2019, 2021, publish.SCHEMA_VERSION)
+
+
+def test_years_before_the_first_folder_are_read(spark, tmp_path):
+    years = [2005, 2010, 2012, 2014, 2016, None]
+    df = spark.createDataFrame([(str(i), y, "A") for i, y in enumerate(years)], f"{KEY} string, report_year int, product_code string")
+    publish.write_reports(df, str(tmp_path / "r"))
+    for first, last in [(None, 2012), (2010, 2012), (2006, 2014), (2014, 2015), (2011, None), (2013, 2013), (None, 2000)]:
+        got = sorted(r["report_year"] for r in pf.read_years(spark, str(tmp_path / "r"), first, last).collect())
+        assert got == [y for y in years if y is not None and (first or 0) <= y <= (last or 9999)]
+
+
+def test_null_groups_are_replaced(spark):
+    old = spark.createDataFrame([(None, 5), (2014, 3)], "y int, n long")
+    fresh = spark.createDataFrame([(None, 9)], "y int, n long")
+    assert sorted(map(tuple, incremental.affected(old, fresh, ["y"]).collect()), key=str) == [(2014, 3), (None, 9)]
+
+
+def test_absent_tables_are_errors(spark):
+    one = spark.range(1)
+    found = {r["detail"]: r["severity"] for r in checks.filled({"mdr": one, "extra": one.limit(0), "gone": None}).collect()}
+    assert found == {"mdr": 0, "device": 2, "patient": 2, "narrative": 2, "reports": 2, "extra": 1, "gone": 1}
+
+
+def test_first_device_of_keyless_rows(spark):
+    rows = [(None, str(i), f"b{i}") for i in range(50)] + [("1", "10", "x"), ("1", "9", "y"), ("1", "odd", "a"), ("2", None, "only"), ("3", "odd", "b"), ("3", None, "z")]
+    df = spark.createDataFrame(rows, f"{KEY} string, DEVICE_EVENT_KEY string, BRAND_NAME string").repartition(3)
+    got = {r[KEY]: r["BRAND_NAME"] for r in build.first_device(df).collect()}
+    assert got == {None: "b0", "1": "y", "2": "only", "3": "z"}
+    assert "Window" not in build.first_device(df)._jdf.queryExecution().executedPlan().toString()
+    assert {r[KEY]: r["BRAND_NAME"] for r in build.first_device(df, lexicographic=True).collect()}["1"] == "x"
+
+
+def test_an_empty_query_finds_nothing(spark):
+    df = spark.createDataFrame([(1, "pump stopped")], "k long, t string")
+    assert text.bm25(df, "k", "t", "  ", 5).count() == 0 and text.bm25(df, "k", "t", "pump", 5).count() == 1
+
+
+def test_screen_on_the_published_bridge(spark, tmp_path):
+    """Equal to the screen with joins, and reads the row groups of one product code without a join of reports."""
+    rows = [(str(i), 2010 + i % 9, f"P{i % 7}", i % 5) for i in range(4000)]
+    reports = spark.createDataFrame(rows, f"{KEY} string, report_year int, product_code string, x int")
+    pairs = spark.createDataFrame([(k, str(c)) for k, _, _, x in rows for c in {x, int(k) % 3}], f"{KEY} string, code string")
+    terms = spark.createDataFrame([(str(i), f"term {i}") for i in range(5)], "FDA_CODE string, TERM string")
+    publish.write_bridge(pairs, reports, str(tmp_path / "b"))
+    bridge = spark.read.parquet(str(tmp_path / "b"))
+    want = analyses.flat_screen(analyses.screen(F.col("product_code") == "P3", reports, pairs, terms, F.col("report_year") >= 2012))
+    got = analyses.flat_screen(analyses.published_screen(bridge, publish.report_counts(reports), publish.code_counts(bridge), terms, "P3", 2012))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() >= 5
+    mine = bridge.filter("pc = 'P3' and y >= 2012").groupBy("code").count()._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(pc,P3)" in mine and "Join" not in mine

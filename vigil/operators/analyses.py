@@ -165,6 +165,21 @@ def screen(cohort: DataFrame | Column, corpus: DataFrame, pairs: DataFrame, dict
         totals = of_cohort(pairs, corpus).groupBy("code").agg(F.count("*").alias("G"))
         everything = corpus.agg(F.count("*").alias("E"))  # one row
         rows = (coded.join(sizes, list(by)) if by else coded.join(F.broadcast(sizes))).join(totals, "code").join(F.broadcast(everything))
+    return _measured(rows, dictionary)
+
+
+def published_screen(bridge: DataFrame, report_counts: DataFrame, code_counts: DataFrame, dictionary: DataFrame, product_code: str, first: int, last: int | None = None, least: int = 3) -> DataFrame:
+    """A10 of one product code on the published bridge, sorted by it, and its two small rollups: only the row groups
+    of that code are read, and no report is joined. Undated reports are eligible, as everywhere."""
+    years = F.col("y").isNull() | ((F.col("y") >= first) & (F.col("y") <= last if last is not None else F.lit(True)))
+    mine = F.col("pc") == product_code
+    coded = bridge.filter(mine & years).groupBy("code").agg(F.count("*").alias("a")).filter(F.col("a") >= least)
+    sizes = report_counts.filter(years).agg(F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias("N"), F.sum("n").alias("E"))
+    totals = code_counts.filter(years).groupBy("code").agg(F.sum("n").alias("G"))
+    return _measured(coded.join(totals, "code").join(F.broadcast(sizes)), dictionary)  # one row
+
+
+def _measured(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     N, G, E = F.col("N"), F.col("G"), F.col("E")
     rows = rows.withColumns({"b": N - F.col("a"), "c": G - F.col("a"), "d": E - G - N + F.col("a")})
     cells = [F.col(x) for x in "abcd"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .build import KEY, orphans
@@ -19,7 +19,12 @@ def _row(df: DataFrame, check: str, severity: Column, metric: Column, detail: Co
 def filled(tables: dict[str, DataFrame]) -> DataFrame:
     """Q01: an absent or empty required table is an error, an empty optional one a warning."""
     parts = []
-    for name, df in tables.items():
+    spark = SparkSession.getActiveSession()
+    for name in dict.fromkeys([*REQUIRED, *tables]):
+        df = tables.get(name)
+        if df is None:
+            parts.append(_row(spark.range(1), "filled", F.lit(2 if name in REQUIRED else 1), F.lit(0), F.lit(name)))
+            continue
         n = df.limit(1).agg(F.count("*").alias("n"))
         parts.append(_row(n, "filled", F.when(F.col("n") > 0, 0).otherwise(2 if name in REQUIRED else 1), F.col("n"), F.lit(name)))
     return reduce(DataFrame.unionByName, parts)

@@ -41,6 +41,16 @@ def write_bridge(pairs: DataFrame, reports: DataFrame, path: str) -> None:
     rows.repartitionByRange("pc", "y").sortWithinPartitions("pc", "y", "code", "k").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def report_counts(reports: DataFrame) -> DataFrame:
+    """Reports by product code and year, the sizes that a screen on the bridge needs."""
+    return reports.groupBy(F.col("product_code").alias("pc"), F.col("report_year").cast("short").alias("y")).agg(F.count("*").alias("n"))
+
+
+def code_counts(bridge: DataFrame) -> DataFrame:
+    """Reports by problem code and year."""
+    return bridge.groupBy("code", "y").agg(F.count("*").alias("n"))
+
+
 def write_small(df: DataFrame, path: str) -> None:
     """A dictionary or rollup, in one file."""
     df.coalesce(1).write.mode("overwrite").parquet(path)

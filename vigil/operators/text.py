@@ -49,9 +49,12 @@ def top(counts: DataFrame, k: int, least: int = 1) -> DataFrame:
 def bm25(texts: DataFrame, key: str, column: str, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best texts for a query. Only the query's words are exploded and counted.
 
-    Words are matched whole, without stemming.
+    Words are matched whole, without stemming; stop words and words of one or two letters match nothing, nor does a
+    query without words.
     """
     wanted = sorted(set(query.lower().split()))
+    if not wanted:
+        return texts.select(key, F.lit(0.0).alias("score")).limit(0)
     words = texts.filter(F.col(column).isNotNull()).select(key, tokens(F.col(column)).alias("w"))
     sized = words.select(key, F.size("w").alias("length"), *[F.size(_only(t)).alias(f"t{i}") for i, t in enumerate(wanted)])
     facts = sized.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(wanted))])

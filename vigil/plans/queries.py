@@ -136,6 +136,13 @@ def flagship(x: Lens) -> DataFrame:
     return an.flat_screen(an.screen(BRAND.column(), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
 
 
+@register("published_signal_screen", _screen_sql("product_code = 'BRAND#2'"))
+def screen_published(x: Lens) -> DataFrame:
+    reports = x.some("product_code")
+    bridge = publish.published_bridge(x.pairs, reports)
+    return an.flat_screen(an.published_screen(bridge, publish.report_counts(reports), publish.code_counts(bridge), x.dictionary, "BRAND#2", ELIGIBLE_FROM))
+
+
 @register("signal_screen_all_products", _screen_sql("product_code IS NOT NULL", "product_code"))
 def screen_all(x: Lens) -> DataFrame:
     rows = x.some("product_code")

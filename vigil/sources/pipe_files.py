@@ -205,10 +205,19 @@ def read_years(spark: SparkSession, path: str, first: int | None = None, last: i
     if first is not None:
         rows = rows.filter((F.col("year_bucket") >= first) & (F.col("report_year") >= first))
     if last is not None:
-        rows = rows.filter((F.col("year_bucket") <= last) & (F.col("report_year") <= last))
+        # the first folder holds earlier years too
+        rows = rows.filter((F.col("year_bucket") <= max(last, _first_bucket(spark, path))) & (F.col("report_year") <= last))
     return rows
 
 
+def _first_bucket(spark: SparkSession, path: str) -> int:
+    """The least year among the names of the year folders."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = [f.getPath().getName() for f in found]
+    return min((int(n.split("=")[1]) for n in names if n.startswith("year_bucket=")), default=0)
+
+
 def typed_reports(raw: DataFrame) -> DataFrame:
     """E01, E02, E05 on raw report rows; either spelling of the report date serves."""
     column = lambda *names: next((F.col(n) for n in names if n in raw.columns), F.lit(None).cast("string"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
@@ -33,5 +35,7 @@ def unseen(files: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def affected(rollup: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """A rollup with the groups that `fresh` has recomputed replaced."""
-    return rollup.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+    """A rollup with the groups that `fresh` has recomputed replaced; null is a group like any other."""
+    new = fresh.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rollup.join(new, same, "left_anti").unionByName(fresh)
