@@ -25,12 +25,11 @@ def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
 def first_device(device: DataFrame, lexicographic: bool = False) -> DataFrame:
     """Each report's first device by device key (as a number where it is one), ties by all columns."""
     key = F.col("DEVICE_EVENT_KEY")
-    number = key.cast("string").try_cast("long")
-    order = [key] if lexicographic else [number.isNull().alias("_odd"), number.alias("_number"), key]
+    order = [key] if lexicographic else [key.cast("string").try_cast("long").asc_nulls_last(), key]
     rest = [c for c in device.columns if c not in (KEY, "DEVICE_EVENT_KEY")]
-    # the least row, kept by each task first: keyless devices, however many, are one group
-    first = device.groupBy(KEY).agg(F.min(F.struct(*order, *rest)).alias("_first"))
-    return first.select(*[F.col(c) if c == KEY else F.col(f"_first.{c}").alias(c) for c in device.columns])
+    rank = F.row_number().over(W.partitionBy(KEY).orderBy(*order, *rest))
+    # keyless devices belong to no report, and all of them would be one group
+    return device.filter(F.col(KEY).isNotNull()).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def device_count(device: DataFrame) -> DataFrame:
