@@ -73,21 +73,29 @@ def _beginnings(narrative: DataFrame, chars: int) -> DataFrame:
     return parts.drop("_salt", "_start")
 
 
-def narrative_summary(narrative: DataFrame, chars: int = NARRATIVE_CHARS) -> DataFrame:
-    """Parts, description and manufacturer text in key order, and the flags their words set."""
-    text = F.col("FOI_TEXT")
+def narrative_flags(narrative: DataFrame) -> DataFrame:
+    """The number of parts and the flags their words set."""
+    says = lambda phrase: F.coalesce(F.bool_or(F.lower("FOI_TEXT").contains(phrase)), F.lit(False))
+    return narrative.groupBy(KEY).agg(
+        F.count("*").cast("int").alias("narr_part_count"),
+        says("803.22(b)(2)").alias("IS_FORWARDED_803_22_B2"), says("(b)(4)").alias("HAS_REDACTION_B4"), says("(b)(6)").alias("HAS_REDACTION_B6"),
+    )
+
+
+def narrative_texts(narrative: DataFrame, chars: int = NARRATIVE_CHARS) -> DataFrame:
+    """Description and manufacturer text in key order."""
 
     def cut(column: str) -> Column:
         parts = F.sort_array(F.collect_list(F.when(F.col("_column") == column, F.struct("MDR_TEXT_KEY", "FOI_TEXT"))))
         return F.when(F.size(parts) > 0, F.substring(F.array_join(F.transform(parts, lambda x: x["FOI_TEXT"]), JOINT), 1, chars)).alias(column)
 
-    says = lambda phrase: F.coalesce(F.bool_or(F.lower(text).contains(phrase)), F.lit(False))
-    flags = narrative.groupBy(KEY).agg(
-        F.count("*").cast("int").alias("narr_part_count"),
-        says("803.22(b)(2)").alias("IS_FORWARDED_803_22_B2"), says("(b)(4)").alias("HAS_REDACTION_B4"), says("(b)(6)").alias("HAS_REDACTION_B6"),
-    )
-    texts = _beginnings(narrative, chars).groupBy(F.col(KEY).alias("_key")).agg(cut("narrative_desc"), cut("narrative_mfg"))
-    both = flags.join(texts, F.col(KEY).eqNullSafe(F.col("_key")), "left")
+    return _beginnings(narrative, chars).groupBy(KEY).agg(cut("narrative_desc"), cut("narrative_mfg"))
+
+
+def narrative_summary(narrative: DataFrame, chars: int = NARRATIVE_CHARS) -> DataFrame:
+    """One row a report, keyless parts together."""
+    texts = narrative_texts(narrative, chars).withColumnRenamed(KEY, "_key")
+    both = narrative_flags(narrative).join(texts, F.col(KEY).eqNullSafe(F.col("_key")), "left")
     return both.select(KEY, "narr_part_count", "narrative_desc", "narrative_mfg", "IS_FORWARDED_803_22_B2", "HAS_REDACTION_B4", "HAS_REDACTION_B6")
 
 
@@ -106,7 +114,8 @@ FROM_DEVICE = {"BRAND_NAME", "GENERIC_NAME", "MODEL_NUMBER", "manufacturer", "pr
                "device_operator", "device_evaluated_by_manufacturer", "reprocessed_and_reused"}
 FROM_PATIENT = {"patient_count", "age_years_min", "age_years_max", "age_years_avg", "sex_list", "any_serious_outcome", "outcome_codes_raw", "outcome_codes",
                 *[f"outcome_{x}" for x in enrich.OUTCOME_LABELS.values()]}
-FROM_NARRATIVE = {"IS_FORWARDED_803_22_B2", "HAS_REDACTION_B4", "HAS_REDACTION_B6", "has_narrative", "narr_part_count", "narrative_desc", "narrative_mfg"}
+FROM_FLAGS = {"IS_FORWARDED_803_22_B2", "HAS_REDACTION_B4", "HAS_REDACTION_B6", "has_narrative", "narr_part_count"}
+FROM_TEXTS = {"narrative_desc", "narrative_mfg"}
 
 
 def compose(mdr: DataFrame, device: DataFrame, patient: DataFrame, narrative: DataFrame, device_problem: DataFrame, patient_problem: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -118,7 +127,8 @@ def compose(mdr: DataFrame, device: DataFrame, patient: DataFrame, narrative: Da
         (FROM_DEVICE, lambda: first_device(device)),
         ({"device_count"}, lambda: device_count(device)),
         (FROM_PATIENT, lambda: patient_summary(patient)),
-        (FROM_NARRATIVE, lambda: narrative_summary(narrative)),
+        (FROM_FLAGS, lambda: narrative_flags(narrative)),
+        (FROM_TEXTS, lambda: narrative_texts(narrative)),
         ({"device_problem_codes"}, lambda: problem_list(device_problem, "device_problem_codes")),
         ({"patient_problem_codes"}, lambda: problem_list(patient_problem, "patient_problem_codes")),
     )
