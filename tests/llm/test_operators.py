@@ -533,6 +533,63 @@ def test_toxicity_of_word_pairs(spark):
     assert sum(g == int(i % 5 == 0) for i, g in enumerate(got)) > 1570
 
 
+def test_smoothed_probabilities(spark, monkeypatch, tmp_path):
+    """Every word and pair against plain counts, nothing pruned."""
+    rnd = random.Random(61)
+    texts = [prose(rnd, rnd.choice([0, 3, 12, 40])) for _ in range(80)] + [None, "", "Ka-KA ka", "ka ka ka"]
+    toxic = [rnd.choice([0, 0, 1, None]) for _ in texts]
+    for name, value in (("WORD_TEST", -1.0), ("PAIR_TEST", -1.0), ("EFFECT", 0.0), ("SLICE", 1)):
+        monkeypatch.setattr(toxicity, name, value)
+    split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    pairs = [set(zip(["^", *w], w, strict=False)) for w in map(split, texts)]
+    count = {k: Counter(p for each, x in zip(pairs, toxic, strict=True) if x == k for p in each) for k in (0, 1)}
+    contexts = Counter(w for _, w in set().union(*pairs))
+    share = {w: n / sum(contexts.values()) for w, n in contexts.items()}
+    discount = lambda c: (lambda a, b: a / (a + 2 * b) if a else 0.5)(*[sum(n == i for n in c.values()) for i in (1, 2)])
+    word, whole = {}, {}
+    for k in (0, 1):
+        before = Counter(w for _, w in count[k])
+        d, n = discount(before), sum(before.values())
+        word[k] = {w: (max(before[w] - d, 0) + d * len(before) * p) / n for w, p in share.items()}
+        d = discount(count[k])
+        total, kinds = Counter(), Counter(v for v, _ in count[k])
+        for (v, _), c in count[k].items():
+            total[v] += c
+        whole[k] = lambda v, w, k=k, d=d, total=total, kinds=kinds: (max(count[k][v, w] - d, 0) + d * kinds[v] * word[k][w]) / total[v] if total[v] else word[k][w]
+    seen = {w for k in (0, 1) for _, w in count[k]}
+    want = {(None, w): np.log(word[1][w] / word[0][w]) for w in seen}
+    want |= {(v, w): np.log(whole[1](v, w) / whole[0](v, w)) - want[None, w] for (v, w), c in count[1].items() if c >= 2}
+    names = {0: "^", None: None}
+    for t in texts:
+        for _, _, _, _, hashes in toxicity._tokens(pa.array([t], pa.string())):
+            names |= dict(zip(hashes.tolist(), split(t), strict=True))
+    frame = spark.createDataFrame(list(zip(texts, toxic, strict=True)), "text string, toxic long").repartition(3)
+    got = {(names[r["v"]], names[r["w"]]): r["e"] for r in toxicity.model(frame, frame.filter("toxic is not null"), str(tmp_path / "m")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_toxicity_joined_as_looked_up(spark, monkeypatch):
+    rnd = random.Random(62)
+    texts, toxic = [None, "", " . "], [0, 1, 0]
+    for i in range(600):
+        w = prose(rnd, 30).split()
+        texts.append(" ".join(w[:9] + ["vilko", "grazt"] * (2 * (i % 6 == 0)) + w[9:]))
+        toxic.append(int(i % 6 == 0) if i < 400 else None)
+    texts += [prose(rnd, 30_000), texts[3], texts[3]]
+    toxic += [None, None, 1]
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic) if t is not None], "doc_id long, quality int, toxic int")
+    frame = make(spark, texts).withColumn("score", F.lit("mine")).withColumn("_score", F.lit(1)).withColumn("_id", F.lit(2))
+    got = rows(toxicity.op9(frame, labels))
+    assert [got[i]["predicted"] for i in range(3, 603)] == [int(i % 6 == 0) for i in range(600)]
+    assert got[0]["score"] == got[1]["score"] == got[2]["score"] < 0.3 and not got[603]["predicted"] and got[604]["score"] == got[3]["score"]
+    kept = toxicity.clean(frame, labels)
+    assert kept.columns == frame.columns and kept.count() == sum(not r["predicted"] for r in got.values())
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    monkeypatch.setattr(toxicity, "MAX_SENT", 0)
+    joined = rows(toxicity.op9(frame, labels))
+    assert all(abs(got[i]["score"] - joined[i]["score"]) < 1e-3 and got[i]["predicted"] == joined[i]["predicted"] for i in got)
+
+
 # ---- 10 decontamination --------------------------------------------------------------------
 
 
