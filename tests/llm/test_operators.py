@@ -419,6 +419,13 @@ def test_hamming_with_few_rows(spark):
     assert hamming.search(frame.limit(0), frame.limit(0), 5, 8).count() == 0
 
 
+def test_hamming_leaves_out_other_lengths(spark):
+    frame = spark.createDataFrame([(i, [float(i >> b & 1) for b in range(8)]) for i in range(40)], "vec_id long, embedding array<float>")
+    odd = spark.createDataFrame([(100, [1.0]), (101, []), (102, None), (103, [1.0] * 9), (0, [1.0] * 3)], "vec_id long, embedding array<float>")
+    found = lambda df: sorted(map(tuple, hamming.search(df, df.filter("vec_id % 20 = 0"), 5, 8).collect()))
+    assert found(frame.union(odd)) == found(frame)
+
+
 # ---- 8 language ----------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ as ties go to the lower id. Equal queries are searched once. A query's own row i
 
 Defined cases: null vectors and null ids are left out; null or NaN components count as not positive; with
 fewer than k other rows all of them are returned; repeated ids of one code count once; vectors of another
-length than `dims` are an error; extra columns are ignored.
+length than `dims` are left out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,16 +35,14 @@ def codes(vectors: DataFrame, dims: int, m: int) -> DataFrame:
     cut = [dims * j // m for j in range(m + 1)]
 
     def segment(a: int, b: int) -> Column:
-        bits = [F.when(F.coalesce(x[i], F.lit(0.0)) > 0, ~F.isnan(x[i])).otherwise(False).cast("int") * F.lit(1 << (i - a)) for i in range(a, b)]
+        bits = [F.when(F.coalesce(F.get(x, F.lit(i)), F.lit(0.0)) > 0, ~F.isnan(F.get(x, F.lit(i)))).otherwise(False).cast("int") * F.lit(1 << (i - a)) for i in range(a, b)]
         out = bits[0]
         for one in bits[1:]:
             out = out + one
         return out
 
-    right = F.when(F.size(x) == dims, F.array(*[segment(a, b) for a, b in zip(cut, cut[1:], strict=False)])).otherwise(
-        F.raise_error(F.lit("a vector has another length")).cast("array<int>")
-    )
-    return vectors.filter("vec_id is not null and embedding is not null").select("vec_id", right.alias("segs"))
+    right = F.array(*[segment(a, b) for a, b in zip(cut, cut[1:], strict=False)])
+    return vectors.filter(F.col("vec_id").isNotNull() & (F.size(x) == dims)).select("vec_id", right.alias("segs"))
 
 
 def _distance(a: str, b: str) -> Column:
