@@ -112,6 +112,13 @@ class Cohort:
         return " AND ".join(out) or "true"
 
 
+def saying(reports: DataFrame, narrative: DataFrame, phrase: str) -> DataFrame:
+    """N06 on whole texts: reports of which some description part holds the phrase, wherever it stands. The filter
+    `Cohort.narrative` sees only the characters that the reports table keeps."""
+    parts = narrative.filter((F.upper(F.trim("TEXT_TYPE_CODE")) == "D") & F.contains(F.lower("FOI_TEXT"), F.lit(phrase.lower())))
+    return reports.join(parts.select(KEY), KEY, "left_semi")
+
+
 def eligible(from_year: int) -> Column:
     """Reports that may carry a problem code."""
     return F.col("report_year").isNull() | (F.col("report_year") >= from_year)

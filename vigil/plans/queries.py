@@ -11,7 +11,7 @@ from vigil.functions import enrich, stats, tails
 from vigil.operators import analyses as an
 from vigil.operators import build, checks, publish, search, text
 from vigil.operators.build import KEY
-from vigil.operators.cohort import Cohort, eligible, of_cohort
+from vigil.operators.cohort import Cohort, eligible, of_cohort, saying
 from vigil.sources import pipe_files
 from vigil.streaming import incremental
 
@@ -245,17 +245,17 @@ def b10(x: Lens) -> DataFrame:
     return build.refresh_patient_problems(x.some("patient_problem_codes"), x.patient_problem.filter("PROBLEM_CODE like '%F'"))[0].select(KEY, "report_year", "patient_problem_codes")
 
 
-@register("orphan_narratives", """SELECT k AS "MDR_REPORT_KEY", turn AS "MDR_TEXT_KEY", kind AS "TEXT_TYPE_CODE", text AS "FOI_TEXT" FROM narrative WHERE k NOT IN (SELECT o_orderkey FROM orders)""")
+@register("orphan_narratives", """SELECT k AS "MDR_REPORT_KEY", turn AS "MDR_TEXT_KEY", kind AS "TEXT_TYPE_CODE", text AS "FOI_TEXT" FROM narrative WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def b11(x: Lens) -> DataFrame:
-    return build.orphans(x.narrative, x.mdr)
+    """Parts that have no report in a table of deaths alone; in the whole table all have one."""
+    return build.orphans(x.narrative, x.mdr.filter("EVENT_TYPE = 'D'"))
 
 
 _COHORTS = {
     "years_events": (Cohort(year_lo=1997, year_hi=1999, event_types=("D", "IN")), "report_year BETWEEN 1997 AND 1999 AND event_type IN ('D', 'IN')"),
-    "device_terms": (Cohort.from_terms("brass; STEEL"), "(contains(lower(brand), 'brass') OR contains(lower(generic), 'brass') OR contains(lower(brand), 'steel') OR contains(lower(generic), 'steel'))"),
+    "device_terms": (Cohort.from_terms("gizmo; PROMO"), "(contains(lower(brand), 'gizmo') OR contains(lower(generic), 'gizmo') OR contains(lower(brand), 'promo') OR contains(lower(generic), 'promo'))"),
     "manufacturer": (Cohort(manufacturer="#00000001", serious_only=True), "contains(lower(manufacturer), '#00000001') AND serious"),
     "exclusions": (Cohort(exclude_forwarded=True, exclude_rwd=True, initial_only=True, implant_only=True), "NOT coalesce(fwd, false) AND NOT is_rwd AND NOT is_supplement AND implant"),
-    "narrative": (Cohort(narrative="the"), "contains(lower(narrative_desc), 'the')"),
     "report_key": (Cohort(report_key="7", serious_only=True), "k = 7"),
 }
 for _name, (_cohort, _where) in _COHORTS.items():
@@ -264,6 +264,16 @@ for _name, (_cohort, _where) in _COHORTS.items():
     )
 
 
+@register("cohort_narrative", """SELECT k AS "MDR_REPORT_KEY", event_type AS "EVENT_TYPE", report_year FROM reports WHERE k IN (SELECT k FROM narrative WHERE kind = 'D' AND contains(lower(text), 'the'))""")
+def c06(x: Lens) -> DataFrame:
+    return saying(x.some("EVENT_TYPE"), x.narrative, "the").select(KEY, "EVENT_TYPE", "report_year")
+
+
+@register("cohort_narrative_kept", """SELECT k AS "MDR_REPORT_KEY", event_type AS "EVENT_TYPE", report_year FROM reports WHERE contains(lower(narrative_desc), 'the')""")
+def c06_kept(x: Lens) -> DataFrame:
+    return Cohort.from_json(Cohort(narrative="the").to_json()).of(x.some("EVENT_TYPE", "narrative_desc")).select(KEY, "EVENT_TYPE", "report_year")
+
+
 @register("corpus_landing", """SELECT report_year, measure, n FROM (SELECT report_year, count(*) AS reports, count(*) FILTER (WHERE event_type = 'D') AS deaths, count(*) FILTER (WHERE event_type = 'IN') AS injuries, count(*) FILTER (WHERE event_type = 'M') AS malfunctions FROM reports WHERE report_year IS NOT NULL GROUP BY 1) UNPIVOT (n FOR measure IN (reports, deaths, injuries, malfunctions))""")
 def a00(x: Lens) -> DataFrame:
     return an.landing(x.some("EVENT_TYPE"))
