@@ -196,6 +196,33 @@ def test_chunks_match_brute_force(docs, texts):
     assert set(full.columns) == {*docs.columns, "kept", "spans", "n_chunks"}
 
 
+def plain_cuts(raw):
+    """Ends of chunks, a byte at a time."""
+    gear, mask, top = [int(x) for x in chunking._GEAR], 2**32 - 1, 2**32 - 1
+    own = [min(sum(gear[raw[i - d]] << d for d in range(min(16, i + 1))) & mask, top - 1) for i in range(len(raw))]
+    ends = []
+    for i in range(16, len(raw)):
+        before, after = own[max(i - 32, 0) : i], own[i + 1 : i + 33]
+        if own[i] < min(before, default=top) and own[i] <= min(after, default=top):
+            end = i + 1
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end += 1
+            if end >= 32 and len(raw) - end >= 32 and end not in ends:
+                ends.append(end)
+    return [*ends, len(raw)] if raw else []
+
+
+def test_cuts_are_the_plain_ones(texts):
+    raws = [(t or "").encode() for t in texts] + ["naïve café Ünï çødé ".encode() * 40, b"ab" * 300]
+    buf = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    offsets = np.cumsum([0, *map(len, raws)])
+    doc, start, end = chunking.cuts(buf, offsets)
+    for i, raw in enumerate(raws):
+        mine = doc == i
+        assert (end[mine] - offsets[i]).tolist() == plain_cuts(raw)
+        assert (start[mine] - offsets[i]).tolist() == [0, *plain_cuts(raw)[:-1]][: mine.sum()]
+
+
 def test_chunks_resist_insertions():
     rnd = random.Random(5)
     raw = prose(rnd, 2000).encode()
@@ -444,6 +471,48 @@ def test_language(spark):
     assert language.op8(make(spark, []).limit(0)).count() == 0
 
 
+def plain_grams(text):
+    """An n-gram's code points, blanks as 1, read as one number of base 2**21."""
+    low = [ord(c.lower()[0]) if c.isalpha() else 32 for c in text]
+    out = Counter()
+    for run in re.findall("[^ ]+", "".join(map(chr, low))):
+        x = [1, *map(ord, run), 1]
+        for n in (2, 3):
+            for i in range(len(x) - n + 1):
+                out[sum(p << (21 * (n - 1 - k)) for k, p in enumerate(x[i : i + n]))] += 1
+        out.update(map(ord, run))
+    return out
+
+
+def test_out_of_place_distance(spark):
+    """Predictions and scores of every kind of text against plain dictionaries, ties included."""
+    rnd = random.Random(42)
+    lex = {"aa": ["thing", "with", "shall"], "bb": ["über", "schön", "nicht"], "zz": ["thing", "with", "shall"]}
+    learn = []
+    for k in range(60):
+        g = ["aa", "bb"][k % 2]
+        text = prose(rnd, rnd.choice([2, 20, 90]), lex[g])
+        learn += [(text, g)] + ([(text, "zz")] if g == "aa" else [])  # zz has the profile of aa
+    texts = [prose(rnd, n, lex[g]) for g in ("aa", "bb") for n in (1, 7, 60)] + ["THING!", "ü", "qqq xyz", "4 !", "", None, prose(rnd, 20_000), prose(rnd, 9, lex["bb"])]
+    texts.append(texts[0])
+    counts = defaultdict(Counter)
+    for text, g in learn:
+        counts[g] += plain_grams(text)
+    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:300]]
+    places = {g: {x: i for i, x in enumerate(ranked(c))} for g, c in counts.items()}
+    learned = language.profiles(spark.createDataFrame(learn, "text string, lang string").repartition(3))
+    rows_ = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), learned).collect()
+    for r in rows_:
+        mine = ranked(plain_grams(texts[r["doc_id"]] or ""))
+        if not mine:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        distance = {g: sum(abs(p[x] - i) if x in p else 300 for i, x in enumerate(mine)) for g, p in places.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert r["lang_pred"] == best and abs(r["score"] - (1 - distance[best] / (300 * len(mine)))) < 1e-12
+    assert len(rows_) == len(texts)
+
+
 def test_profile_is_the_plain_ranking(spark):
     text = "Abc abd, ab"
     frame = spark.createDataFrame([(text, "x")], "text string, lang string")
