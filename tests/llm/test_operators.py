@@ -406,6 +406,20 @@ def test_suffix_edges(spark):
     assert suffixes.op6(make(spark, []).limit(0)).count() == 0
 
 
+def test_strings_with_one_hash_stay_apart(texts, monkeypatch):
+    monkeypatch.setattr(suffixes, "_row_hash", lambda rows: np.zeros(len(rows), dtype=np.uint64))
+    unit = suffixes.Unit(pa.table({"id": range(len(texts)), "text": texts}), 3)
+    chosen = np.arange(len(unit.place))
+    made, which, low = unit.strings(chosen)
+    assert len({bytes(r) for r in made}) > 100
+    for i in chosen[::7]:
+        row, at = made[which[i]], unit.place[i]
+        a, b = max(unit.first[i], at - suffixes.REACH), min(unit.last[i] + suffixes.WINDOW, at + suffixes.GRAM + suffixes.REACH)
+        shift = 4 + a - (at - suffixes.REACH)
+        assert bytes(row[shift : shift + b - a]) == bytes(unit.buf[a:b])
+        assert low[which[i]] <= unit.ids[unit.doc[i]]
+
+
 def test_columns_give_common_windows():
     rnd = np.random.default_rng(3)
     strings = rnd.integers(0, 2, (300, suffixes.WIDTH)).astype(np.uint8)

@@ -16,8 +16,10 @@ D. A bucket runs the column-wise construction and answers with 25 bits a string:
    a lower document elsewhere.
 E. Units turn the bits into removed spans.
 
-Units and buckets grow in number, not in size, with the input; a passage that most documents share is one
-string a unit. The texts are shuffled once, and read from that shuffle in A, C and E.
+Units and buckets grow in number, not in size, with the input, and a unit writes to the buckets that its
+anchors name, so there are never more messages than anchors. A passage that most documents share is one
+string a unit. Hashes only sort strings; what is equal is told by the bytes. The texts are shuffled once, and
+read from that shuffle in A, C and E.
 
 Defined cases: null and empty texts have no bytes; texts below 50 bytes lose nothing; rows that share a
 doc_id are one document in the order; a null doc_id comes after all others; matches are of bytes, so a cut
@@ -103,6 +105,21 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return fmix(out)
 
 
+def _unlike(rows: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before; the first does."""
+    out = np.ones(len(rows), dtype=bool)
+    out[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return out
+
+
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal values."""
+    if not len(sorted_values):
+        return []
+    begin = np.flatnonzero(np.diff(sorted_values, prepend=sorted_values[0] - 1))
+    return list(zip(sorted_values[begin].tolist(), begin.tolist(), np.append(begin[1:], len(sorted_values)).tolist(), strict=True))
+
+
 class Unit:
     """The documents of one unit and their anchors."""
 
@@ -156,11 +173,11 @@ class Unit:
         made[:, :4] = (self.key[chosen] >> np.uint64(32)).astype(">u4").view(np.uint8).reshape(-1, 4)
         made[:, 4:-2] = np.where(inside, self.buf[np.clip(cols, 0, max(len(self.buf) - 1, 0))], 0) if len(chosen) else 0
         made[:, -2], made[:, -1] = place - last, place - first
-        # rows by bucket, then by hash: equal rows become one
+        # rows by bucket, then by hash: equal neighbours, byte by byte, become one. Rows that a clash of hashes
+        # keeps from meeting stay several; the rounds find what they have in common
         bucket, mark = made[:, :4].copy().view(">u4").ravel(), _row_hash(made)
         order = np.lexsort((mark, bucket))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (mark[order[1:]] != mark[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])
+        new = _unlike(made[order])
         which = np.empty(len(order), dtype=np.int64)
         which[order] = np.cumsum(new) - 1
         low = np.full(int(new.sum()), _LAST, dtype=np.int64)
@@ -221,11 +238,9 @@ def dedup(docs: DataFrame) -> DataFrame:
         unit = Unit(table, q)
         keys, here = unit.distinct()
         out: list[tuple] = []
-        for b in range(q):
-            lo, hi = np.searchsorted(keys, [np.uint64(b) << np.uint64(32), np.uint64(b + 1) << np.uint64(32)])
-            if hi > lo:
-                rests = (keys[lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                out.append((b, rests.tobytes(), np.packbits(here[lo:hi]).tobytes()))
+        rests = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+        for b, lo, hi in _runs((keys >> np.uint64(32)).astype(np.int64)):
+            out.append((b, rests[lo:hi].tobytes(), np.packbits(here[lo:hi]).tobytes()))
         name = table["unit"][0].as_py()
         kinds = (pa.int64(), pa.binary(), pa.binary())
         cols = [pa.array([x[k] for x in out], kinds[k]) for k in range(3)]
@@ -250,8 +265,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             name, unit = table["unit"][0].as_py(), Unit(table, q)
             strings, _, low = unit.strings(unit.repeated(answers))
             bucket = strings[:, :4].copy().view(">u4").ravel().astype(np.int64)
-            for b in np.unique(bucket).tolist():
-                lo, hi = np.searchsorted(bucket, [b, b + 1])
+            for b, lo, hi in _runs(bucket):
                 out.append((b, strings[lo:hi, 4:].tobytes(), low[lo:hi].tobytes()))
         kinds = (pa.int64(), pa.binary(), pa.binary())
         cols = [pa.array([x[k] for x in out], kinds[k]) for k in range(3)]
@@ -261,11 +275,14 @@ def dedup(docs: DataFrame) -> DataFrame:
         made = [np.frombuffer(x, dtype=np.uint8).reshape(-1, WIDTH + 2) for x in table["strings"].to_pylist()]
         ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table["low"].to_pylist()])
         whole = np.concatenate(made)
-        # units send the same strings: each is compared once, with its lowest document
-        _, one, which = np.unique(_row_hash(np.pad(whole, ((0, 0), (4, 0)))), return_index=True, return_inverse=True)
-        low = np.full(len(one), _LAST, dtype=np.int64)
+        # units send the same strings: each is compared once, with its lowest document; equal by their bytes
+        order = np.argsort(_row_hash(np.pad(whole, ((0, 0), (4, 0)))), kind="stable")
+        new = _unlike(whole[order])
+        which = np.empty(len(order), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        distinct = whole[order[new]]
+        low = np.full(len(distinct), _LAST, dtype=np.int64)
         np.minimum.at(low, which, ids)
-        distinct = whole[one]
         bits = common_windows(np.asfortranarray(distinct[:, :-2]), distinct[:, -2], distinct[:, -1], low)[which]
         # a lower document with the same string has all of its windows
         bits = np.where(low[which] < ids, np.uint32(0xFFFFFFFF), bits)
