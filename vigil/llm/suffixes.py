@@ -42,7 +42,7 @@ GRAM = 26
 REACH = WINDOW - GRAM  # 24: how far an anchor may stand from its window's start
 WIDTH = GRAM + 2 * REACH
 UNIT_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 STEP = 1 << 17
 _LAST = 2**63 - 1
 _TOP = np.uint32(2**32 - 1)
