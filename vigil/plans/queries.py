@@ -79,6 +79,12 @@ def _wilson(k: str, n: str) -> str:
     return f"round(100 * {p}, 6) AS rate, round(100 * ({lo}), 6) AS lo, round(100 * ({hi}), 6) AS hi"
 
 
+def _tail(x: str, df: str) -> str:
+    """SQL of the chi-square tail, by the series of the lower incomplete gamma function."""
+    term = f"exp(({df} / 2.0 + i) * ln({x} / 2) - {x} / 2 - lgamma({df} / 2.0 + i + 1))"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 200 THEN 0.0 WHEN {x} > 0 THEN 1 - list_sum(list_transform(range(0, 400), lambda i: {term})) END"
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, on both sides of the comparison."""
     return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
@@ -118,7 +124,7 @@ round(chi20, 6) AS chi2, coalesce(a >= 3 AND prr0 >= 2 AND chi20 >= 4, false) AS
 """
 
 
-def _screen_sql(cohort: str, by: str = "") -> str:
+def _measured_sql(cohort: str, by: str = "") -> str:
     key = f"{by}, " if by else ""
     sizes = f"sizes AS (SELECT {key}count(*) AS n FROM inside {'GROUP BY ' + by if by else ''})"
     return f""", corpus AS (SELECT * FROM reports WHERE report_year IS NULL OR report_year >= {ELIGIBLE_FROM}),
@@ -126,7 +132,12 @@ inside AS (SELECT * FROM corpus WHERE {cohort}), {sizes},
 coded AS (SELECT {key}code, count(*) AS a FROM pairs JOIN inside USING (k) GROUP BY {key}code HAVING count(*) >= 3),
 totals AS (SELECT code, count(*) AS g FROM pairs JOIN corpus USING (k) GROUP BY code),
 tables AS (SELECT {key}code, a, n - a AS b, g - a AS c, (SELECT count(*) FROM corpus) - g - n + a AS d FROM coded JOIN totals USING (code) {'JOIN sizes USING (' + by + ')' if by else ', sizes'}),
-cells AS (SELECT *, {_CELLS} FROM tables), {_MEASURES}
+cells AS (SELECT *, {_CELLS} FROM tables), {_MEASURES}"""
+
+
+def _screen_sql(cohort: str, by: str = "") -> str:
+    key = f"{by}, " if by else ""
+    return _measured_sql(cohort, by) + f"""
 SELECT {key}code, coalesce(term, code) AS term, a, b, c, d, {_FLAT} FROM measured LEFT JOIN dictionary USING (code)"""
 
 
@@ -149,13 +160,25 @@ def screen_all(x: Lens) -> DataFrame:
     return an.flat_screen(an.screen(F.col("product_code").isNotNull(), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM), by=("product_code",)), by=("product_code",))
 
 
-@register("signal_screen_p_values")
+_TESTED = f"""{_measured_sql("product_code = 'BRAND#2'")},
+fisher_x AS (SELECT code, a, b, c, d, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM measured WHERE least(a, b, c, d) BETWEEN 0 AND 9),
+fisher_l AS (SELECT code, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS base,
+    lgamma(i + 1) + lgamma(a + b - i + 1) + lgamma(a + c - i + 1) + lgamma(d - a + i + 1) AS at_i, lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1) AS at_a FROM fisher_x),
+fisher AS (SELECT code, least(1.0, sum(exp(base - at_i)) FILTER (WHERE at_i >= at_a - 1e-9)) AS p_exact FROM fisher_l GROUP BY code),
+tested AS (SELECT measured.*, coalesce(p_exact, {_tail("chi20", "1")}) AS p0 FROM measured LEFT JOIN fisher USING (code)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY p0 IS NULL ORDER BY p0) AS rank, count(p0) OVER () AS tests FROM tested),
+found AS (SELECT *, CASE WHEN p0 IS NOT NULL THEN least(1.0, min(p0 * tests / rank) OVER (PARTITION BY p0 IS NULL ORDER BY rank DESC)) END AS q0 FROM ranked)
+"""
+
+
+@register("signal_screen_p_values", f"{_TESTED} SELECT code, coalesce(term, code) AS term, a, b, c, d, {_FLAT}, round(p0, 6) AS p, round(q0, 6) AS q FROM found LEFT JOIN dictionary USING (code)")
 def screen_p(x: Lens) -> DataFrame:
     rows = x.some("product_code")
     return an.signals(an.screen(BRAND.column(), rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM)))
 
 
-@register("signal_counts")
+@register("signal_counts", f"""{_TESTED}, flat AS (SELECT {_FLAT}, q0 FROM found)
+SELECT count(*) FILTER (WHERE ema) AS n_ema, count(*) FILTER (WHERE ic_signal) AS n_ic, count(*) FILTER (WHERE ema AND ic_signal) AS n_both, count(*) FILTER (WHERE q0 < 0.05) AS n_q FROM flat""")
 def counts(x: Lens) -> DataFrame:
     return an.signal_counts(screen_p(x))
 
@@ -378,21 +401,26 @@ def a12(x: Lens) -> DataFrame:
     return an.yearly_target(x.some("outcome_death"), F.col("outcome_death"))
 
 
-@register("trend_cochran_armitage", _YEARLY + """, m AS (SELECT min(report_year) AS y0 FROM v), s AS (SELECT count(*) AS groups, CAST(sum(n) AS DOUBLE) AS nn, CAST(sum(k) AS DOUBLE) AS r, CAST(sum((report_year - y0) * n) AS DOUBLE) AS sn, CAST(sum((report_year - y0) * k) AS DOUBLE) AS sr, CAST(sum((report_year - y0) * (report_year - y0) * n) AS DOUBLE) AS ssn FROM v, m),
-z AS (SELECT groups, (sr - r / nn * sn) / sqrt(r / nn * (1 - r / nn) * (ssn - sn * sn / nn)) AS z FROM s)
+_ARMITAGE = """, m AS (SELECT min(report_year) AS y0 FROM v), s AS (SELECT count(*) AS groups, CAST(sum(n) AS DOUBLE) AS nn, CAST(sum(k) AS DOUBLE) AS r, CAST(sum((report_year - y0) * n) AS DOUBLE) AS sn, CAST(sum((report_year - y0) * k) AS DOUBLE) AS sr, CAST(sum((report_year - y0) * (report_year - y0) * n) AS DOUBLE) AS ssn FROM v, m),
+z AS (SELECT groups, (sr - r / nn * sn) / sqrt(r / nn * (1 - r / nn) * (ssn - sn * sn / nn)) AS z FROM s)"""
+_KENDALL = """, steps AS (SELECT CAST(sum(sign(b.k - a.k)) AS BIGINT) AS s FROM v a JOIN v b ON a.report_year < b.report_year), t AS (SELECT CAST(sum(t) AS BIGINT) AS n, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT k, count(*) AS t FROM v GROUP BY k)),
+w AS (SELECT n, s, CAST((n * (n - 1) * (2 * n + 5) - ties) / 18.0 AS DOUBLE) AS variance FROM steps, t)"""
+
+
+@register("trend_cochran_armitage", _YEARLY + _ARMITAGE + """
 SELECT groups, round(z, 6) AS z, CASE WHEN z > 0 THEN 'increasing' WHEN z < 0 THEN 'decreasing' ELSE 'no trend' END AS direction FROM z""")
 def a12_ca(x: Lens) -> DataFrame:
     return an.trend(x.some("outcome_death"), F.col("outcome_death"))[0]
 
 
-@register("trend_mann_kendall", _YEARLY + """, s AS (SELECT CAST(sum(sign(b.k - a.k)) AS BIGINT) AS s FROM v a JOIN v b ON a.report_year < b.report_year), t AS (SELECT CAST(sum(t) AS BIGINT) AS n, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT k, count(*) AS t FROM v GROUP BY k)),
-w AS (SELECT n, s, CAST((n * (n - 1) * (2 * n + 5) - ties) / 18.0 AS DOUBLE) AS variance FROM s, t)
+@register("trend_mann_kendall", _YEARLY + _KENDALL + """
 SELECT n, s AS "S", round(variance, 6) AS variance, round((s - sign(s)) / sqrt(variance), 6) AS z, round(s / (n * (n - 1) / 2.0::DOUBLE), 6) AS tau, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'no trend' END AS direction FROM w""")
 def a12_mk(x: Lens) -> DataFrame:
     return an.trend(x.some("outcome_death"), F.col("outcome_death"))[1]
 
 
-@register("trend_p_values")
+@register("trend_p_values", f"""{_YEARLY}{_ARMITAGE}{_KENDALL}, both_z AS (SELECT 'cochran-armitage' AS test, z FROM z UNION ALL SELECT 'mann-kendall', (s - sign(s)) / sqrt(variance) FROM w)
+SELECT test, round(z, 6) AS z, round({_tail("(z * z)", "1")}, 6) AS p FROM both_z""")
 def a12_p(x: Lens) -> DataFrame:
     ca, mk = an.trend(x.some("outcome_death"), F.col("outcome_death"))
     rows = ca.select(F.lit("cochran-armitage").alias("test"), "z").unionByName(mk.select(F.lit("mann-kendall").alias("test"), "z"))
@@ -409,13 +437,16 @@ def a13(x: Lens) -> DataFrame:
     return an.compared(_EARLY.of(rows), _LATE.of(rows))
 
 
-@register("compare_cohorts_chi2", f", cells AS (SELECT CASE WHEN report_year <= 1997 THEN 'A' ELSE 'B' END AS cohort, event_type, CAST(count(*) AS DOUBLE) AS o FROM reports GROUP BY 1, 2), {_chi2_sql('event_type', 'cohort')}")
+_TWO_COHORTS = ", cells AS (SELECT CASE WHEN report_year <= 1997 THEN 'A' ELSE 'B' END AS cohort, event_type, CAST(count(*) AS DOUBLE) AS o FROM reports GROUP BY 1, 2), "
+
+
+@register("compare_cohorts_chi2", _TWO_COHORTS + _chi2_sql("event_type", "cohort"))
 def a13_test(x: Lens) -> DataFrame:
     rows = x.some("EVENT_TYPE")
     return an.comparison_test(_EARLY.of(rows), _LATE.of(rows))
 
 
-@register("compare_cohorts_p")
+@register("compare_cohorts_p", _TWO_COHORTS + _chi2_sql("event_type", "cohort").replace("SELECT round", ", test AS (SELECT round", 1) + f") SELECT *, round({_tail('chi2', 'df')}, 6) AS p FROM test")
 def a13_p(x: Lens) -> DataFrame:
     rows = x.some("EVENT_TYPE")
     return an.comparison_test(_EARLY.of(rows), _LATE.of(rows)).withColumn("p", tails.chi_square_p("chi2", "df"))
@@ -620,6 +651,22 @@ def q07(x: Lens) -> DataFrame:
     return checks.event_types(x.some("EVENT_TYPE"))
 
 
+def _bare(name: str) -> str:
+    return SQL[name][len(LENS) :]
+
+
+_ALL_CHECKS = f"""{_bare("check_year_volume")} UNION ALL {_bare("check_dates")} UNION ALL {_bare("check_event_types")}
+UNION ALL SELECT 'filled', CAST(CASE WHEN n > 0 THEN 0 WHEN name = 'dictionary' THEN 1 ELSE 2 END AS INTEGER), CAST(least(n, 1) AS DOUBLE), name FROM (
+  SELECT 'mdr' AS name, count(*) AS n FROM orders UNION ALL SELECT 'device', count(*) FROM device UNION ALL SELECT 'patient', count(*) FROM patient
+  UNION ALL SELECT 'narrative', count(*) FROM narrative UNION ALL SELECT 'reports', count(*) FROM reports UNION ALL SELECT 'dictionary', count(*) FROM dictionary)
+UNION ALL SELECT 'orphans', CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS INTEGER), CAST(count(*) AS DOUBLE), 'narrative' FROM narrative WHERE k NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'narrative_key', CAST(CASE WHEN s > 0.5 THEN 1 ELSE 0 END AS INTEGER), round(s, 6), 'percent blank' FROM (SELECT count(*) FILTER (WHERE k IS NULL) * 100.0::DOUBLE / count(*) AS s FROM narrative)
+UNION ALL SELECT 'narrative_text', CAST(CASE WHEN s > 5 THEN 1 ELSE 0 END AS INTEGER), round(s, 6), 'percent empty' FROM (SELECT count(*) FILTER (WHERE coalesce(trim(text), '') = '') * 100.0::DOUBLE / count(*) AS s FROM narrative)
+UNION ALL SELECT 'columns', 0, 0.0, name || ': complete' FROM (VALUES ('dictionary'), ('reports')) v(name)
+UNION ALL SELECT 'outcome_coverage', CAST(CASE WHEN s > 0 THEN 0 ELSE 1 END AS INTEGER), round(s, 6), 'percent of reports' FROM (SELECT count(*) FILTER (WHERE trim(outcomes) <> '') * 100.0::DOUBLE / count(*) AS s FROM reports)
+"""
+
+
 def _all_checks(x: Lens) -> DataFrame:
     typed = x.some("EVENT_TYPE")  # each check composes only what it looks at
     tables = {"mdr": x.mdr, "device": x.device, "patient": x.patient, "narrative": x.narrative, "reports": x.reports, "dictionary": x.dictionary}
@@ -633,12 +680,12 @@ def _all_checks(x: Lens) -> DataFrame:
     return out
 
 
-@register("check_all")
+@register("check_all", _ALL_CHECKS)
 def q_all(x: Lens) -> DataFrame:
     return _all_checks(x)
 
 
-@register("check_severity")
+@register("check_severity", _ALL_CHECKS.replace(" SELECT 'year_volume'", ", checks AS (SELECT 'year_volume'", 1).replace("\nSELECT 'year_volume'", ", checks AS (SELECT 'year_volume'", 1) + ") SELECT CAST(coalesce(max(severity), 0) AS INTEGER) AS severity, count(*) FILTER (WHERE severity > 0) AS findings FROM checks")
 def q09(x: Lens) -> DataFrame:
     return checks.severity(_all_checks(x))
 
