@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from vigil.plans import queries
+from vigil.plans import queries, stored  # noqa: F401
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()

@@ -7,6 +7,8 @@ from vigil.operators import analyses, build, checks, publish, search, text
 from vigil.operators.build import KEY
 from vigil.operators.cohort import Cohort
 from vigil.sources import pipe_files as pf
+from vigil.sources.countries import countries
+from vigil.sources.folder import load_folder
 from vigil.streaming import incremental
 
 
@@ -15,14 +17,17 @@ def folder(tmp_path_factory):
     return write(tmp_path_factory.mktemp("raw"))
 
 
-@pytest.fixture(scope="module")
-def reports(spark, folder):
+def reports_inputs(spark, folder):
     read = lambda name: pf.read_pipe(spark, f"{folder}/{name}")
-    frames = [
+    return [
         pf.typed_reports(read("mdrfoiThru2021.txt")), read("device2019.txt"), read("patient2019.txt"), pf.read_narratives(spark, f"{folder}/foitext2019.txt"),
         pf.read_problem_codes(spark, f"{folder}/foidevproblem.txt"), pf.read_problem_codes(spark, f"{folder}/patientproblemcode.txt"),
     ]
-    out = build.compose(*frames).cache()
+
+
+@pytest.fixture(scope="module")
+def reports(spark, folder):
+    out = build.compose(*reports_inputs(spark, folder)).cache()
     return {r[KEY]: r for r in out.collect()}, out
 
 
@@ -96,6 +101,27 @@ def test_inventory(spark, folder):
     assert pf.delimiter(spark, f"{folder}/deviceproblemcodes.csv") == "," and pf.delimiter(spark, f"{folder}/device2019.txt") == "|"
 
 
+def test_a_whole_folder(spark, folder, reports, tmp_path):
+    loaded = load_folder(spark, str(folder))
+    by_key = lambda df: {r[KEY]: r for r in df.drop("patient_problem_codes").collect()}  # noqa: E731  of two files here
+    assert by_key(loaded.reports()) == by_key(reports[1])
+    assert loaded.device_dictionary.count() == 4 and loaded.patient_dictionary.count() == 0
+    (tmp_path / "mdrfoi.txt").write_text("MDR_REPORT_KEY|EVENT_TYPE|DATE_RECEIVED\n1|D|20200101\n")
+    (only,) = load_folder(spark, str(tmp_path)).reports().collect()
+    assert (only[KEY], only["report_year"], only["device_count"], only["has_narrative"]) == ("1", 2020, 0, False)
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        load_folder(spark, str(tmp_path / "none"))
+
+
+def test_countries(spark):
+    found = {r["country"]: (r["iso3"], r["name"]) for r in countries(spark).collect()}
+    assert found["US"] == ("USA", "United States") and found["UK"] == found["GB"] == ("GBR", "United Kingdom") and len(found) > 240
+    rows = spark.createDataFrame([("us ",), ("US",), ("xx",), (None,)], "reporter_country_code string")
+    got = {r["country"]: (r["n"], r["iso3"]) for r in analyses.geography(rows, countries(spark)).collect()}
+    assert got == {"US": (2, "USA"), "XX": (1, None)}
+
+
 def test_composed_reports(reports):
     r, _ = reports
     a, b, c, d, e = (r[f"70000{i}"] for i in range(1, 6))

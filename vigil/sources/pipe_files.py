@@ -158,17 +158,10 @@ def delimiter(spark: SparkSession, path: str) -> str:
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, role) of each file, from its name, size, first line and fields."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,csv}").load(folder).select("path", "length")
-    first = (
-        lines(spark, folder)
-        .filter(F.trim("line") != "")
-        .groupBy("file")
-        .agg(F.min_by("line", F.struct("block", "at")).alias("first"))
-        .withColumnRenamed("file", "path")
-    )
-    # the two readers spell local paths with one slash or three
-    spelt = lambda df: df.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
-    both = spelt(listed).join(spelt(first), "path", "left")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,csv}").load(folder).select("path", "length").collect()
+    # a row a file: only the start of each is read
+    first = [(f["path"], f["length"], lines(spark, f["path"]).filter(F.trim("line") != "").select("line").first()) for f in listed]
+    both = spark.createDataFrame([(path, length, row and row[0]) for path, length, row in first], "path string, length long, first string")
     name, line = F.lower(F.element_at(F.split("path", "/"), -1)), F.upper(F.coalesce("first", F.lit("")))
     piped = line.contains("|")
     columns = F.size(F.split(line, "\\|", -1))
