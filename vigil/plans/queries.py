@@ -701,13 +701,24 @@ def e13(x: Lens) -> DataFrame:
                             enrich.labelled(F.col("EVENT_TYPE"), enrich.EVENT_LABELS).alias("event"), enrich.has_outcome(F.col("outcome_codes"), "H").alias("hospital"))
 
 
-@register("reassembled_lines", """SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT doc_id, array_to_string(list_transform(string_split('12345|' || text, chr(10)), lambda s: trim(s, ' ')), ' ') AS text FROM documents)""", lens=False)
-def s04(x: Lens) -> DataFrame:
+_JOINED_LINES = "SELECT doc_id, array_to_string(list_transform(string_split('12345|' || text, chr(10)), lambda s: trim(s, ' ')), ' ') AS text FROM documents"
+
+
+def _reassembled(x: Lens) -> DataFrame:
     """Documents cut into lines and put together again; a document is a block of one file."""
     docs = x.table("documents").select("doc_id", F.posexplode(F.split(F.concat(F.lit("12345|"), "text"), "\n")).alias("at", "line"))
     rows = docs.select("line", (F.col("doc_id") % 16).alias("file"), F.col("doc_id").alias("block"), "at")
-    whole = pipe_files.reassemble(rows, F.col("line").rlike("^[0-9]{4,12}\\|"))
-    return whole.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return pipe_files.reassemble(rows, F.col("line").rlike("^[0-9]{4,12}\\|"))
+
+
+@register("reassembled_lines", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({_JOINED_LINES})", lens=False)
+def s04(x: Lens) -> DataFrame:
+    return _reassembled(x).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@register("reassembled_texts", f"SELECT md5(text) AS digest, count(*) AS n FROM ({_JOINED_LINES}) WHERE text IS NOT NULL GROUP BY 1", lens=False)
+def s04_texts(x: Lens) -> DataFrame:
+    return _reassembled(x).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
 
 
 @register("published_bridge", """SELECT k AS "MDR_REPORT_KEY", CAST(k AS INTEGER) AS k_int, code, product_code AS pc, CAST(report_year AS SMALLINT) AS y FROM pairs JOIN reports USING (k)""")
