@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunking, decontaminate, fixity, hamming, language, mixing, near_duplicates, sharding, suffixes, toxicity
+from . import chunking, decontaminate, divergence, fixity, hamming, language, mixing, near_duplicates, pii, prefixes, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -26,8 +26,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_profiles": _on_documents(language.op8),
         "op9_toxicity_kneser_ney": lambda spark, d: toxicity.op9(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_decontaminate": lambda spark, d: decontaminate.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op11_conversation_trie": lambda spark, d: prefixes.op11(table(spark, d, "conversations")),
+        "op12_personal_data": _on_documents(pii.op12),
+        "op13_source_divergence": _on_documents(divergence.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": fixity.SQL, "op7_hamming_top_k": hamming.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {
+        "op1_merkle_fixity": fixity.SQL, "op7_hamming_top_k": hamming.SQL, "op10_decontaminate": decontaminate.SQL,
+        "op11_conversation_trie": prefixes.SQL, "op13_source_divergence": divergence.SQL,
+    }
