@@ -1,10 +1,11 @@
 """How far the sources of a language lie apart in their words, and which words set each source apart.
 
-`CountVectorizer`, fitted once with every term marked by its language, keeps for each language the terms in at least
-`min_df` of its documents, with the largest integer as vocabulary size, so that none is cut. It makes an exact sparse
-vector of each document; tasks sum the vectors by (lang, source) before they are shuffled, as a summarizer would, but
-sparse. The class keeps its vocabulary on the driver and sends it to the tasks, so the kept terms are counted first:
-above `MAX_VOCABULARY` the same sums are made by a join with the vocabulary as a table.
+The vectors are those of Spark's `CountVectorizer`, fitted on each language with `min_df` and the largest integer as
+vocabulary size, so that no term is cut: a term's place and count for each document, exact. A task makes them for the
+documents it reads and sums them by (lang, source) at once, as a summarizer would, but sparse; a sum also knows in how
+many documents its term is. One shuffle by (lang, term) then gives the vocabulary and the group sums together. The
+class itself would keep the vocabulary on the driver, send all of it to each task and read the texts twice; the test
+compares with it.
 
 With `count` of a term in a group, N the group's sum of counts and V kept terms, each term has the integer share
 p = 1 + floor(1000000000 (count + 5) / (N + 5 V)). Pairs of sources are evaluated by tiles: `SOURCES` sources against as
@@ -23,93 +24,99 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import saved
+from .common import byte_class, prefix_sums, saved, span_hash, text_steps, words
 
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 MIN_DF = 30
 VOCABULARY = 2**31 - 1
-#: Terms that the vectorizer may hold on the driver and in each task, some 100 bytes each.
-MAX_VOCABULARY = 1_000_000
 SCALE, ADDED = 1_000_000_000, 5
 SOURCES, TERMS = 64, 1 << 14
 BEST = 50
 #: Sums that a task holds before it passes them on.
-HELD = 1 << 20
-#: Between the language and the term; no term has it.
-_MARK = "\0"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def tokenized(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms): the terms of each document, each with its language before it."""
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    words = F.regexp_extract_all(F.translate(empty("text"), _UPPER, _UPPER.lower()), F.lit(TERM), F.lit(0))
-    rows = docs.select(empty("lang").alias("lang"), empty("source").alias("source"), words.alias("words"))
-    return rows.select("lang", "source", F.transform("words", lambda w: F.concat("lang", F.lit(_MARK), w)).alias("terms"))
-
-
-def vocabulary(rows: DataFrame, min_df: int = MIN_DF) -> DataFrame:
-    """(term, df) of the terms in at least min_df documents of their language."""
-    counts = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counts.filter(F.col("df") >= min_df)
-
-
-def vectors(rows: DataFrame, min_df: int = MIN_DF, size: int = VOCABULARY) -> tuple[DataFrame, list[str]]:
-    """rows with the sparse vector of each document, and the terms of its places."""
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=size).fit(rows)
-    return model.transform(rows), model.vocabulary
-
-
-def _summed(rows: DataFrame) -> DataFrame:
-    """(lang, source, place, n): the sums of the vectors of each group."""
+HELD = 1 << 19
+#: Letters are A-Z, of which the lower case counts, and all that is not ASCII.
+_LETTER = byte_class("[A-Za-z]")
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+def _empty(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+
+def vectors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, term, count) in order, and for each term its hash, start and end in the bytes."""
+    doc, start, end = words(buf, offsets, _LETTER)
+    marks, first, term = np.unique(span_hash(prefix_sums(buf), start, end), return_index=True, return_inverse=True)
+    pair, count = np.unique(doc * max(len(marks), 1) + term, return_counts=True)
+    return pair // max(len(marks), 1), pair % max(len(marks), 1), count, marks, start[first], end[first]
+
+
+class _Sums:
+    """Counts and documents of (group, term), added up."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.terms: dict[int, int] = {}
+        self.text: list[bytes] = []
+        self.keys, self.counts = np.zeros(0, dtype=np.int64), np.zeros((2, 0), dtype=np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, group: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> None:
+        doc, term, count, marks, start, end = vectors(buf, offsets)
+        places = np.zeros(len(marks), dtype=np.int64)
+        for i, mark in enumerate(marks.tolist()):
+            at = self.terms.setdefault(mark, len(self.text))
+            if at == len(self.text):
+                self.text.append(buf[start[i] : end[i]].tobytes())
+            places[i] = at
+        keys, of = np.unique((group[doc] << 32) + places[term], return_inverse=True)
+        self.new.append((keys, np.stack([np.bincount(of, weights=w, minlength=len(keys)).astype(np.int64) for w in (count, None)])))
+        if sum(len(k) for k, _ in self.new) > HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        self.new.append((self.keys, self.counts))
+        self.keys, of = np.unique(np.concatenate([k for k, _ in self.new]), return_inverse=True)
+        held = np.concatenate([c for _, c in self.new], axis=1)
+        self.counts = np.stack([np.bincount(of, weights=c, minlength=len(self.keys)).astype(np.int64) for c in held])
+        self.new = []
+
+    def batch(self) -> pa.RecordBatch:
+        self.merge()
+        names, at, term = list(self.groups), self.keys >> 32, self.keys & 0xFFFFFFFF
+        columns = [pa.array([n[k] for n in names] or [""], pa.string()).take(pa.array(at)) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(self.text or [b""], pa.string()).take(pa.array(term)), *map(pa.array, self.counts)], ["lang", "source", "term", "n", "df"])
+
+
+def counted(docs: DataFrame, min_df: int = MIN_DF, size: int = VOCABULARY) -> DataFrame:
+    """(lang, source, term, n): the summed vectors of each group, of the terms in at least `min_df` documents of their
+    language; if these are more than `size`, of those with most occurrences."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], int] = {}
-        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-        def out() -> pa.RecordBatch:
-            names = list(groups)
-            at = keys >> 32
-            return pa.RecordBatch.from_arrays([pa.array([names[i][0] for i in at], pa.string()), pa.array([names[i][1] for i in at], pa.string()), pa.array(keys & 0xFFFFFFFF), pa.array(sums)], ["lang", "source", "place", "n"])
-
+        sums = _Sums()
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            of = np.array([groups.setdefault(p, len(groups)) for p in pairs], dtype=np.int64)
-            vector = batch.column(2)
-            places, values = vector.field("indices"), vector.field("values")
-            many = np.diff(places.offsets.to_numpy())
-            key = (np.repeat(of, many) << 32) + places.flatten().to_numpy().astype(np.int64)
-            merged, code = np.unique(np.concatenate((keys, key)), return_inverse=True)
-            counts = np.concatenate((sums, values.flatten().to_numpy().astype(np.int64)))
-            keys, sums = merged, np.bincount(code, weights=counts, minlength=len(merged)).astype(np.int64)
-            if len(keys) > HELD:
-                yield out()
-                groups, keys, sums = {}, keys[:0], sums[:0]
-        yield out()
-
-    partial = rows.select("lang", "source", "vector").mapInArrow(gather, "lang string, source string, place long, n long")
-    return partial.groupBy("lang", "source", "place").agg(F.sum("n").alias("n"))
-
-
-def counted(rows: DataFrame, min_df: int = MIN_DF, size: int = VOCABULARY, held: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, place, n) of the kept terms of each group, and (place, lang, term) of the vocabulary."""
-    spark = rows.sparkSession
-    kept = saved(vocabulary(rows, min_df))
-    lang, term = (F.substring_index("term", _MARK, k) for k in (1, -1))
-    lang = F.substring(F.col("term"), F.lit(1), F.length("term") - F.length(term) - 1)
-    n = kept.count()
-    if 0 < n <= (MAX_VOCABULARY if held is None else held):
-        made, terms = vectors(rows, min_df, size)
-        table = spark.createDataFrame(pa.table({"place": pa.array(range(len(terms)), pa.int64()), "term": pa.array(terms, pa.string())}))
-        return saved(_summed(made)), saved(table.select("place", lang.alias("lang"), term.alias("term")))
-    placed = saved(kept.select(F.monotonically_increasing_id().alias("place"), "term"))
-    sums = rows.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    return saved(sums.join(placed, "term").select("lang", "source", "place", "n")), placed.select("place", lang.alias("lang"), term.alias("term"))
+            group = np.array([sums.groups.setdefault(p, len(sums.groups)) for p in pairs], dtype=np.int64)
+            for first, buf, offsets in text_steps(batch.column(2)):
+                sums.add(group[first:], _LOWER[buf], offsets)
+            if len(sums.keys) > HELD:
+                yield sums.batch()
+                sums = _Sums()
+        yield sums.batch()
+
+    # what a task has summed goes by term, so that the sums of groups and of the language need no other shuffle
+    partial = _empty(docs).mapInArrow(gather, "lang string, source string, term string, n long, df long").repartition("lang", "term")
+    sums = partial.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    of_lang = W.partitionBy("lang", "term")
+    kept = sums.withColumn("df", F.sum("df").over(of_lang)).filter(F.col("df") >= min_df)
+    if size < VOCABULARY:
+        kept = saved(kept.select("lang", "source", "term", "n"))
+        most = kept.groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("_at", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term")))
+        kept = kept.join(most.filter(F.col("_at") <= size).select("lang", "term"), ["lang", "term"], "left_semi")
+    return saved(kept.select("lang", "source", "term", "n"))
 
 
 def share(count: Column, total: Column, size: Column) -> Column:
@@ -119,11 +126,11 @@ def share(count: Column, total: Column, size: Column) -> Column:
     return F.when(size > 0, F.expr("1").cast("long") + F.call_function("div", up, down)).otherwise(0)
 
 
-def groups(rows: DataFrame, counts: DataFrame, terms: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """(lang, source, total, size, zero, number): a row a group; `zero` is the share of count 0."""
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    sizes = terms.groupBy("lang").agg(F.count("*").alias("size"))
-    every = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "size"])
+    sizes = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("size"))
+    every = _empty(docs).select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "size"])
     number = F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1
     return every.select("lang", "source", "total", "size", share(F.lit(0), F.col("total"), F.col("size")).alias("zero"), number.alias("number"))
 
@@ -135,20 +142,22 @@ def distances(counts: DataFrame, every: DataFrame, sources: int = SOURCES, terms
     block = F.floor(F.col("number") / sources)
     own = every.join(sized.drop("size"), "lang").withColumn("block", block)
     p = share(F.col("n"), F.col("total"), F.col("size"))
-    have = counts.join(own, ["lang", "source"]).select("lang", "number", "block", "last_block", F.pmod(F.xxhash64("place"), F.col("slices")).alias("slice"), "place", p.alias("p"))
-    # a row of place -1 tells each tile of a source and its share of count 0
-    told = own.select("lang", "number", "block", "last_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(-1).cast("long").alias("place"), F.col("zero").alias("p"))
+    have = counts.join(own, ["lang", "source"]).select("lang", "number", "block", "last_block", F.pmod(F.xxhash64("term"), F.col("slices")).alias("slice"), "term", p.alias("p"))
+    # a row without a term tells each tile of a source and its share of count 0
+    told = own.select("lang", "number", "block", "last_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("string").alias("term"), F.col("zero").alias("p"))
     dealt = have.unionByName(told).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_block"))))
-    dealt = dealt.select("lang", "slice", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("number").cast("long").alias("number"), "place", F.col("p").cast("long").alias("p"))
+    dealt = dealt.select("lang", "slice", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("number").cast("long").alias("number"), "term", F.col("p").cast("long").alias("p"))
 
     def tile(key: tuple, table: pa.Table) -> pa.Table:
-        number, place, p = (table.column(c).to_numpy() for c in ("number", "place", "p"))
+        number, p = (table.column(c).to_numpy() for c in ("number", "p"))
+        term = table.column("term").combine_chunks().dictionary_encode()
+        place = term.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         head = place < 0
         names, first = np.unique(number[head], return_index=True)
         zero = p[head][first]
-        seen, at = np.unique(place[~head], return_inverse=True)
-        shares = np.repeat(zero[:, None], len(seen), axis=1)
-        shares[np.searchsorted(names, number[~head]), at] = p[~head]
+        seen = len(term.dictionary)
+        shares = np.repeat(zero[:, None], seen, axis=1)
+        shares[np.searchsorted(names, number[~head]), place[~head]] = p[~head]
         low, high = key[2].as_py(), key[3].as_py()
         left = np.flatnonzero(names // sources == low)
         right = np.flatnonzero(names // sources == high)
@@ -161,28 +170,26 @@ def distances(counts: DataFrame, every: DataFrame, sources: int = SOURCES, terms
             apart.append(np.abs(zero[with_] - zero[i]))
         joined = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (a, b, part, apart)]
         n = len(joined[0])
-        return pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), "a": joined[0], "b": joined[1], "part": joined[2], "apart": joined[3], "seen": np.full(n, len(seen), dtype=np.int64)})
+        return pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), "a": joined[0], "b": joined[1], "part": joined[2], "apart": joined[3], "seen": np.full(n, seen, dtype=np.int64)})
 
     parts = dealt.groupBy("lang", "slice", "low", "high").applyInArrow(tile, "lang string, a long, b long, part long, apart long, seen long")
     sums = parts.groupBy("lang", "a", "b").agg(F.sum("part").alias("part"), F.max("apart").alias("apart"), F.sum("seen").alias("seen"))
     return sums.join(sized.select("lang", "size"), "lang").select("lang", "a", "b", (F.col("part") + (F.col("size") - F.col("seen")) * F.col("apart")).alias("value"))
 
 
-def audit(docs: DataFrame, min_df: int = MIN_DF, size: int = VOCABULARY, best: int = BEST, held: int | None = None) -> DataFrame:
+def audit(docs: DataFrame, min_df: int = MIN_DF, size: int = VOCABULARY, best: int = BEST) -> DataFrame:
     """(lang, source, part, item, value, rank): the distance to each other source of the language, and the `best` terms
     of greater share than in the language."""
-    rows = tokenized(docs)
-    counts, terms = counted(rows, min_df, size, held)
-    every = saved(groups(rows, counts, terms))
+    counts = counted(docs, min_df, size)
+    every = saved(groups(docs, counts))
     name = every.select("lang", F.col("number").cast("long").alias("number"), "source")
     found = distances(counts, every)
     both = found.select("lang", "a", "b", "value").unionByName(found.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     pairs = both.join(name.withColumnRenamed("number", "a"), ["lang", "a"]).join(name.select("lang", F.col("number").alias("b"), F.col("source").alias("item")), ["lang", "b"])
-    whole = counts.groupBy("lang", "place").agg(F.sum("n").alias("lang_n"))
     totals = every.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    sums = counts.withColumn("lang_n", F.sum("n").over(W.partitionBy("lang", "term")))
     p, q = share(F.col("n"), F.col("total"), F.col("size")), share(F.col("lang_n"), F.col("lang_total"), F.col("size"))
-    above = counts.join(every, ["lang", "source"]).join(whole, ["lang", "place"]).join(totals, "lang").withColumn("value", p - q).filter("value > 0")
-    above = above.join(terms.select("place", F.col("term").alias("item")), "place")
+    above = sums.join(every, ["lang", "source"]).join(totals, "lang").withColumn("value", p - q).filter("value > 0").withColumnRenamed("term", "item")
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     out = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), rank.alias("rank"))
     return out(pairs, "pair").unionByName(out(above, "term").filter(F.col("rank") <= best))
