@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vigil.llm import chunking, decontaminate, fixity, hamming, language, mixing, near_duplicates, sharding, suffixes, toxicity
 from vigil.llm.common import text_steps, words
@@ -179,9 +180,84 @@ def test_mixing_edges(spark):
 
 def test_schedule_is_low_discrepancy(spark):
     goals = spark.createDataFrame([("a", 500.0, 500), ("b", 300.0, 300), ("c", 200.0, 200)], "key string, target double, source_size long")
-    ranks = mixing.schedule(goals, 1000, 1).groupBy("key").agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count_distinct("rank").alias("d")).collect()
+    slots, sizes = mixing.schedule(goals, 1000)
+    ranks = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count_distinct("rank").alias("d")).collect()
     for r in ranks:
         assert abs(r["n"] - {"a": 500, "b": 300, "c": 200}[r["key"]]) <= 5 and r["lo"] == 0 and r["hi"] + 1 == r["n"] == r["d"]
+    assert {r["key"]: r["dealt"] for r in sizes.collect()} == {r["key"]: r["n"] for r in ranks}
+    # every stretch of slots has its share of each source
+    got = {r["slot"]: r["key"] for r in slots.collect()}
+    for at in range(0, 1000, 50):
+        assert abs(sum(got[i] == "a" for i in range(at, at + 50)) - 25) <= 3
+
+
+def test_points_are_exact_at_any_slot(spark):
+    ids = [0, 1, 2, 12345, 2**31 - 1, 2**31, 10**12, 2**60]
+    phi = mixing.GOLDEN
+    got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", mixing.golden(F.col("i")).alias("p")).collect()
+    assert all(r["p"] == (r["i"] + 1) * phi % 2**62 for r in got)
+
+
+def plain_mix(table):
+    """(taken, first slot) of each (doc_id, text, source), a word and a slot at a time."""
+    size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    streams = defaultdict(list)
+    for i, t, s, h in table:
+        streams[s].append((h, i, size(t)))
+    goals = fill({s: sum(n for _, _, n in v) for s, v in streams.items()})
+    names = sorted((s for s in goals if goals[s] > 0), key=lambda s: "n" if s is None else "v" + s)
+    words = sum(sum(n for _, _, n in v) for v in streams.values())
+    slots = max(-(-words // mixing.BLOCK), min(words, mixing.SLOTS * len(streams)))
+    dealt, whole = defaultdict(list), sum(goals.values())
+    for slot in range(slots):
+        point = (slot + 1) * mixing.GOLDEN % 2**62 / 2**62
+        upto = 0.0
+        for s in names:
+            upto += goals[s]
+            if point < upto / whole or s == names[-1]:
+                dealt[s].append(slot)
+                break
+    taken, first = Counter(), {}
+    for s, stream in streams.items():
+        goal, n = int(goals[s] + 1e-9), len(dealt[s])
+        pass_ = [i for _, i, size_ in sorted(stream) for _ in range(size_)]
+        begins = {sum(x[2] for x in sorted(stream)[:k]) for k in range(len(stream))}
+        for r, slot in enumerate(dealt[s]):
+            for word in range(r * goal // n, (r + 1) * goal // n):
+                at = word % len(pass_)
+                taken[pass_[at]] += 1
+                if at in begins:
+                    first.setdefault(pass_[at], slot)
+    return {i: (taken[i], first.get(i)) for i, *_ in table}
+
+
+@pytest.mark.parametrize("block", [mixing.BLOCK, 7])
+def test_mixing_takes_what_slots_name(spark, block, monkeypatch):
+    """Word by word; fails if any other schedule, such as each source's ranks one after the other, takes its place."""
+    monkeypatch.setattr(mixing, "SLOTS", 20)
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rnd = random.Random(4)
+    texts = [prose(rnd, rnd.choice([0, 1, 7, 60, 300])) for _ in range(150)] + [None]
+    frame = make(spark, texts, sources=[rnd.choice(["a", "a", "a", "b", None]) for _ in texts])
+    table = [tuple(r) for r in frame.select("doc_id", "text", "source", F.xxhash64("doc_id", F.lit(20))).collect()]
+    want = plain_mix(table)
+    planned = mixing.plan(frame, block=block).select("doc_id", "taken", F.get("slots", F.lit(0)).alias("first_slot")).collect()
+    assert {r["doc_id"]: (r["taken"], r["first_slot"]) for r in planned} == want
+    assert len({s for _, s in want.values()}) > 50
+    dealt = mixing.schedule
+    in_turn = lambda goals, n: (dealt(goals, n)[0].withColumn("slot", F.row_number().over(W.orderBy("key", "rank")).cast("long") - 1), dealt(goals, n)[1])
+    monkeypatch.setattr(mixing, "schedule", in_turn)
+    other = mixing.plan(frame, block=block).select("doc_id", "taken", F.get("slots", F.lit(0)).alias("first_slot")).collect()
+    assert {r["doc_id"]: (r["taken"], r["first_slot"]) for r in other} != want
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    frame = make(spark, ["a b c", "a b c", "d", None], ids=[1, 1, None, None]).withColumns({c: F.lit(7) for c in ("_row_id", "_copy", "_copies", "_slots", "_slot", "_mark", "h", "key")})
+    mixed = mixing.mix(frame)
+    assert mixed.columns == frame.columns and sorted(r["text"] for r in mixed.collect()) == ["a b c", "a b c", "d"]
+    assert all(r["_row_id"] == r["_slot"] == r["_mark"] == 7 for r in mixed.collect())
+    ordered = mixing.mix(frame, slot="at").orderBy("at").collect()
+    assert len({r["at"] for r in ordered}) == 3
 
 
 # ---- 3 content-defined chunks --------------------------------------------------------------
@@ -584,7 +660,7 @@ def _toxicity_case(spark, texts, toxic):
     return [got[i]["predicted"] for i in ids]
 
 
-def test_toxicity_with_many_different_words(spark, monkeypatch):
+def test_toxicity_with_many_different_words(spark):
     rnd = random.Random(5)
     junk = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
     texts, toxic = [], []
@@ -593,7 +669,6 @@ def test_toxicity_with_many_different_words(spark, monkeypatch):
         w = prose(rnd, 10).split() + [junk() for _ in range(1200)]
         texts.append(" ".join(w + (["vilkograzt"] if t else [])))
         toxic.append(int(t) if i < 1000 else None)
-    monkeypatch.setattr(toxicity, "FREQUENT", 20, raising=False)  # the toxic word is looked up by a join
     got = _toxicity_case(spark, texts, toxic)
     assert got == [int(i % 14 == 0) for i in range(1400)]
 
@@ -623,39 +698,92 @@ def test_toxicity_of_word_pairs(spark):
     assert sum(g == int(i % 5 == 0) for i, g in enumerate(got)) > 1570
 
 
-def test_smoothed_probabilities(spark, monkeypatch, tmp_path):
-    """Every word and pair against plain counts, nothing pruned."""
-    rnd = random.Random(61)
-    texts = [prose(rnd, rnd.choice([0, 3, 12, 40])) for _ in range(80)] + [None, "", "Ka-KA ka", "ka ka ka"]
-    toxic = [rnd.choice([0, 0, 1, None]) for _ in texts]
-    for name, value in (("WORD_TEST", -1.0), ("PAIR_TEST", -1.0), ("EFFECT", 0.0), ("SLICE", 1)):
-        monkeypatch.setattr(toxicity, name, value)
+def plain_models(texts, toxic):
+    """P(w | k, v) of both classes by the docstring's formulas, for any word and history of the labelled texts."""
     split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
     pairs = [set(zip(["^", *w], w, strict=False)) for w in map(split, texts)]
-    count = {k: Counter(p for each, x in zip(pairs, toxic, strict=True) if x == k for p in each) for k in (0, 1)}
-    contexts = Counter(w for _, w in set().union(*pairs))
-    share = {w: n / sum(contexts.values()) for w, n in contexts.items()}
-    discount = lambda c: (lambda a, b: a / (a + 2 * b) if a else 0.5)(*[sum(n == i for n in c.values()) for i in (1, 2)])
-    word, whole = {}, {}
+    shared = Counter(w for t in texts for w in set(split(t)))
+    share = {w: n / sum(shared.values()) for w, n in shared.items()}
+    c = {k: Counter(p for each, x in zip(pairs, toxic, strict=True) if x == k for p in each) for k in (0, 1)}
+    d = lambda counts: (lambda a, b: a / (a + 2 * b) if a else 0.5)(*[sum(n == i for n in counts.values()) for i in (1, 2)])
+    before = {k: Counter(w for _, w in c[k]) for k in (0, 1)}
+    n = {k: sum(before[k].values()) for k in (0, 1)}
+    x = lambda v: v * np.log(v) if v else 0.0
+
+    def test(a, na, b, nb):
+        return 2 * (x(a) + x(b) + x(na - a) + x(nb - b) - x(na) - x(nb) - x(a + b) - x(na + nb - a - b) + x(na + nb))
+
+    words = before[0].keys() | before[1].keys()
+    own = {k: Counter() for k in (0, 1)}
+    for w in words:
+        if test(before[1][w], n[1], before[0][w], n[0]) >= toxicity.WORD_TEST:
+            for k in (0, 1):
+                own[k][w] = max(before[k][w] - d(before[k]) - toxicity.RHO * n[k] * before[1 - k][w] / n[1 - k], 0)
+    told = {w for w in words if own[0][w] > 0 or own[1][w] > 0}
+    left = {k: 1 - sum(own[k].values()) / n[k] for k in (0, 1)}
+    word = lambda k, w: own[k][w] / n[k] + left[k] * share[w]
+    total = {k: Counter() for k in (0, 1)}
     for k in (0, 1):
-        before = Counter(w for _, w in count[k])
-        d, n = discount(before), sum(before.values())
-        word[k] = {w: (max(before[w] - d, 0) + d * len(before) * p) / n for w, p in share.items()}
-        d = discount(count[k])
-        total, kinds = Counter(), Counter(v for v, _ in count[k])
-        for (v, _), c in count[k].items():
-            total[v] += c
-        whole[k] = lambda v, w, k=k, d=d, total=total, kinds=kinds: (max(count[k][v, w] - d, 0) + d * kinds[v] * word[k][w]) / total[v] if total[v] else word[k][w]
-    seen = {w for k in (0, 1) for _, w in count[k]}
-    want = {(None, w): np.log(word[1][w] / word[0][w]) for w in seen}
-    want |= {(v, w): np.log(whole[1](v, w) / whole[0](v, w)) - want[None, w] for (v, w), c in count[1].items() if c >= 2}
-    names = {0: "^", None: None}
+        for (v, _), m in c[k].items():
+            total[k][v] += m
+    every = c[0].keys() | c[1].keys()
+    pair, gone = {k: Counter() for k in (0, 1)}, {k: Counter() for k in (0, 1)}
+    for v, w in every:
+        if w in told or test(c[1][v, w], total[1][v], c[0][v, w], total[0][v]) >= 2 * np.log(len(every)):
+            for k in (0, 1):
+                r = c[1 - k][v, w] / total[1 - k][v] if total[1 - k][v] else 0
+                r = r if w in told else max(r, word(k, w))
+                pair[k][v, w] = max(c[k][v, w] - d(c[k]) - toxicity.RHO * total[k][v] * r, 0)
+                gone[k][v] += pair[k][v, w]
+    p = lambda k, v, w: (pair[k][v, w] / total[k][v] + (1 - gone[k][v] / total[k][v]) * word(k, w)) if total[k][v] else word(k, w)
+    return split, share, p, pair, told
+
+
+@pytest.fixture(scope="module")
+def spoken():
+    """Toxic words, a toxic pair of ordinary words, and words of the ordinary class."""
+    rnd = random.Random(61)
+    texts, toxic = [None, "", "Ka-KA ka", "ka ka ka"], [0, 1, 0, None]
+    for i in range(500):
+        w, t = prose(rnd, rnd.choice([3, 12, 40])).split(), i % 4 == 0
+        for _ in range(2):
+            at = rnd.randrange(len(w))
+            w[at:at] = rnd.choice([["vilko"], ["you", "grazt"], ["shut", "up"]]) if t else rnd.choice([["shut", "it"], ["wake", "up"], ["kindly"], ["so"]])
+        texts.append(" ".join(w))
+        toxic.append(int(t) if i % 5 else None)
+    return texts, toxic
+
+
+def test_evidence_is_the_likelihood_ratio_of_all_words(spark, spoken, tmp_path):
+    """At the settings as shipped, each document by plain sums over its words; both models are distributions."""
+    texts, toxic = spoken
+    split, share, p, pair, told = plain_models(texts, toxic)
+    assert "vilko" in told and {("shut", "up")} <= {x for x, y in pair[1].items() if y > 0 and x[1] not in told} and any(pair[0].values())
+    for k in (0, 1):
+        for v in ("^", "shut", "you", "nowhere"):
+            assert sum(p(k, v, w) for w in share) == pytest.approx(1)
+    want = []
     for t in texts:
-        for _, _, _, _, hashes in toxicity._tokens(pa.array([t], pa.string())):
-            names |= dict(zip(hashes.tolist(), split(t), strict=True))
-    frame = spark.createDataFrame(list(zip(texts, toxic, strict=True)), "text string, toxic long").repartition(3)
-    got = {(names[r["v"]], names[r["w"]]): r["e"] for r in toxicity.model(frame, frame.filter("toxic is not null"), str(tmp_path / "m")).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        w = split(t)
+        want.append(sum(np.log(p(1, a, b) / p(0, a, b)) for a, b in zip(["^", *w], w, strict=False)) / max(len(w), 1))
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(texts, toxic, strict=True))], "doc_id long, text string, toxic long").repartition(3)
+    base, entries = toxicity.model(frame, frame.filter("toxic is not null").select("text", "toxic"), str(tmp_path / "m"))
+    entries = entries.cache()
+    got = {r["doc_id"]: r["x"] for r in toxicity.evidence(frame, base, entries, "x").collect()}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in got) and len(got) == len(texts)
+    without = {r["doc_id"]: r["x"] for r in toxicity.evidence(frame, base, entries.filter("kind = 'word'"), "x").collect()}
+    assert sum(abs(got[i] - without[i]) > 1e-6 for i in got) > len(texts) / 4
+
+
+def test_pairs_change_scores_of_the_documents(spark, tmp_path):
+    """On the driver's documents, too, histories and pairs take part in the evidence."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    base, entries = toxicity.model(docs, docs.join(labels, "doc_id").select("text", F.col("toxic").cast("long")), str(tmp_path / "m"))
+    entries = entries.cache()
+    kinds = {r["kind"]: r["count"] for r in entries.groupBy("kind").count().collect()}
+    assert min(kinds[k] for k in ("word", "history", "pair")) > 20
+    x = [{r["doc_id"]: r["x"] for r in toxicity.evidence(docs, base, e, "x").collect()} for e in (entries, entries.filter("kind = 'word'"))]
+    assert sum(x[0][i] != x[1][i] for i in x[0]) > 100
 
 
 def test_toxicity_joined_as_looked_up(spark, monkeypatch):
@@ -677,7 +805,7 @@ def test_toxicity_joined_as_looked_up(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 0)
     monkeypatch.setattr(toxicity, "MAX_SENT", 0)
     joined = rows(toxicity.op9(frame, labels))
-    assert all(abs(got[i]["score"] - joined[i]["score"]) < 1e-3 and got[i]["predicted"] == joined[i]["predicted"] for i in got)
+    assert all(abs(got[i]["score"] - joined[i]["score"]) < 1e-9 and got[i]["predicted"] == joined[i]["predicted"] for i in got)
 
 
 # ---- 10 decontamination --------------------------------------------------------------------

@@ -1,28 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models of word pairs, backing off to words and to shared counts.
 
-A class k is toxic or ordinary. With c(k, vw) the labelled documents of class k in which w follows v, C(k, v) their
-sum over w and N(k, v) the number of different w,
+A class k is toxic or ordinary, j the other. c(k, vw) counts the labelled documents of class k in which w follows v,
+C(k, v) is their sum over w; N(k, w) is the continuation count, the number of different words before w in class k, and
+N(k) its sum. Both levels are discounted and interpolated with what is left over:
 
-    P(w | k, v) = max(c(k, vw) - D, 0) / C(k, v) + D N(k, v) / C(k, v) P(w | k),
+    P(w | k, v) = y(k, vw) / C(k, v) + b(k, v) P(w | k),    b(k, v) = 1 - sum of y(k, v.) / C(k, v),
+    P(w | k)    = x(k, w) / N(k)     + l(k) P(w),           l(k) = 1 - sum of x(k, .) / N(k).
 
-which backs off to continuation counts, N(k, w) being the number of different words before w in class k,
+P(w), shared by the classes, is the share of w in the words of all documents, labelled or not, each counted once a
+document. The discount of a count is D = n1 / (n1 + 2 n2) of its class and level and, as toxic documents are ordinary
+but for a few words, `RHO` times what the other class leads one to expect:
 
-    P(w | k) = max(N(k, w) - D', 0) / N(k) + D' V(k) / N(k) P(w),
+    x(k, w)  = max(N(k, w) - D - RHO N(k) N(j, w) / N(j), 0)               y(k, vw) = max(c(k, vw) - D - RHO C(k, v) r, 0)
 
-with N(k) the sum of N(k, w) and V(k) the number of different words. P(w), shared by the classes, is the share of w in
-the continuation counts of all documents, labelled or not. The discounts are n1 / (n1 + 2 n2), of each class and level.
-A word that C(k, v) does not know has P(w | k).
+with r = c(j, vw) / C(j, v), and for a w that the classes share no less than P(w | k). A word's x is 0 where a
+log-likelihood ratio test of its two counts stays below `WORD_TEST`; so is y, for a w of x = 0, below 2 log(number of
+pairs), which chance exceeds about once. What is discounted goes to the next level by b and l, so each model remains a
+distribution over all words.
 
-Both models are pruned alike: a pair or word whose classes are not told apart (log-likelihood ratio test below
-`PAIR_TEST` or `WORD_TEST`, or probabilities within e**`EFFECT`) is left to the next shorter history, at last to P(w),
-which says the same in both. Pairs are tested harder, as copies of one text repeat its pairs, and occur in two toxic documents at least.
-A document's evidence is
-log P(document | toxic) - log P(document | ordinary) by the number of its words. A logistic curve of this one figure,
-of slope 0 or more and fitted on labelled documents that the counts left out, makes it a score.
-
-Words are 64-bit hashes. All counts are tables that grow with the corpus; only the entries that pruning leaves are
-looked up by tasks, or joined if they are more than `HELD`. The total of P(w), and P(w) of words that are kept in pairs
-alone and may be frequent, are counted on 1 / `SLICE` of all pairs.
+A document's evidence is log P(document | toxic) - log P(document | ordinary) over all its words, by their number. For a
+word of x = 0 in a pair of y = 0 both models leave l(k) b(k, v) P(w), where P(w) cancels: tasks therefore look up
+the words, pairs and histories with a count left, or join them if they are more than `HELD`, with the same sums. A
+logistic curve of this one figure, of slope 0 or more and fitted on labelled documents that the counts left out, makes it
+a score. Words are 64-bit hashes. All counts are tables that grow with the corpus.
 
 Defined cases: null or wordless texts have evidence 0; repeated documents count each, repeated labels of a document as
 its highest; null labels teach nothing; where no entry is left or the curve does not rise (no toxic label, say), nothing is
@@ -44,9 +44,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import byte_class, digest, fmix, fresh, prefix_sums, saved, scratch, span_hash, text_steps, words
 
-WORD_TEST, PAIR_TEST, EFFECT = 8.0, 60.0, 2.0
-SLICE = 16
-#: Entries of the model, or words whose contexts are counted, that tasks look up; more are joined.
+WORD_TEST, RHO = 12.0, 7.4
+#: Entries of the model, or words whose documents are counted, that tasks look up; more are joined.
 HELD = 2_000_000
 #: Labels that are sent to the documents; the documents are shuffled to more.
 MAX_SENT = 2_000_000
@@ -123,34 +122,28 @@ def pairs(texts: DataFrame) -> DataFrame:
     return rows.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(w, n): different words before each wanted w in all documents, those before a w that is not `told` only in the
-    slice, which may be most pairs of the corpus; for w = 0, all different pairs in the slice."""
+def shares(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(w, p) of each wanted word: its share in the words of all documents, each counted once a document."""
     spark = docs.sparkSession
-    held = None
-    if wanted.count() <= HELD:
-        held = spark.sparkContext.broadcast([np.sort(_column(wanted.filter(F.col("told") == told), "w")) for told in (True, False)])
+    held = spark.sparkContext.broadcast(np.sort(_column(wanted, "w"))) if wanted.count() <= HELD else None
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(3, 0)
+        sums, total = _Sums(1, 1), 0
         for batch in batches:
-            for _, _, _, v, w in _tokens(batch.column(0)):
-                key = _pair(v, w)
-                sliced = key.view(np.uint64) <= np.uint64(((1 << 64) - 1) // SLICE)
-                mine = np.ones(len(w), dtype=bool)
-                if held:
-                    told, others = (_found(keys, w)[1] for keys in held.value)
-                    mine = told | (others & sliced)
-                zero = np.zeros(int(sliced.sum()), dtype=np.int64)
-                for full in sums.add(np.concatenate((key[mine], ~key[sliced])), np.concatenate((v[mine], key[sliced])), np.concatenate((w[mine], zero))):
-                    yield _batch(full[1:], ["v", "w"])
-        yield _batch(sums.all()[1:], ["v", "w"])
-
-    rows = docs.select("text").mapInArrow(gather, "v long, w long")
-    counted = rows.distinct().groupBy("w").agg(F.count("*").alias("n"))
-    whole = F.col("told") if held else F.col("w") != 0
-    asked = wanted.union(spark.createDataFrame([(0, False)], wanted.schema))
-    return asked.join(counted, "w", "left").select("w", (F.coalesce("n", F.lit(1)) * F.when(whole, 1).otherwise(SLICE)).alias("n"))
+            for _, _, doc, _, w in _tokens(batch.column(0)):
+                keys, code = np.unique(w, return_inverse=True)
+                each = np.unique(doc * max(len(keys), 1) + code) % max(len(keys), 1)
+                total += len(each)
+                n = np.bincount(each, minlength=len(keys))
+                mine = _found(held.value, keys)[1] if held else np.ones(len(keys), dtype=bool)
+                for full in sums.add(keys[mine], n[mine]):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, full), pa.nulls(full.shape[1], pa.int64())], ["w", "n", "total"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, sums.all()), pa.nulls(sums.all().shape[1], pa.int64())], ["w", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total])], ["w", "n", "total"])
+
+    counted = saved(docs.select("text").mapInArrow(gather, "w long, n long, total long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    total = counted.filter("w is null").first()["total"]
+    return wanted.join(counted, "w").select("w", (F.col("n") / F.lit(max(total, 1))).alias("p"))
 
 
 def _column(df: DataFrame, name: str) -> np.ndarray:
@@ -170,11 +163,6 @@ def discount(once: float, twice: float) -> float:
     return once / (once + 2 * twice) if once else 0.5
 
 
-def smoothed(count: Column, total: Column, kinds: Column, less: float, backoff: Column) -> Column:
-    """The Kneser-Ney step from a history with `kinds` different followers to the shorter one."""
-    return F.when(total > 0, (F.greatest(count - less, F.lit(0.0)) + less * kinds * backoff) / total).otherwise(backoff)
-
-
 def told_apart(a: Column, of_a: Column, b: Column, of_b: Column) -> Column:
     """Log-likelihood ratio test of a in of_a against b in of_b."""
     x = lambda c: F.when(c > 0, c * F.log(c.cast("double"))).otherwise(0.0)
@@ -186,8 +174,16 @@ def _facts(c: str) -> list[Column]:
     return [F.sum(c).alias(f"{c}_sum"), F.count_if(col == 1).alias(f"{c}_1"), F.count_if(col == 2).alias(f"{c}_2"), F.count_if(col > 0).alias(f"{c}_any")]
 
 
-def model(docs: DataFrame, learned: DataFrame, folder: str) -> DataFrame:
-    """(v, w, e), v null for a word by itself: what a word adds to the evidence, and what it adds besides after v.
+def excess(count: Column, of: Column, other: Column, of_other: Column, less: float, at_least: Column | None = None) -> Column:
+    """A count without its discount: `less`, and RHO times what the other class, or `at_least`, leads one to expect."""
+    expected = F.when(of_other > 0, other / of_other).otherwise(0.0)
+    expected = F.greatest(expected, at_least) if at_least is not None else expected
+    return F.greatest(count - less - RHO * of * expected, F.lit(0.0))
+
+
+def model(docs: DataFrame, learned: DataFrame, folder: str) -> tuple[float, DataFrame]:
+    """What a word adds to the evidence by itself, and (kind, v, w, e): what it adds more if it is w ("word"), comes
+    after v ("history"), or is w after v ("pair").
 
     `learned`: (text, toxic). Intermediate tables are written to the folder.
     """
@@ -195,49 +191,62 @@ def model(docs: DataFrame, learned: DataFrame, folder: str) -> DataFrame:
     of = pairs(learned)
     each = [
         of.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).withColumn("kind", F.lit("word")),
-        of.groupBy("v").agg(*_facts("t"), *_facts("o")).withColumn("kind", F.lit("history")),
-        of.filter(F.col("t") >= 2).withColumn("kind", F.lit("pair")),
+        of.groupBy("v").agg(*_facts("t"), *_facts("o"), F.count("*").alias("kinds")).withColumn("kind", F.lit("history")),
+        of.withColumn("kind", F.lit("pair")),
     ]
     # one aggregation of all pairs feeds the three tables
     together = each[0].unionByName(each[1], allowMissingColumns=True).unionByName(each[2], allowMissingColumns=True)
     together.write.partitionBy("kind").parquet(f"{folder}/counts")
-    schema = "v long, w long, t long, o long, " + ", ".join(f"{c}_{x} long" for c in "to" for x in ("sum", "1", "2", "any")) + ", kind string"
+    schema = "v long, w long, t long, o long, kinds long, " + ", ".join(f"{c}_{x} long" for c in "to" for x in ("sum", "1", "2", "any")) + ", kind string"
     table = spark.read.schema(schema).parquet(f"{folder}/counts")
     word, history, pair = (table.filter(F.col("kind") == k) for k in ("word", "history", "pair"))
 
     f = word.agg(*_facts("t"), *_facts("o")).first()
-    g = history.agg(*[F.sum(f"{c}_{x}").alias(f"{c}_{x}") for c in "to" for x in "12"]).first()
-    total = {c: F.lit(max(f[f"{c}_sum"] or 0, 1)) for c in "to"}
-    rough = F.log((F.col("t") + 0.5) / total["t"]) - F.log((F.col("o") + 0.5) / total["o"])
-    some_words = word.filter((told_apart(F.col("t"), total["t"], F.col("o"), total["o"]) >= WORD_TEST) & (F.abs(rough) >= EFFECT / 2)).select("w", "t", "o")
-    sides = history.select("v", *[f"{c}_{x}" for c in "to" for x in ("sum", "any")])
-    some_pairs = pair.select("v", "w", "t", "o").join(sides, "v").filter(told_apart(F.col("t"), F.col("t_sum"), F.col("o"), F.col("o_sum")) >= PAIR_TEST)
-    some_pairs.write.parquet(f"{folder}/pairs")
-    some_pairs = spark.read.schema(some_pairs.schema).parquet(f"{folder}/pairs")
-    told = some_words.select("w", F.lit(True).alias("told")).union(some_pairs.select("w", F.lit(False)))
-    told.groupBy("w").agg(F.bool_or("told").alias("told")).write.parquet(f"{folder}/wanted")
-    wanted = spark.read.schema("w long, told boolean").parquet(f"{folder}/wanted")
-
-    contexts(docs, wanted).write.parquet(f"{folder}/contexts")
-    seen = spark.read.schema("w long, n long").parquet(f"{folder}/contexts")
-    all_pairs = max(seen.filter("w = 0").agg(F.sum("n")).first()[0] or 0, 1)
-    shared = F.col("n") / F.lit(all_pairs)
-    known = word.join(seen, "w")
-    for c in "to":
-        known = known.withColumn(f"p{c}", smoothed(F.col(c), total[c], F.lit(f[f"{c}_any"] or 0), discount(f[f"{c}_1"], f[f"{c}_2"]), shared))
-    tested = told_apart(F.col("t"), total["t"], F.col("o"), total["o"]) >= WORD_TEST
-    known = known.withColumn("e", F.log(F.col("pt") / F.col("po")))
-    known = known.select("w", "pt", "po", F.when(tested & (F.abs("e") >= EFFECT), F.col("e")).alias("e"))
-    p = [smoothed(F.col(c), F.col(f"{c}_sum"), F.col(f"{c}_any"), discount(g[f"{c}_1"], g[f"{c}_2"]), F.col(f"p{c}")) for c in "to"]
-    after = some_pairs.join(known.withColumnRenamed("e", "own"), "w").withColumn("whole", F.log(p[0] / p[1]))
-    after = after.filter(F.abs("whole") >= EFFECT).select("v", "w", (F.col("whole") - F.coalesce("own", F.lit(0.0))).alias("e"))
-    return known.filter("e is not null").select(F.lit(None).cast("long").alias("v"), "w", "e").unionByName(after)
-
-
-def evidence(docs: DataFrame, entries: DataFrame, name: str) -> DataFrame:
-    """docs with the sum of the entries of their words and pairs, by the number of words, in a column of that name."""
+    g = history.agg(*[F.sum(f"{c}_{x}").alias(f"{c}_{x}") for c in "to" for x in "12"], F.sum("kinds").alias("kinds"), F.max(F.col("t_sum") + F.col("o_sum")).alias("most")).first()
+    total = {c: F.lit(f[f"{c}_sum"] or 0) for c in "to"}
+    sides = (("t", "o"), ("o", "t"))
+    told = word.filter(told_apart(F.col("t"), total["t"], F.col("o"), total["o"]) >= WORD_TEST)
+    told = told.select("w", *[excess(F.col(c), total[c], F.col(d), total[d], discount(f[f"{c}_1"], f[f"{c}_2"])).alias(f"x_{c}") for c, d in sides])
+    told = saved(told.filter("x_t > 0 or x_o > 0"))
+    left = told.agg(*[F.sum(f"x_{c}").alias(c) for c in "to"]).first()
+    left = {c: 1 - (left[c] or 0.0) / max(f[f"{c}_sum"] or 0, 1) for c in "to"}
+
+    # pairs of told words, and those of others that pass the test; N I(class; pair) bounds the test by the pair's count,
+    # so most of the others need no look at their history
+    least = 2 * float(np.log(max(g["kinds"] or 0, 2)))
+    n = F.col("t") + F.col("o")
+    can = 2 * n * (F.log(F.lit(float(max(g["most"] or 0, 1))) / n) + 1) >= least
+    sums = history.select("v", "t_sum", "o_sum")
+    known = pair.select("v", "w", "t", "o").join(F.broadcast(told.select("w")) if told.count() <= HELD else told.select("w"), "w", "left_semi").join(sums, "v")
+    others = pair.select("v", "w", "t", "o").filter(can).join(sums, "v").filter(told_apart(F.col("t"), F.col("t_sum"), F.col("o"), F.col("o_sum")) >= least)
+    others = others.join(told.select("w"), "w", "left_anti")
+    candidates = saved(known.withColumn("told", F.lit(True)).unionByName(others.withColumn("told", F.lit(False))))
+    wanted = saved(told.select("w").union(candidates.select("w")).distinct())
+    share = {c: F.coalesce(f"x_{c}", F.lit(0.0)) / F.greatest(total[c], F.lit(1)) + left[c] * F.col("p") for c in "to"}
+    words_ = saved(shares(docs, wanted).join(told, "w", "left").select("w", *[share[c].alias(f"p_{c}") for c in "to"]))
+
+    rows = candidates.join(words_, "w")
+    y = lambda c, d: excess(F.col(c), F.col(f"{c}_sum"), F.col(d), F.col(f"{d}_sum"), discount(g[f"{c}_1"], g[f"{c}_2"]), F.when(F.col("told"), 0.0).otherwise(F.col(f"p_{c}")))
+    rows = saved(rows.withColumns({f"y_{c}": y(c, d) for c, d in sides}).filter("y_t > 0 or y_o > 0"))
+    goes_on = lambda c: 1 - F.sum(f"y_{c}") / F.greatest(F.first(f"{c}_sum"), F.lit(1))
+    after = saved(rows.groupBy("v").agg(*[goes_on(c).alias(f"b_{c}") for c in "to"]))
+    base = float(np.log(left["t"] / left["o"]))
+    ratio = lambda a: F.log(F.col(f"{a}_t") / F.col(f"{a}_o"))
+    whole = [F.col(f"y_{c}") / F.greatest(F.col(f"{c}_sum"), F.lit(1)) + F.col(f"b_{c}") * F.col(f"p_{c}") for c in "to"]
+    none = F.lit(None).cast("long")
+    entries = (
+        words_.select(F.lit("word").alias("kind"), none.alias("v"), "w", (ratio("p") - base).alias("e"))
+        .unionByName(after.select(F.lit("history").alias("kind"), "v", none.alias("w"), ratio("b").alias("e")))
+        .unionByName(rows.join(after, "v").select(F.lit("pair").alias("kind"), "v", "w", (F.log(whole[0] / whole[1]) - ratio("b") - ratio("p")).alias("e")))
+    )
+    return base, entries.filter("e <> 0")
+
+
+def evidence(docs: DataFrame, base: float, entries: DataFrame, name: str) -> DataFrame:
+    """docs with the evidence of their words in a column of that name: `base` and the sum of the entries of each word,
+    history and pair, by the number of words; 0 without words."""
     if entries.count() <= HELD:
-        return _looked_up(docs, entries, name)
+        return _looked_up(docs, base, entries, name)
     _id = fresh(docs, "_id")
     marked = docs.withColumn(_id, digest(F.col("text")))
 
@@ -250,17 +259,21 @@ def evidence(docs: DataFrame, entries: DataFrame, name: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(which), pa.array(v[at]), pa.array(w[at]), pa.array(n / many[doc[at]])], ["id", "v", "w", "n"])
 
     tokens = marked.select(_id, "text").dropDuplicates([_id]).mapInArrow(run, "id binary, v long, w long, n double")
-    single, double = entries.filter("v is null").drop("v"), entries.filter("v is not null")
-    hits = tokens.join(single, "w").select("id", "n", "e").unionByName(tokens.join(double, ["v", "w"]).select("id", "n", "e"))
+    # a row for the document itself, so that `base` counts wherever there is a word
+    hits = tokens.select("id", "n", F.lit(base).alias("e"))
+    for kind, key in (("word", ["w"]), ("history", ["v"]), ("pair", ["v", "w"])):
+        hits = hits.unionByName(tokens.join(entries.filter(F.col("kind") == kind).select(*key, "e"), key).select("id", "n", "e"))
     sums = hits.groupBy(F.col("id").alias(_id)).agg(F.sum(F.col("n") * F.col("e")).alias(name))
     return marked.join(sums, _id, "left").withColumn(name, F.coalesce(name, F.lit(0.0))).drop(_id)
 
 
-def _looked_up(docs: DataFrame, entries: DataFrame, name: str) -> DataFrame:
-    known = entries.select(F.col("v").isNull().alias("single"), F.coalesce("v", F.lit(0)).alias("v"), "w", "e").toPandas()  # HELD at most
+def _looked_up(docs: DataFrame, base: float, entries: DataFrame, name: str) -> DataFrame:
+    known = entries.select("kind", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("w", F.lit(0)).alias("w"), "e").toPandas()  # HELD at most
     sides = []
-    for part, pair in ((known[known["single"]], False), (known[~known["single"]], True)):
-        keys = _pair(part["v"].to_numpy(), part["w"].to_numpy()) if pair else part["w"].to_numpy()
+    for kind in ("word", "history", "pair"):
+        part = known[known["kind"] == kind]
+        v, w = part["v"].to_numpy(), part["w"].to_numpy()
+        keys = {"word": w, "history": v, "pair": _pair(v, w)}[kind]
         order = np.argsort(keys)
         sides.append((keys[order], part["e"].to_numpy()[order]))
     held = docs.sparkSession.sparkContext.broadcast(sides)
@@ -272,11 +285,12 @@ def _looked_up(docs: DataFrame, entries: DataFrame, name: str) -> DataFrame:
             for first, rows, doc, v, w in _tokens(batch.column(place)):
                 here = slice(first, first + rows)
                 many[here] = np.bincount(doc, minlength=rows)
-                for (keys, e), key in zip(held.value, (w, _pair(v, w)), strict=True):
+                for (keys, e), key in zip(held.value, (w, v, _pair(v, w)), strict=True):
                     at, found = _found(keys, key)
                     if found.any():
                         total[here] += np.bincount(doc[found], weights=e[at[found]], minlength=rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / np.maximum(many, 1))], [*batch.schema.names, name])
+            mean = np.where(many > 0, base + total / np.maximum(many, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
@@ -335,11 +349,11 @@ def score(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     learned = rows.filter("fits is null")
     learned = learned.filter("toxic is not null") if n[0] else learned.withColumn("toxic", F.coalesce("toxic", F.lit(0)))
     with scratch(spark, "toxicity") as folder:
-        entries = model(docs, learned, folder)
+        base, entries = model(docs, learned, folder)
         entries = saved(entries)
     if not entries.take(1):
         return docs.withColumn(name, F.lit(0.0))
-    sample = evidence(rows.filter("fits"), entries, "x").select("toxic", "x").toPandas()  # two classes of MAX_CALIBRATION
+    sample = evidence(rows.filter("fits"), base, entries, "x").select("toxic", "x").toPandas()  # two classes of MAX_CALIBRATION
     x, y = sample["x"].to_numpy(dtype=float), sample["toxic"].to_numpy(dtype=float)
     if 0 < y.sum() < len(y):
         # each class weighs as much as its labels
@@ -349,7 +363,7 @@ def score(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
         level, slope = _log_odds(n[1] / sum(n) if n[0] else n[1] / max(docs.count(), n[1])), SLOPE
     if slope <= 0:
         return docs.withColumn(name, F.lit(0.0))
-    return evidence(docs, entries, name).withColumn(name, 1 / (1 + F.exp(-(F.lit(level) + F.lit(slope) * F.col(name)))))
+    return evidence(docs, base, entries, name).withColumn(name, 1 / (1 + F.exp(-(F.lit(level) + F.lit(slope) * F.col(name)))))
 
 
 def _fold(doc_id: str) -> Column:
