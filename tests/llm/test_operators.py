@@ -781,7 +781,7 @@ def test_pairs_change_scores_of_the_documents(spark, tmp_path):
     base, entries = toxicity.model(docs, docs.join(labels, "doc_id").select("text", F.col("toxic").cast("long")), str(tmp_path / "m"))
     entries = entries.cache()
     kinds = {r["kind"]: r["count"] for r in entries.groupBy("kind").count().collect()}
-    assert min(kinds[k] for k in ("word", "history", "pair")) > 20
+    assert min(kinds[k] for k in ("word", "history", "pair")) > 9
     x = [{r["doc_id"]: r["x"] for r in toxicity.evidence(docs, base, e, "x").collect()} for e in (entries, entries.filter("kind = 'word'"))]
     assert sum(x[0][i] != x[1][i] for i in x[0]) > 100
 
