@@ -9,6 +9,7 @@ import os
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from vigil.operators import build, publish
 from vigil.operators.build import KEY
 from vigil.operators.cohort import Cohort
-from vigil.sources import pipe_files
+from vigil.sources import files, pipe_files
+from vigil.sources.folder import load_folder
 from vigil.streaming import incremental
 
 from .lens import Lens
@@ -85,6 +87,98 @@ def i01(x: Lens) -> DataFrame:
     return x.spark.read.parquet(f"{folder}/out").groupBy(*orders.columns).agg(F.count("*").alias("times"))
 
 
+@register("loaded_by_header", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderstatus END AS o_orderstatus, o_orderpriority, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS batch FROM orders""", lens=False)
+def i01_headers(x: Lens) -> DataFrame:
+    """Two loads of files with their columns in another order and with one column missing."""
+    folder, orders = _folder(x.spark), x.table("orders")
+    for rest, names in enumerate((("o_orderkey", "o_orderstatus", "o_orderpriority"), ("o_orderpriority", "o_orderkey", "o_orderstatus"), ("o_orderkey", "o_orderpriority"))):
+        _write_pipes(orders.filter(F.col("o_orderkey") % 3 == rest).select(*names), f"{folder}/in", "append")
+        if rest != 1:
+            incremental.load_new(x.spark, f"{folder}/in", None, f"{folder}/out", f"{folder}/log", "*.csv").awaitTermination()
+    return incremental.loaded(x.spark, f"{folder}/out").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("batch").cast("long").alias("batch"))
+
+
+@register("amended_orders", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders""", lens=False)
+def i02(x: Lens) -> DataFrame:
+    """A table of the latest row of each key, changed by a later file that lacks a column."""
+    folder, orders = _folder(x.spark), x.table("orders")
+    columns = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    changed = orders.filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    for rows in (orders.select(*columns), changed):
+        _write_pipes(rows, f"{folder}/in", "append")
+        incremental.amend(x.spark, f"{folder}/in", ["o_orderkey"], columns, f"{folder}/table", f"{folder}/log", "*.csv", buckets=8).awaitTermination()
+    return x.spark.read.parquet(f"{folder}/table").select(*columns)
+
+
+_LATE_YEARS = (1996, 1997)
+
+
+@register("late_file_refreshed", """, flags AS (SELECT DISTINCT l_orderkey AS k, l_returnflag || l_linestatus AS code FROM lineitem), known AS (
+  SELECT f.k, code, report_year FROM flags f JOIN reports r ON r.k = f.k WHERE code NOT LIKE 'R%' OR report_year IN (1996, 1997))
+SELECT 'code' AS part, code AS name, count(*) AS n FROM known GROUP BY 2
+UNION ALL SELECT 'listed', CAST(report_year AS VARCHAR), count(*) FILTER (WHERE codes IS NOT NULL) FROM (SELECT r.k, any_value(r.report_year) AS report_year, string_agg(code, ', ' ORDER BY code) AS codes FROM reports r LEFT JOIN known USING (k) GROUP BY 1) WHERE codes LIKE '%R%' GROUP BY 2
+UNION ALL SELECT 'kept', CAST(report_year AS VARCHAR), CAST(report_year NOT IN (1996, 1997) AS BIGINT) FROM reports GROUP BY ALL""")
+def i03_late(x: Lens) -> DataFrame:
+    """A late file of patient problems touches two years; all counts are those of a rebuild, and the folders of
+    the other years keep their files."""
+    folder = _folder(x.spark)
+    reports = x.some("patient_problem_codes").drop("patient_problem_codes").withColumn("patient_problem_codes", F.lit(None).cast("string"))
+    known = x.patient_problem.filter("PROBLEM_CODE not like 'R%'")
+    lists = build.problem_list(known, "_codes")
+    store = incremental.Store(x.spark, f"{folder}/store")
+    store.create(reports.join(lists, KEY, "left").withColumn("patient_problem_codes", F.col("_codes")).drop("_codes"), known)
+    by_year = lambda: {y: {f.path for t in ("reports", "bridge", "totals") for f in files.listed(x.spark, f"{store.path(t)}/year_bucket={y}")} for y in years}
+    years = [r[0] for r in store.table("reports").select("year_bucket").distinct().collect()]  # a row a year
+    before = by_year()
+    late = x.patient_problem.filter("PROBLEM_CODE like 'R%'").join(x.some().filter(F.col("report_year").isin(*_LATE_YEARS)).select(KEY), KEY)
+    late.select(F.concat_ws("|", KEY, "PROBLEM_CODE")).write.text(f"{folder}/in")
+    read = lambda spark, path: pipe_files.read_problem_codes(spark, path).withColumn(KEY, F.col(KEY).cast("long"))
+    store.watch(f"{folder}/in", read, f"{folder}/log").awaitTermination()
+    after = by_year()
+    kept = x.spark.createDataFrame([("kept", str(y), int(before[y] == after[y])) for y in years], "part string, name string, n long")
+    listed = store.table("reports").filter("patient_problem_codes like '%R%'").groupBy(F.col("report_year").cast("string").alias("name")).agg(F.count("*").alias("n"))
+    return store.totals().select(F.lit("code").alias("part"), F.col("code").alias("name"), F.col("n_reports").alias("n")).unionByName(listed.withColumn("part", F.lit("listed"))).unionByName(kept)
+
+
+def _named(x: Lens, rows: DataFrame, folder: str, name: str) -> None:
+    """Writes lines as files of this beginning."""
+    rows.write.text(f"{folder}-parts/{name}")
+    store = files.store_of(x.spark, folder)
+    store.mkdirs(files.path_of(x.spark, folder))
+    for i, part in enumerate(files.listed(x.spark, f"{folder}-parts/{name}")):
+        if part.length:
+            store.rename(files.path_of(x.spark, part.path), files.path_of(x.spark, f"{folder}/{name}{i:05d}.txt"))
+
+
+@register("raw_folder", """SELECT 'mdr' AS role, count(*) AS n FROM orders UNION ALL SELECT 'device', count(*) FROM lineitem UNION ALL SELECT 'device_problem', count(*) FROM lineitem
+UNION ALL SELECT 'patient_problem', count(*) FROM lineitem UNION ALL SELECT 'device_dictionary', count(DISTINCT p_size) FROM part UNION ALL SELECT 'patient_dictionary', count(DISTINCT p_brand) FROM part
+UNION ALL SELECT 'odd', count(*) FILTER (WHERE l_quantity > 40) FROM lineitem UNION ALL SELECT 'odd_counted', count(*) FILTER (WHERE l_quantity > 40) FROM lineitem""", lens=False)
+def s10(x: Lens) -> DataFrame:
+    """The files of a folder by role, each read by its role's reader; odd lines are kept and counted."""
+    folder, orders, lines, part = _folder(x.spark), x.table("orders"), x.table("lineitem"), x.table("part")
+    raw = f"{folder}/raw"
+    line = lambda *c: F.concat_ws("|", *c).alias("value")
+
+    def headed(rows: DataFrame, first: str) -> DataFrame:
+        both = x.spark.createDataFrame([(0, first)], "at int, value string").union(rows.select(F.lit(1), "value"))
+        return both.repartition(1).sortWithinPartitions("at").select("value")
+
+    _named(x, headed(orders.select(line("o_orderkey", "o_orderstatus")), f"{KEY}|EVENT_TYPE"), raw, "mdrfoi")
+    odd = F.when(F.col("l_quantity") > 40, F.lit("more")).otherwise(F.lit(None))
+    _named(x, headed(lines.select(line("l_orderkey", "l_linenumber", F.lit("name"), odd)), f"{KEY}|DEVICE_EVENT_KEY|BRAND_NAME"), raw, "device2020")
+    _named(x, lines.select(line(F.col("l_orderkey") + 1_000_000, "l_linenumber")), raw, "foidevproblem")
+    _named(x, lines.select(line("l_orderkey", F.lit(1), "l_linenumber")), raw, "patientproblemcode")
+    _named(x, part.groupBy("p_size").agg(F.min("p_type").alias("t")).select(line("p_size", "t")), raw, "deviceproblemcodes")
+    quoted = part.groupBy("p_brand").count().select(F.format_string('"%s","a, b","C1","A1"', "p_brand").alias("value"))
+    _named(x, headed(quoted, '"FDA_CODE","TERM","NCIT_CODE","IMDRF_CODE"'), raw, "patientproblemdata")
+    found = load_folder(x.spark, raw, f"{folder}/staged")
+    roles = ("mdr", "device", "device_problem", "patient_problem", "device_dictionary", "patient_dictionary")
+    counts = [getattr(found, r).agg(F.count("*").alias("n")).select(F.lit(r).alias("role"), "n") for r in roles]
+    counts.append(found.odd.agg(F.count("*").alias("n")).select(F.lit("odd").alias("role"), "n"))
+    counts.append(x.spark.createDataFrame([("odd_counted", found.counts["device"]["odd"])], "role string, n long"))
+    return reduce(DataFrame.unionByName, counts)
+
+
 @register("rollup_refreshed", """SELECT report_year, event_type AS "EVENT_TYPE", count(*) AS n, count(*) FILTER (WHERE is_rwd) AS n_rwd, count(*) FILTER (WHERE NOT is_supplement) AS n_initial, count(*) FILTER (WHERE is_supplement) AS n_supplement FROM reports WHERE report_year >= 1996 OR k % 2 = 0 GROUP BY ALL""")
 def i03(x: Lens) -> DataFrame:
     """A rollup of half of the reports, whose later years are recomputed from all."""

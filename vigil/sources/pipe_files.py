@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 from vigil.functions import enrich
 
+from . import files
+
 _BOM = "^(\\u00EF\\u00BB\\u00BF|\\uFEFF)"
 
 #: The spellings under which problem-code files name their columns.
@@ -60,27 +62,61 @@ def named(names: list[str]) -> list[Column]:
     return [F.nullif(F.col("f")[i], F.lit("")).alias(name) for i, name in enumerate(names)]
 
 
+def _first_line(text: str) -> str | None:
+    """The first filled line of a file's beginning; None if it may go on behind it."""
+    text = text.removeprefix("\u00ef\u00bb\u00bf").removeprefix("\ufeff")
+    at = next((i for i, x in enumerate(text.split("\n")) if x.strip()), None)
+    if at is None or (len(text) >= files.HEAD - 3 and at == text.count("\n")):
+        return None
+    return text.split("\n")[at].strip("\r").replace("\t", "|")
+
+
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The field names of each file's first filled line, from a bounded look at all of them."""
+    out = {}
+    for path, text in files.heads(spark, paths).items():
+        line = _first_line(text)
+        if line is None and len(text) >= files.HEAD - 3:  # blank lines or a line beyond the look
+            first = lines(spark, path).filter(F.trim("line") != "").select("line").first()
+            line = first and first[0]
+        out[path] = [] if line is None else [x.strip() for x in line.split("|")]
+    return out
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The field names of a file's first filled line."""
-    first = lines(spark, path).filter(F.trim("line") != "").select("line").first()
-    return [] if first is None else [x.strip() for x in first[0].split("|")]
+    return headers(spark, [path])[path]
 
 
-def read_pipe(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """One file as text columns. Blank lines are dropped, the header line too if it names them."""
-    own = names or header(spark, path)
+def read_pipe(spark: SparkSession, path: str | list[str], names: list[str] | None = None, file: str | None = None, odd: str | None = None) -> DataFrame:
+    """Files of one header as text columns. Blank lines are dropped, the header line too if it names them.
+
+    `file` and `odd` name two more columns: the file a row is from, and its line as it was if it has more or fewer
+    fields than the header (null otherwise), so that what was folded or padded can be looked up.
+    """
+    own = names or header(spark, path if isinstance(path, str) else path[0])
     rows = lines(spark, path).filter(F.trim("line") != "").withColumn("f", fields(F.col("line"), len(own)))
     if names is None:
         rows = rows.filter(F.col("f") != F.array(*[F.lit(x) for x in own]))
-    return rows.select(*named(own))
+    more = [F.col("file").alias(file)] if file else []
+    if odd:
+        more.append(F.when(F.size(F.split("line", "\\|", -1)) != len(own), F.col("line")).alias(odd))
+    return rows.select(*named(own), *more)
+
+
+def by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Paths by their header; files without a filled line are left out."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for path, names in headers(spark, paths).items():
+        if names:
+            out.setdefault(tuple(names), []).append(path)
+    return out
 
 
-def read_pipe_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_pipe_files(spark: SparkSession, paths: list[str], file: str | None = None, odd: str | None = None) -> DataFrame:
     """Files united by column name; files of one header are one scan."""
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(header(spark, path)), []).append(path)
-    parts = [read_pipe(spark, group) for names, group in by_header.items() if names]
+    parts = [read_pipe(spark, group, file=file, odd=odd) for group in by_header(spark, paths).values()]
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in (file, odd) if c) or "line string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -108,12 +144,20 @@ def reassemble(rows: DataFrame, start: Column) -> DataFrame:
     return numbered.groupBy("file", "record").agg(F.array_join(F.transform(pieces, lambda x: x["line"]), " ").alias("text"))
 
 
-def read_narratives(spark: SparkSession, path: str) -> DataFrame:
-    """Wrapped narrative records as rows; a record starts with its numeric key."""
-    names = header(spark, path)
+def read_narratives(spark: SparkSession, path: str | list[str], file: str | None = None) -> DataFrame:
+    """Wrapped narrative records of files of one header as rows; a record starts with its numeric key."""
+    names = header(spark, path if isinstance(path, str) else path[0])
     rows = lines(spark, path).withColumn("line", F.regexp_replace("line", "\\r", "")).filter(F.trim("line") != "")
     whole = reassemble(rows, F.col("line").rlike("^[0-9]{4,12}\\|")).withColumn("f", fields(F.col("text"), len(names)))
-    return whole.select(*named(names))
+    return whole.select(*named(names), *([F.col("file").alias(file)] if file else []))
+
+
+def read_narrative_files(spark: SparkSession, paths: list[str], file: str | None = None) -> DataFrame:
+    """Narrative files united by column name."""
+    parts = [read_narratives(spark, group, file) for group in by_header(spark, paths).values()]
+    if not parts:
+        return spark.createDataFrame([], f"{file or 'line'} string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_problem_codes(spark: SparkSession, path: str) -> DataFrame:
@@ -138,48 +182,78 @@ def read_problem_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """The quoted code dictionary; a file whose lines are quoted whole is split first."""
+    """A code dictionary: quoted with a header, its lines quoted whole, or headerless pairs of code and term."""
     names = ["FDA_CODE", "TERM", "NCIT_CODE", "IMDRF_CODE"]
-    rows = spark.read.csv(path, header=True, quote='"', escape='"')
-    if len(rows.columns) == 1:
-        parts = F.split(F.col(f"`{rows.columns[0]}`"), ",")
-        rows = rows.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])
+    first = _first_line(files.head(spark, path)) or ""
+    if "FDA_CODE" not in first.upper():
+        rows = read_pipe(spark, path, names) if "|" in first else spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), quote='"', escape='"')
     else:
-        rows = rows.toDF(*[c.strip().upper() for c in rows.columns])
+        rows = spark.read.csv(path, header=True, quote='"', escape='"', sep="|" if "|" in first else ",")
+        if len(rows.columns) == 1:
+            parts = F.split(F.col(f"`{rows.columns[0]}`"), ",")
+            rows = rows.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])
+        else:
+            rows = rows.toDF(*[c.strip().upper() for c in rows.columns])
     out = [F.trim(n).alias(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names]
     return rows.select(*out).filter(F.col("FDA_CODE") != "")
 
 
 def delimiter(spark: SparkSession, path: str) -> str:
     """A comma only if the first two lines have one and no pipe."""
-    first = [r[0] for r in spark.read.text(path).limit(2).collect()]
+    first = [x for x in files.head(spark, path).split("\n")[:2]]
     return "," if any("," in x for x in first) and not any("|" in x for x in first) else "|"
 
 
+#: A headerless pair of numbers is data above the first size and a dictionary below the second.
+DATA_BYTES, DICTIONARY_BYTES = 1 << 20, 1 << 19
+KEY_LENGTH = 6
+
+
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, role) of each file, from its name, size, first line and fields."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,csv}").load(folder).select("path", "length").collect()
-    # a row a file: only the start of each is read
-    first = [(f["path"], f["length"], lines(spark, f["path"]).filter(F.trim("line") != "").select("line").first()) for f in listed]
-    both = spark.createDataFrame([(path, length, row and row[0]) for path, length, row in first], "path string, length long, first string")
-    name, line = F.lower(F.element_at(F.split("path", "/"), -1)), F.upper(F.coalesce("first", F.lit("")))
-    piped = line.contains("|")
-    columns = F.size(F.split(line, "\\|", -1))
-    second = F.trim(F.get(F.split(line, "\\|"), F.lit(1)))
-    role = (
-        F.when(~piped & line.contains("FDA_CODE") & name.contains("patient"), "patient_dictionary")
-        .when(~piped & line.contains("FDA_CODE"), "device_dictionary")
-        .when(line.contains("FOI_TEXT") | name.startswith("foitext"), "narrative")
-        .when(name.contains("patientproblem"), "patient_problem")
-        .when(name.contains("foidevproblem") | name.contains("deviceproblem"), "device_problem")
-        .when(line.contains("EVENT_TYPE") | name.startswith("mdrfoi"), "mdr")
-        .when(line.contains("BRAND_NAME") | name.startswith("device"), "device")
-        .when(line.contains("PATIENT_SEQUENCE") & (columns > 5) | name.startswith("patient"), "patient")
-        .when(piped & (columns == 2) & second.rlike("^[0-9]+$"), "device_problem")
-        .when(piped & (columns == 3) & second.rlike("^[0-9]+$"), "patient_problem")
-        .otherwise("unknown")
-    )
-    return both.select("path", "length", role.alias("role"))
+    """(path, length, delimiter, columns, role, because) of each text or csv file of a folder, from its name, its
+    size and the first `files.HEAD` bytes, whatever its size.
+
+    Reports, devices, narratives and patients go by name. Files named after problems or codes go by content: a header
+    with FDA_CODE or a second field in words is a dictionary, a header with a key and a code is data, as are three
+    fields; two numbers are told by size, then by the length of the first. (A file by the name of the device data is
+    data if it is small, too.) Other names go by the header's columns.
+    """
+    found = [f for f in files.listed(spark, folder) if f.name.lower().endswith((".txt", ".csv"))]
+    seen = files.heads(spark, [f.path for f in found])
+    rows = [(f.path, f.name.lower(), f.length, _first_line(seen[f.path] + "\n") or "") for f in found]
+    table = spark.createDataFrame(rows, "path string, name string, length long, line string")  # a row a file
+    name, line = F.col("name"), F.col("line")
+    many = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c)))
+    table = table.withColumn("delimiter", F.when(many("|") >= many(","), "|").otherwise(","))
+    parts = F.transform(F.split(F.upper("line"), F.when(F.col("delimiter") == "|", "\\|").otherwise(",")), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+    table = table.withColumn("f", parts).withColumn("columns", F.size("f"))
+    second, has = F.coalesce(F.get("f", F.lit(1)), F.lit("")), lambda c: F.array_contains("f", c)
+    numbers, in_words = second.rlike("^[0-9]+$"), second.rlike("\\p{L}")
+    side = lambda kind: F.concat(F.when(name.contains("patient"), "patient_").otherwise("device_"), F.lit(kind))
+    pair = F.col("columns") == 2
+    coded = name.contains("problem") | name.contains("code")
+    rules = [
+        (name.contains("mdrfoi"), F.lit("mdr"), "name"),
+        (name.startswith("device") & ~name.contains("problem"), F.lit("device"), "name"),
+        (name.contains("foitext"), F.lit("narrative"), "name"),
+        (name.startswith("patient") & ~name.contains("problem"), F.lit("patient"), "name"),
+        (coded & has("FDA_CODE") & (F.col("columns") >= 3), side("dictionary"), "header of a dictionary"),
+        (coded & (F.col("columns") >= 3) & has("MDR_REPORT_KEY") & F.exists("f", lambda x: x.contains("PROBLEM_CODE") | (x == "PROBLEM")), side("problem"), "header of data"),
+        (coded & pair & in_words, side("dictionary"), "second field in words"),
+        (coded & pair & numbers & (F.col("length") > DATA_BYTES), side("problem"), "size of data"),
+        (coded & pair & numbers & name.startswith("foidevproblem"), side("problem"), "name of data"),
+        (coded & pair & numbers & (F.col("length") < DICTIONARY_BYTES), side("dictionary"), "size of a dictionary"),
+        (coded & pair & numbers & (F.length(F.get("f", F.lit(0))) >= KEY_LENGTH), side("problem"), "length of the key"),
+        (coded & pair & numbers, side("dictionary"), "length of the key"),
+        (coded & (F.col("columns") == 3), side("problem"), "three fields"),
+        (coded, F.lit("unknown"), "problem file of no known form"),
+        (has("FOI_TEXT"), F.lit("narrative"), "header"),
+        (has("EVENT_TYPE"), F.lit("mdr"), "header"),
+        (has("BRAND_NAME"), F.lit("device"), "header"),
+        (F.exists("f", lambda x: x.contains("PATIENT_SEQUENCE")) & (F.col("columns") > 5), F.lit("patient"), "header"),
+    ]
+    chain = lambda at: reduce(lambda c, r: c.when(r[0], r[at] if at == 1 else F.lit(r[2])), rules[1:], F.when(rules[0][0], rules[0][1] if at == 1 else F.lit(rules[0][2])))
+    return table.select("path", "length", "delimiter", "columns", chain(1).otherwise("unknown").alias("role"), chain(2).otherwise("no rule").alias("because"))
 
 
 def presence(found: DataFrame) -> DataFrame:
