@@ -197,6 +197,7 @@ def model(docs: DataFrame, learned: DataFrame, folder: str) -> tuple[float, Data
     # one aggregation of all pairs feeds the three tables
     together = each[0].unionByName(each[1], allowMissingColumns=True).unionByName(each[2], allowMissingColumns=True)
     together.write.partitionBy("kind").parquet(f"{folder}/counts")
+    del of, each, together  # so that their shuffle files may go
     schema = "v long, w long, t long, o long, kinds long, " + ", ".join(f"{c}_{x} long" for c in "to" for x in ("sum", "1", "2", "any")) + ", kind string"
     table = spark.read.schema(schema).parquet(f"{folder}/counts")
     word, history, pair = (table.filter(F.col("kind") == k) for k in ("word", "history", "pair"))
