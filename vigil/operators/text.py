@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.stem import stemmed
+
 # Words that carry nothing in this kind of narrative.
 STOPWORDS = (
-    "the and was were for that this with not has "
-    "have had been are from which there their them "
-    "patient device report reported event manufacturer "
-    "information unknown date received stated indicated "
-    "reportedly additional will also one two product "
-    "returned evaluation complaint customer user facility "
-    "further follow review time approximately due found "
-    "noted none unk"
-).split()
+    "the", "and", "was", "were", "for", "that", "this", "with", "not", "has",
+    "have", "had", "been", "are", "from", "which", "there", "their", "them",
+    "patient", "device", "report", "reported", "event", "manufacturer",
+    "information", "unknown", "date", "received", "stated", "indicated",
+    "reportedly", "additional", "will", "also", "one", "two", "product",
+    "returned", "evaluation", "complaint", "customer", "user", "facility",
+    "further", "follow", "review", "time", "approximately", "due", "found",
+    "noted", "none", "unk",
+)
 #: Words stand between runs of anything that is no letter, digit or underscore in Unicode.
 _BETWEEN = "[^\\p{L}\\p{N}_]+"
 
@@ -34,11 +38,10 @@ def _grams(words: Column, n: int) -> Column:
 def counted(texts: DataFrame, column: str, sizes: tuple[int, ...], extra: tuple[str, ...] = ()) -> DataFrame:
     """(term, n_words, n) of all word runs of the given sizes, formed after stopwords went."""
     words = texts.filter(F.col(column).isNotNull()).select(tokens(F.col(column), extra).alias("w"))
-    return words.select(F.inline(F.flatten(F.array(*[_tagged(n) for n in sizes])))).groupBy("term", "n_words").agg(F.count("*").alias("n"))
-
-
-def _tagged(n: int) -> Column:
-    return F.transform(_grams(F.col("w"), n), lambda t: F.struct(t.alias("term"), F.lit(n).alias("n_words")))
+    grams = words.select("w", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n_words"))
+    # one size of one text at a time
+    each = [F.when(F.col("n_words") == n, _grams(F.col("w"), n)) for n in sizes]
+    return grams.select(F.explode(F.coalesce(*each)).alias("term"), "n_words").groupBy("term", "n_words").agg(F.count("*").alias("n"))
 
 
 def top(counts: DataFrame, k: int, least: int = 1) -> DataFrame:
@@ -49,10 +52,10 @@ def top(counts: DataFrame, k: int, least: int = 1) -> DataFrame:
 def bm25(texts: DataFrame, key: str, column: str, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best texts for a query. Only the query's words are exploded and counted.
 
-    Words are matched whole, without stemming; stop words and words of one or two letters match nothing, nor does a
-    query without words.
+    Words are matched whole, without stemming (`search_index` stems); stop words and words of one or two letters match
+    nothing, nor does a query without words.
     """
-    wanted = sorted(set(query.lower().split()))
+    wanted = query_words(query)
     if not wanted:
         return texts.select(key, F.lit(0.0).alias("score")).limit(0)
     words = texts.filter(F.col(column).isNotNull()).select(key, tokens(F.col(column)).alias("w"))
@@ -69,3 +72,33 @@ def bm25(texts: DataFrame, key: str, column: str, query: str, k: int, k1: float
 
 def _only(term: str) -> Column:
     return F.filter("w", lambda w: w == term)
+
+
+def query_words(query: str) -> list[str]:
+    """The distinct words of a query, told apart as those of the texts."""
+    return sorted({w for w in re.split(r"\W+", query.lower()) if w})
+
+
+def write_index(texts: DataFrame, key: str, column: str, path: str) -> None:
+    """A search index as two tables: `postings` (stem, key, f, length), sorted by stem so that a search reads the row
+    groups of its stems alone, and `facts` (docs, mean), one row. The stemmer sees each distinct word once."""
+    words = texts.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), tokens(F.col(column)).alias("w"))
+    words.select(F.size("w").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/facts")
+    counts = words.select("key", F.size("w").alias("length"), F.explode("w").alias("word")).groupBy("key", "length", "word").agg(F.count("*").alias("f"))
+    stems = stemmed(counts.select("word").distinct(), "word", "stem")
+    postings = counts.join(stems, "word").groupBy("stem", "key", "length").agg(F.sum("f").alias("f"))
+    ordered = postings.repartitionByRange("stem", "key").sortWithinPartitions("stem", "key")
+    ordered.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+
+
+def search_index(spark: SparkSession, path: str, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The k best texts (key, score) of an index for the stems of a query, by BM25."""
+    asked = spark.createDataFrame([(w,) for w in query_words(query)], "word string")
+    stems = sorted({r["stem"] for r in stemmed(asked, "word", "stem").collect()})  # the words of a query
+    hits = spark.read.parquet(f"{path}/postings").filter(F.col("stem").isin(stems))
+    facts = spark.read.parquet(f"{path}/facts")
+    found = hits.groupBy("stem").agg(F.count("*").alias("d")).join(F.broadcast(facts))  # a row a stem of the query
+    idf = F.ln(1 + (F.col("docs") - F.col("d") + 0.5) / (F.col("d") + 0.5))
+    weight = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = hits.join(F.broadcast(found), "stem").groupBy("key").agg(F.sum(weight).alias("score"))
+    return scored.orderBy(F.desc("score"), "key").limit(k)

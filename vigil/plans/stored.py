@@ -14,15 +14,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import build, publish
+from vigil.functions import stats
+from vigil.functions.stem import DOUBLE, M_OVER_0, M_OVER_1, SHORT, STEP_2, STEP_3, STEP_4, VOWEL
+from vigil.operators import analyses, build, publish, statement, text
 from vigil.operators.build import KEY
-from vigil.operators.cohort import Cohort
+from vigil.operators.cohort import Cohort, eligible
 from vigil.sources import files, pipe_files
 from vigil.sources.folder import load_folder
 from vigil.streaming import incremental
 
-from .lens import Lens
-from .queries import register
+from .lens import ELIGIBLE_FROM, Lens
+from .queries import _OUTCOME_COUNTS, _OUTCOME_UNPIVOT, _TOKENS, _screen_sql, _wilson, register
 
 
 def _folder(spark: SparkSession) -> str:
@@ -195,3 +197,135 @@ def c15(x: Lens) -> DataFrame:
     """The SQL of a cohort selects the cohort."""
     rows = x.some("product_code", "manufacturer", "EVENT_TYPE", "IS_RWD_SOURCED", "initial_report")
     return rows.filter(_CRITERIA.to_sql()).select(KEY, "EVENT_TYPE", "report_year")
+
+
+@register("published_versions", """SELECT k AS "MDR_REPORT_KEY", report_year, product_code, '000002' AS version, CAST(0 AS BIGINT) AS wrong FROM reports WHERE report_year BETWEEN 1996 AND 1997""")
+def p08(x: Lens) -> DataFrame:
+    """Two versions, the second of all reports; years of the current one by its manifest."""
+    root, reports = f"{_folder(x.spark)}/site", x.some("product_code")
+    for rows in (reports.filter(F.col(KEY) % 2 == 0), reports):
+        publish.publish(x.spark, root, {"reports": lambda path, rows=rows: publish.write_reports(rows, path, first_year=1994)})
+    folder = publish.current(x.spark, root)
+    wrong = publish.verify(x.spark, folder).agg(F.count("*").alias("wrong"))  # one row
+    rows = publish.read_published(x.spark, root, "reports", 1996, 1997).select(KEY, "report_year", "product_code", F.lit(folder.rsplit("/", 1)[1]).alias("version"))
+    return rows.join(F.broadcast(wrong))
+
+
+@register("exported_csv", """SELECT CAST(k AS VARCHAR) AS "MDR_REPORT_KEY", event_type AS "EVENT_TYPE", product_code, brand AS "BRAND_NAME" FROM reports WHERE product_code = 'BRAND#2'""")
+def p01(x: Lens) -> DataFrame:
+    """A cohort's records as CSV, read back."""
+    folder = _folder(x.spark)
+    publish.write_csv(x.some("EVENT_TYPE", "product_code", "BRAND_NAME").filter("product_code = 'BRAND#2'"), folder)
+    return x.spark.read.csv(folder, header=True, escape='"').select(KEY, "EVENT_TYPE", "product_code", "BRAND_NAME")
+
+
+@register("whole_narratives", """SELECT n.k AS "MDR_REPORT_KEY", turn AS "MDR_TEXT_KEY", text AS "FOI_TEXT", coalesce(report_year, 0) AS year FROM narrative n JOIN reports r ON r.k = n.k""")
+def p05(x: Lens) -> DataFrame:
+    """Untruncated narrative parts by year, read back."""
+    folder = _folder(x.spark)
+    publish.write_narratives(x.narrative, x.some(), folder)
+    return x.spark.read.parquet(folder).select(KEY, "MDR_TEXT_KEY", "FOI_TEXT", "year")
+
+
+@register("screen_whole_corpus", _screen_sql("product_code = 'BRAND#2'").replace(f"WHERE report_year IS NULL OR report_year >= {ELIGIBLE_FROM}", ""))
+def a24(x: Lens) -> DataFrame:
+    """The screen against reports of all years."""
+    rows = x.some("product_code")
+    return analyses.flat_screen(analyses.screen(F.col("product_code") == "BRAND#2", rows, x.pairs, x.dictionary, eligible(ELIGIBLE_FROM), comparator="all"))
+
+
+@register("outcome_rates_text", f"SELECT outcome, printf('%.1f%% (%.1f-%.1f)', rate, lo, hi) AS shown FROM (SELECT outcome, {_wilson('k', 'n')} FROM (SELECT {_OUTCOME_COUNTS} FROM reports) {_OUTCOME_UNPIVOT})")
+def t20(x: Lens) -> DataFrame:
+    """Rates with their intervals as they are shown."""
+    rows = analyses.outcome_rates(x.some(*analyses.OUTCOMES))
+    return rows.select("outcome", stats.percent_text(stats.wilson(F.col("k"), F.col("n"))).alias("shown"))
+
+
+@register("compose_old_vintage", """SELECT k AS "MDR_REPORT_KEY", product_code, CAST(NULL AS INTEGER) AS supplement_number, false AS is_supplement, CAST(NULL AS DOUBLE) AS device_age_days, CAST(NULL AS VARCHAR) AS "REPORTER_OCCUPATION_CODE" FROM reports""")
+def b08(x: Lens) -> DataFrame:
+    """Reports of a vintage whose files lack some columns."""
+    mdr, device = x.mdr.drop("SUPPLEMENT_NUMBER", "REPORTER_OCCUPATION_CODE"), x.device.drop("DEVICE_AGE_TEXT")
+    wanted = ("product_code", "supplement_number", "is_supplement", "device_age_days", "REPORTER_OCCUPATION_CODE")
+    return build.compose(mdr, device, x.patient, x.narrative, x.device_problem, x.patient_problem, wanted).select(KEY, *wanted)
+
+
+def _statement_sql(inside: str, criteria: str, sql: str) -> str:
+    shown = {
+        "corpus": "count(*)", "eligible_corpus": f"count(*) FILTER (WHERE report_year IS NULL OR report_year >= {ELIGIBLE_FROM})", "vintage": "max(date_pref)", "n": f"count(*) FILTER (WHERE {inside})",
+        "eligible": f"count(*) FILTER (WHERE {inside} AND (report_year IS NULL OR report_year >= {ELIGIBLE_FROM}))", "first": f"min(date_pref) FILTER (WHERE {inside})", "last": f"max(date_pref) FILTER (WHERE {inside})",
+        "events": f"count(DISTINCT report_number) FILTER (WHERE {inside})", "deaths": f"count(*) FILTER (WHERE {inside} AND event_type = 'D')", "injuries": f"count(*) FILTER (WHERE {inside} AND event_type = 'IN')",
+        "malfunctions": f"count(*) FILTER (WHERE {inside} AND event_type = 'M')", "serious": f"count(*) FILTER (WHERE {inside} AND serious)",
+    }
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    facts = ", ".join(f'coalesce(CAST({e} AS VARCHAR), \'none\') AS "f_{n}"' for n, e in shown.items())
+    filled = "text"
+    for n in shown:
+        filled = f"""replace({filled}, '{{{n}}}', "f_{n}")"""
+    filled = f"replace(replace({filled}, '{{criteria}}', {quote(criteria)}), '{{sql}}', {quote(sql)})"
+    items = ", ".join(f"({i + 1}, {quote(no)}, {quote(item)}, {quote(t)})" for i, (no, item, t) in enumerate(statement.ITEMS))
+    return f"""SELECT position, number, item, {filled} AS text FROM (SELECT {facts} FROM reports), (VALUES {items}) AS v(position, number, item, text)"""
+
+
+@register("reporting_statement", _statement_sql(
+    "(report_year BETWEEN 1994 AND 1997 AND product_code = 'BRAND#2' AND contains(manufacturer, '#0000000') AND event_type <> 'M' AND NOT is_rwd AND NOT is_supplement)",
+    "Preferred report date in 1994 to 1997. Product code BRAND#2. Manufacturer's name contains '#0000000', in any case. Event type is one of Death, Injury. Reports from real-world data sources are left out. Supplements are left out, so that an event counts once.",
+    "report_year >= 1994 AND report_year <= 1997 AND product_code = 'BRAND#2' AND contains(lower(manufacturer), '#0000000') AND EVENT_TYPE IN ('D', 'IN') AND NOT coalesce(IS_RWD_SOURCED, false) AND coalesce(initial_report, true)",
+))
+def a22(x: Lens) -> DataFrame:
+    """Criteria in sentences and the items of a reporting checklist, with their counts."""
+    rows = x.some("product_code", "manufacturer", "EVENT_TYPE", "IS_RWD_SOURCED", "initial_report", "REPORT_NUMBER", "any_serious_outcome")
+    return statement.statement(rows, _CRITERIA, eligible(ELIGIBLE_FROM))
+
+
+@register("methods_paragraph", f"""SELECT 'product_code = ''BRAND#2''' AS criteria, concat('Reports were selected where product_code = ''BRAND#2''. The selection holds ', count(*), ' reports dated ', min(date_pref), ' to ', max(date_pref), '; ',
+  count(*) FILTER (WHERE report_year IS NULL OR report_year >= {ELIGIBLE_FROM}), ' of them fall in years with problem codes. Proportions are of reports, with Wilson 95% intervals; they are not rates among devices in use.') AS paragraph FROM reports WHERE product_code = 'BRAND#2'""")
+def a22_paragraph(x: Lens) -> DataFrame:
+    """The paragraph of a cohort."""
+    return analyses.methods(x.some("product_code"), Cohort(product_code="brand#2"), eligible(ELIGIBLE_FROM)).select("criteria", "paragraph")
+
+
+# ---- N05: the stemmer's steps in DuckDB ----------------------------------------------------
+
+
+def _cut(n: int) -> str:
+    return f"left(w, len(w) - {n})"
+
+
+def _swap(suffixes: tuple[tuple[str, str], ...]) -> str:
+    whens = [f"WHEN ends_with(w, '{s}') THEN CASE WHEN regexp_matches({_cut(len(s))}, '{M_OVER_0}') THEN {_cut(len(s))} || '{new}' ELSE w END" for s, new in sorted(suffixes, key=lambda x: -len(x[0]))]
+    return f"CASE {' '.join(whens)} ELSE w END"
+
+
+def _strip() -> str:
+    after = f" AND regexp_matches({_cut(3)}, '[st]$')"
+    whens = [f"WHEN ends_with(w, '{s}') THEN CASE WHEN regexp_matches({_cut(len(s))}, '{M_OVER_1}'){after if s == 'ion' else ''} THEN {_cut(len(s))} ELSE w END" for s in sorted(STEP_4, key=len, reverse=True)]
+    return f"CASE {' '.join(whens)} ELSE w END"
+
+
+_SHORT_STEM = f"regexp_matches(r, '{M_OVER_0}') AND NOT regexp_matches(r, '{M_OVER_1}') AND regexp_matches(r, '{SHORT}')"
+_STEM_STEPS = (
+    "regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g')",
+    f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {_cut(2)} WHEN ends_with(w, 'ss') THEN w WHEN ends_with(w, 's') THEN {_cut(1)} ELSE w END",
+    f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches({_cut(3)}, '{M_OVER_0}') THEN {_cut(1)} ELSE w END WHEN ends_with(w, 'ed') AND regexp_matches({_cut(2)}, '{VOWEL}') THEN {_cut(2)} || '+' WHEN ends_with(w, 'ing') AND regexp_matches({_cut(3)}, '{VOWEL}') THEN {_cut(3)} || '+' ELSE w END",
+    f"CASE WHEN ends_with(w, '+') THEN CASE WHEN regexp_matches(r, '(at|bl|iz)$') OR ({_SHORT_STEM} AND NOT regexp_matches(r, '{DOUBLE}')) THEN r || 'e' WHEN regexp_matches(r, '{DOUBLE}') AND NOT regexp_matches(r, '[lsz]$') THEN left(r, len(r) - 1) ELSE r END ELSE w END",
+    f"CASE WHEN regexp_matches(w, '[yY]$') AND regexp_matches({_cut(1)}, '{VOWEL}') THEN {_cut(1)} || 'i' ELSE w END",
+    _swap(STEP_2), _swap(STEP_3), _strip(),
+    f"CASE WHEN ends_with(w, 'e') AND (regexp_matches({_cut(1)}, '{M_OVER_1}') OR (regexp_matches({_cut(1)}, '{M_OVER_0}') AND NOT regexp_matches({_cut(1)}, '{SHORT}'))) THEN {_cut(1)} ELSE w END",
+    f"CASE WHEN ends_with(w, 'll') AND regexp_matches({_cut(1)}, '{M_OVER_1}') THEN {_cut(1)} ELSE w END",
+)
+_ASKED = "'clowns', 'idiots', 'pathetically', 'thes'"
+_STEMS = f"s0 AS (SELECT word, word AS w FROM (SELECT word FROM t UNION SELECT unnest([{_ASKED}])))" + "".join(
+    f", s{i + 1} AS (SELECT word, {step} AS w FROM (SELECT word, w, rtrim(w, '+') AS r FROM s{i}))" for i, step in enumerate(_STEM_STEPS)
+) + f", stems AS (SELECT word, CASE WHEN len(word) > 2 THEN lower(w) ELSE word END AS stem FROM s{len(_STEM_STEPS)})"
+
+
+@register("bm25_stemmed", _TOKENS + f""", t AS (SELECT doc_id, len(w) AS length, unnest(w) AS word FROM w), {_STEMS},
+asked AS (SELECT DISTINCT stem FROM stems WHERE word IN ({_ASKED})),
+postings AS (SELECT stem, doc_id, length, count(*) AS f FROM t JOIN stems USING (word) JOIN asked USING (stem) GROUP BY ALL),
+facts AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w), d AS (SELECT stem, count(*) AS d FROM postings GROUP BY 1)
+SELECT doc_id AS key, round(sum(ln(1 + (docs - d + .5) / (d + .5)) * f * 2.2 / (f + 1.2 * (.25 + .75 * length / mean))), 6) AS score FROM postings JOIN d USING (stem), facts GROUP BY doc_id ORDER BY sum(ln(1 + (docs - d + .5) / (d + .5)) * f * 2.2 / (f + 1.2 * (.25 + .75 * length / mean))) DESC, doc_id LIMIT 50""", lens=False)
+def n05(x: Lens) -> DataFrame:
+    """A search index with stems, written and searched."""
+    folder = _folder(x.spark)
+    text.write_index(x.table("documents"), "doc_id", "text", folder)
+    return text.search_index(x.spark, folder, "clowns, idiots, pathetically thes", 50)

@@ -42,6 +42,13 @@ def listed(spark: SparkSession, folder: str) -> list[Found]:
     return sorted(out)
 
 
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """The folders right below a folder, if it is there."""
+    if not exists(spark, folder):
+        return []
+    return sorted(s.getPath().toString() for s in store_of(spark, folder).listStatus(path_of(spark, folder)) if s.isDirectory())
+
+
 def head(spark: SparkSession, path: str, n: int = HEAD) -> str:
     """The first n bytes of a file as Latin-1. A folder, such as Spark writes, begins as its first filled file."""
     store, at = store_of(spark, path), path_of(spark, path)
