@@ -112,7 +112,10 @@ def test_stages_take_awkward_rows(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     texts = awkward(random.Random(5))
     odd = make(spark, texts, ids=[None, 3, 3, *range(4, len(texts) + 1)], sources=[None, "a", "b"] * len(texts))
+    # columns of the names that the operators give their own
+    odd = odd.withColumns({c: F.lit("mine") for c in ("_hits", "_row_id", "_copy", "_copies", "_slots", "_slot", "_id", "_row", "_gone", "_score", "_mark", "grp", "h", "key", "id", "taken")})
     got = stage(spark, odd, FOLDER)
+    assert {tuple(r) for r in got.select("_hits", "_row_id", "_copies", "_id", "_row", "_gone", "_score", "_mark", "key", "id").distinct().collect()} <= {("mine",) * 10}
     if name != "sharding":
         assert got.columns == odd.columns
     assert {r["text"] for r in got.select("text").collect()} <= set(texts) if "text" in got.columns else got.count() == len(texts)
@@ -122,7 +125,7 @@ def test_stages_take_awkward_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_registered_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     got = registry.queries()[name](spark, FOLDER)
     want = con.sql(registry.oracle_sql()[name])

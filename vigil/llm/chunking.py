@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, saved, text_steps
+from .common import fresh, mixed, saved, text_steps
 
 REACH = 32
 GEAR_BYTES = 16
@@ -131,10 +131,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
     # one row a digest on one side: adaptive execution may split a frequent chunk's rows on the other
     gone = own.join(repeated, ["d1", "d2"]).filter("id > first")
-    spans = gone.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
+    _id, _row, _gone = (fresh(docs, c) for c in ("_id", "_row", "_gone"))
+    spans = gone.groupBy(F.col("id").alias(_id), F.col("row").alias(_row)).agg(F.collect_set(F.struct("start", "stop")).alias(_gone))
     out = [c for c in docs.columns if c not in ("kept", "spans", "n_chunks")]
-    keyed = docs.select(*out, F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.xxhash64("text").alias("_row"))
-    keyed = keyed.join(spans, ["_id", "_row"], "left").select(*out, "_gone")
+    keyed = docs.select(*out, F.coalesce("doc_id", F.lit(_LAST)).alias(_id), F.xxhash64("text").alias(_row))
+    keyed = keyed.join(spans, [_id, _row], "left").select(*out, _gone)
     schema = T.StructType(
         [
             *[docs.schema[c] for c in out],

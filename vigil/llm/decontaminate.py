@@ -3,8 +3,9 @@
 Words are runs of bytes other than ASCII punctuation, blanks and controls, A-Z lower-cased. A window
 is ten consecutive words of an item; an item of one to nine words is one window. One automaton holds
 every window, and each document is scanned once. The automaton is broadcast only up to
-`MAX_WINDOWS`; a larger benchmark is dealt into parts by window hash, one automaton each, that
-follow each other over the same rows without a shuffle.
+`MAX_WINDOWS`, what a worker may hold. Windows of a larger benchmark stay a table: each different text is
+read once, tasks pass on the word runs whose hash a bitmap of `BITS` bits has, which is all that is broadcast whatever
+the number of windows, and a join by the run's words finds the windows among them.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no
 window; repeated items count once by id, a null id is listed as "null"; documents of any length are
@@ -22,9 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import digest, fmix, fresh, powers, prefix_sums, saved, span_hash
+
 WINDOW = 10
 #: Windows in one automaton: some 60 characters each, so at most about 150 MB in a worker.
 MAX_WINDOWS = 50_000
+#: Of the bitmap that tells which runs may be windows beyond that: 2**BITS bits.
+BITS = 28
 PATTERN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -90,67 +95,118 @@ def _spans(mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[in
     return [[int(a), int(b)] for a, b in zip(start[first], end[last], strict=True)]
 
 
-def _scan_text(text: str | None, found, before: dict | None) -> dict:
+def _words(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The folded words of a text, and where they start and end in its bytes."""
     raw = (text or "").encode()
-    folded = raw.translate(_FOLD)
-    parts = folded.split()
-    hits = list(found.iter(f" {b' '.join(parts).decode('latin-1')} ")) if len(found) and parts else []
-    old = before["spans"] if before else []
-    out = {"n_words": len(parts), "n_hit": 0, "spans": [], "items": sorted(before["items"]) if before else []}
-    if not hits and not old:
-        return out
     inside = _WORD[np.frombuffer(raw, dtype=np.uint8)]
     step = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return raw.translate(_FOLD).split(), np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _scan_text(text: str | None, found) -> dict:
+    parts, start, end = _words(text)
+    hits = list(found.iter(f" {b' '.join(parts).decode('latin-1')} ")) if len(found) and parts else []
+    if not hits:
+        return {"n_words": len(parts), "n_hit": 0, "spans": [], "items": []}
     blanks = np.concatenate(([0], np.cumsum(end - start + 1)))  # of the joined text
-    mark = np.zeros(len(parts) + 1, dtype=np.int64)
-    items = set(out["items"])
-    for at, (n, ids) in hits:
-        last = int(np.searchsorted(blanks, at))  # words that end before this blank
-        mark[last - n] += 1
-        mark[last] -= 1
-        items.update(ids)
-    for a, b in old:
-        mark[np.searchsorted(start, a)] += 1
-        mark[np.searchsorted(end, b) + 1] -= 1
+    last = np.searchsorted(blanks, [at for at, _ in hits])  # words that end before this blank
+    return _covered(parts, start, end, last - [n for _, (n, _) in hits], last, set().union(*[ids for _, (_, ids) in hits]))
+
+
+def _covered(parts: list[bytes], start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, items: set[str]) -> dict:
+    """The words from `first` to before `last` of any hit, as they lie in the text."""
+    mark = np.bincount(first, minlength=len(parts) + 1) - np.bincount(last, minlength=len(parts) + 1)
     covered = np.cumsum(mark[:-1]) > 0
-    return out | {"n_hit": int(covered.sum()), "spans": _spans(covered, start, end), "items": sorted(items)}
+    return {"n_words": len(parts), "n_hit": int(covered.sum()), "spans": _spans(covered, start, end), "items": sorted(items)}
+
+
+_KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, out: str = "hits", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """`docs` with a struct column `out`: words, hit words, hit byte spans and the items found."""
     spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, width)
-    n = windows.count()
-    parts = max(1, -(-n // max_windows))
-    schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, HITS)])
-    kind = pa.struct(
-        [("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))]
-    )
-    result = docs.drop(out)
-    for part in range(parts):
-        chosen = windows.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
-        # bounded by max_windows: what one automaton may hold
-        held = spark.sparkContext.broadcast([(r["window"], r["items"]) for r in chosen.collect()])
-        key = uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, key=key, again=part > 0) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = _automaton(key, held)
-                at = batch.schema.get_field_index(text)
-                before = batch.column(batch.schema.get_field_index(out)).to_pylist() if again else None
-                hits = [_scan_text(t.as_py(), found, before[i] if before else None) for i, t in enumerate(batch.column(at))]
-                names = [x for x in batch.schema.names if x != out]
-                columns = [batch.column(batch.schema.get_field_index(x)) for x in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, type=kind)], [*names, out])
-
-        result = result.mapInArrow(run, schema)
-    return result
+    windows = saved(benchmark_windows(benchmark, width))
+    docs = docs.drop(out)
+    if windows.count() > max_windows:
+        return _joined(docs, windows, text, out)
+    # bounded by max_windows: what one automaton may hold
+    held = spark.sparkContext.broadcast([(r["window"], r["items"]) for r in windows.collect()])
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _automaton(key, held)
+            hits = [_scan_text(t.as_py(), found) for t in batch.column(batch.schema.get_field_index(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, type=_KIND)], [*batch.schema.names, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, HITS)]))
+
+
+def _runs(parts: list[bytes], n: int) -> np.ndarray:
+    """A 64-bit hash of every run of n words."""
+    buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    word = span_hash(prefix_sums(buf), np.concatenate(([0], ends[:-1])), ends)
+    up, down = powers(len(word) + 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(word * up[: len(word)], dtype=np.uint64)))
+    return fmix((sums[n:] - sums[:-n]) * down[: len(word) - n + 1])
+
+
+def _joined(docs: DataFrame, windows: DataFrame, text: str, out: str) -> DataFrame:
+    spark = docs.sparkSession
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [w.encode().split(b" ") for w in batch.column(0).to_pylist()]
+            at = np.array([int(_runs(p, len(p))[0] >> np.uint64(64 - BITS)) for p in parts], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([len(p) for p in parts], pa.int64())], ["at", "n"])
+
+    bits = windows.select("window").mapInArrow(mark, "at long, n long")
+    lengths = [r["n"] for r in bits.select("n").distinct().collect()]  # at most `width`
+    lanes = bits.groupBy(F.shiftright("at", 6).alias("lane")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()  # 2**(BITS - 6) at most
+    bitmap = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    bitmap[lanes["lane"].to_numpy()] = lanes["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    held = spark.sparkContext.broadcast(bitmap)
+    _id = fresh(docs, "_id")
+    marked = docs.withColumn(_id, digest(F.col(f"`{text}`")))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                parts, _, _ = _words(t)
+                found = []
+                for n in lengths:
+                    if len(parts) >= n:
+                        at = _runs(parts, n) >> np.uint64(64 - BITS)
+                        may = (held.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+                        found += [(k, n, b" ".join(parts[k : k + n]).decode()) for k in np.flatnonzero(may).tolist()]
+                same = batch.column(0).slice(i, 1).take(pa.array([0] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([same, *[pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]], ["id", "first", "n", "window"])
+
+    texts = marked.select(F.col(_id).alias("id"), F.col(f"`{text}`").alias("text")).dropDuplicates(["id"])
+    runs = texts.mapInArrow(candidates, "id binary, first long, n long, window string").join(windows, "window")
+    hits = runs.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    hits = hits.select(F.col("id").alias(_id), F.struct("runs", "items").alias(out))
+    both = marked.join(hits, _id, "left").drop(_id)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for t, hit in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index(out)).to_pylist(), strict=True):
+                first = np.array([r["first"] for r in hit["runs"]] if hit else [], dtype=np.int64)
+                last = first + np.array([r["n"] for r in hit["runs"]] if hit else [], dtype=np.int64)
+                made.append(_covered(*_words(t), first, last, set(hit["items"]) if hit else set()))
+            keep = [n for n in batch.schema.names if n != out]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in keep], pa.array(made, type=_KIND)], [*keep, out])
+
+    return both.mapInArrow(place, T.StructType([*docs.schema.fields, T.StructField(out, HITS)]))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs."""
-    return scan(docs, benchmark, out="_hits").filter(F.col("_hits.n_hit") == 0).drop("_hits")
+    hits = fresh(docs, "_hits")
+    return scan(docs, benchmark, out=hits).filter(F.col(f"{hits}.n_hit") == 0).drop(hits)
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
