@@ -166,11 +166,14 @@ def chi_square(df: DataFrame, row: str, column: str, count: str, by: tuple[str,
     )
 
 
+def squared_shares(count: Column) -> Column:
+    """The sum of squared percentage shares, as an aggregate of the counts."""
+    return 1e4 * F.sum(_d(count) * _d(count)) / F.pow(F.sum(_d(count)), 2)
+
+
 def herfindahl(df: DataFrame, count: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sum of squared percentage shares."""
-    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    share = _d(F.col(count)) / F.sum(_d(F.col(count))).over(whole) * 100
-    return df.withColumn("_share", share).groupBy(*by).agg(F.sum(F.col("_share") * F.col("_share")).alias("hhi"))
+    """T18 of a table of counts, or of each group."""
+    return df.groupBy(*by).agg(squared_shares(F.col(count)).alias("hhi"))
 
 
 def lower_rank(df: DataFrame, value: str, p: float) -> DataFrame:

@@ -314,16 +314,20 @@ def geography(reports: DataFrame, countries: DataFrame | None = None) -> DataFra
     return counts if countries is None else counts.join(countries, "country", "left")
 
 
+def _names(reports: DataFrame) -> DataFrame:
+    return reports.filter(F.trim("manufacturer") != "").groupBy("manufacturer").agg(F.count("*").alias("n"))
+
+
 def manufacturers(reports: DataFrame) -> DataFrame:
     """Each name's reports and share."""
-    counts = reports.filter(F.trim("manufacturer") != "").groupBy("manufacturer").agg(F.count("*").alias("n"))
-    return counts.withColumn("share_pct", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1))))
+    counts = _names(reports)
+    total = counts.agg(F.sum("n").alias("_total"))  # one row, from the same counts
+    return counts.join(F.broadcast(total)).select("manufacturer", "n", (F.col("n") * 100.0 / F.col("_total")).alias("share_pct"))
 
 
 def concentration(reports: DataFrame) -> DataFrame:
     """Names, largest share, Herfindahl index and its class."""
-    rows = manufacturers(reports)
-    one = rows.agg(F.count("*").alias("names"), F.max("share_pct").alias("top_share"), F.sum(F.col("share_pct") * F.col("share_pct")).alias("hhi"))
+    one = _names(reports).agg(F.count("*").alias("names"), (F.max("n") * 100.0 / F.sum("n")).alias("top_share"), stats.squared_shares(F.col("n")).alias("hhi"))
     return one.withColumn("class", F.when(F.col("hhi") > 2500, "high").when(F.col("hhi") > 1500, "moderate").otherwise("low"))
 
 

@@ -16,24 +16,29 @@ JUNK_NAMES = (
 )
 
 
-def _top_names(rows: DataFrame, column: str, k: int, out: str) -> DataFrame:
-    """The k most frequent useful names of each code, most frequent first, ties by name."""
-    name = F.upper(F.trim(column))
-    useful = rows.select("product_code", name.alias("name")).filter(~F.col("name").isin(*JUNK_NAMES) & (F.length("name") > 2))
-    counts = useful.groupBy("product_code", "name").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("product_code").orderBy(F.desc("n"), "name"))
-    best = counts.withColumn("rank", rank).filter(F.col("rank") <= k)
-    listed = F.sort_array(F.collect_list(F.struct("rank", "name")))
-    return best.groupBy("product_code").agg(F.transform(listed, lambda x: x["name"]).alias(out))
-
-
 def product_index(reports: DataFrame, from_year: int, k_names: int = 3, k_brands: int = 2) -> DataFrame:
-    """Each code's counts, years, commonest names and label (the commonest name)."""
+    """Each code's counts, years, commonest useful names and label (the commonest name), ties by name.
+
+    One pass over the reports: they are counted by (code, generic name, brand), and all else comes from these counts.
+    """
     rows = reports.filter((F.trim("product_code") != "") & (F.col("report_year") >= from_year))
-    sums = rows.groupBy("product_code").agg(
+    name = lambda c: F.upper(F.trim(c))
+    grouped = rows.groupBy("product_code", name("GENERIC_NAME").alias("generic"), name("BRAND_NAME").alias("brand")).agg(
         F.count("*").alias("n"), counted("EVENT_TYPE = 'D'", "deaths"), counted("any_serious_outcome", "serious"), F.min("report_year").alias("y0"), F.max("report_year").alias("y1")
     )
-    both = sums.join(_top_names(rows, "GENERIC_NAME", k_names, "names"), "product_code", "left").join(_top_names(rows, "BRAND_NAME", k_brands, "brands"), "product_code", "left")
+    kinds = (("names", F.col("generic"), k_names), ("brands", F.col("brand"), k_brands), ("all", F.lit(None).cast("string"), 1))
+    each = grouped.select("*", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), of.alias("name"), F.lit(k).alias("k")) for kind, of, k in kinds])))
+    useful = (F.col("kind") == "all") | (~F.col("name").isin(*JUNK_NAMES) & (F.length("name") > 2))
+    sums = each.filter(useful).groupBy("product_code", "kind", "name", "k").agg(*[F.sum(c).alias(c) for c in ("n", "deaths", "serious")], F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    rank = F.row_number().over(W.partitionBy("product_code", "kind").orderBy(F.desc("n"), "name"))
+    best = sums.withColumn("rank", rank).filter(F.col("rank") <= F.col("k"))
+    whole = lambda c: F.max(F.when(F.col("kind") == "all", F.col(c))).alias(c)
+
+    def listed(kind: str) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "name"))))
+        return F.when(F.size(found) > 0, F.transform(found, lambda x: x["name"])).alias(kind)
+
+    both = best.groupBy("product_code").agg(*[whole(c) for c in ("n", "deaths", "serious", "y0", "y1")], listed("names"), listed("brands"))
     return both.withColumn("label", F.coalesce(F.get("names", F.lit(0)), F.get("brands", F.lit(0)), "product_code"))
 
 
