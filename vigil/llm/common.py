@@ -31,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     """A folder in the shared one for intermediate tables, gone afterwards."""
@@ -38,8 +43,7 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     try:
         yield folder
     finally:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
 
 
 def fresh(df: DataFrame, name: str) -> str:
