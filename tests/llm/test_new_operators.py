@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
@@ -177,6 +178,18 @@ def test_op12_rows(spark):
     assert masked.columns == df.columns and pii.find(df.limit(0)).count() == 0
 
 
+def test_op12_sql_on_odd_texts():
+    """The DuckDB twin against the operator where it is hardest."""
+    con, texts = duckdb.connect(), odd_texts()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts[:2000])))
+    got = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, spans, n_added FROM ({pii.SQL})").fetchall()}
+    for i, (listed, added) in got.items():
+        found = pii.spans(texts[i])
+        assert listed == ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in found) and added == sum(x["kind"] in pii.ADDED for x in found), texts[i]
+    assert len(got) == 2000 and sum(n for _, n in got.values()) > 50
+
+
 # ---- op13 ----------------------------------------------------------------------------------
 
 

@@ -50,9 +50,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", re.ASCII)
+_SSN = re.compile(r"\b([0-9]{3})-([0-9]{2})-([0-9]{4})\b", re.ASCII)
+_LOCAL_PHONE = re.compile(r"(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b", re.ASCII)
 _WORD = re.compile(r"[^\W\d_]+")
 
 SPANS = T.ArrayType(
@@ -215,3 +215,47 @@ def op12(docs: DataFrame) -> DataFrame:
     many = lambda *kinds: F.size(F.filter("spans", lambda x: x["kind"].isin(*kinds))).cast("long")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     return found.select("doc_id", *[many(k).alias(f"n_{k}") for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), many(*ADDED).alias("n_added"))
+
+
+# ---- the same in DuckDB: matches and the gaps between them give the places --------------------
+
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": _IBAN.pattern, "ssn": _SSN.pattern, "local_phone": _LOCAL_PHONE.pattern,
+}
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_CHECKS = {
+    "email": "true", "ip": "list_bool_and(list_transform(string_split(value, '.'), lambda p: len(ltrim(p, '0')) <= 3 AND CAST('0' || left(ltrim(p, '0'), 3) AS INTEGER) <= 255))",
+    "card": f"len({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(len({_DIGITS})), lambda i: CAST({_DIGITS}[len({_DIGITS}) - i] AS INTEGER) * (1 + i % 2) - 9 * CAST(CAST({_DIGITS}[len({_DIGITS}) - i] AS INTEGER) * (1 + i % 2) > 9 AS INTEGER))) % 10 = 0",
+    "phone": f"len({_DIGITS}) BETWEEN 8 AND 15",
+    "iban": """list_reduce(list_concat([0::BIGINT], list_transform(string_split(array_to_string(list_transform(string_split(substr(replace(value, ' ', ''), 5) || left(replace(value, ' ', ''), 4), ''),
+      lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), ''), ''), lambda c: CAST(c AS BIGINT))), lambda x, y: (x * 10 + y) % 97) = 1""",
+    "ssn": "value[1:3] NOT IN ('000', '666') AND value[1:3] < '900' AND value[5:6] <> '00' AND value[8:11] <> '0000'", "local_phone": "true",
+}
+
+
+def _sql() -> str:
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    kinds = " UNION ALL ".join(f"SELECT doc_id, d, text, {k} AS place, '{name}' AS kind, regexp_extract_all(text, '{p}') AS found, string_split_regex(text, '{p}') AS gaps FROM docs" for k, (name, p) in enumerate(_PATTERNS.items()))
+    checked = " ".join(f"WHEN '{k}' THEN {c}" for k, c in _CHECKS.items())
+    first = " ".join(f"WHEN '{k}' THEN {v}" for k, v in FIRST_SCORE.items())
+    speaks = " ".join(f"WHEN '{k}' THEN list_has_any(near, [{quoted(w)}])" for k, w in SPEAKS_FOR.items())
+    free = lambda *names: " AND ".join(f"NOT EXISTS (SELECT 1 FROM {n} b WHERE b.d = a.d AND b.start < a.stop AND a.start < b.stop)" for n in names)
+    added = [f"s{i} AS (SELECT * FROM good a WHERE kind = '{k}' AND score >= {THRESHOLD} AND {free('base', *[f's{j}' for j in range(i)])})" for i, k in enumerate(ADDED)]
+    every = " UNION ALL ".join(["SELECT * FROM base", *[f"SELECT * FROM s{i}" for i in range(len(ADDED))]])
+    many = lambda *names: f"count(*) FILTER (WHERE kind IN ({quoted(names)}))"
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start)"
+    return f"""WITH docs AS (SELECT doc_id, row_number() OVER () AS d, coalesce(text, '') AS text FROM documents),
+matches AS ({kinds}),
+spots AS (
+  SELECT doc_id, d, text, place, kind, found[i] AS value, CAST(list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: len(g))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matches)),
+spans AS (SELECT *, start + len(value) AS stop, regexp_extract_all(lower(substr(text, greatest(start - {BEFORE}, 0) + 1, start - greatest(start - {BEFORE}, 0)) || ' ' || substr(text, start + len(value) + 1, {AFTER})), '\\p{{L}}+') AS near
+  FROM spots WHERE CASE kind {checked} END),
+good AS (SELECT *, CASE kind {first} END + CASE WHEN CASE kind {speaks} END THEN {FOR} ELSE 0 END - CASE WHEN list_has_any(near, [{quoted(SPEAKS_AGAINST)}]) THEN {AGAINST} ELSE 0 END AS score FROM spans),
+base AS (SELECT * FROM good WHERE kind IN ({quoted(BASE)})), {', '.join(added)},
+told AS (SELECT d, {', '.join(f"{many(k)} AS n_{k}" for k in BASE)}, {listed} FILTER (WHERE kind IN ({quoted(BASE)})) AS own, {listed} AS spans, {many(*ADDED)} AS n_added FROM ({every}) GROUP BY d)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added FROM docs LEFT JOIN told USING (d)"""
+
+
+SQL = _sql()

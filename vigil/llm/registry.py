@@ -35,5 +35,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_merkle_fixity": fixity.SQL, "op7_hamming_top_k": hamming.SQL, "op10_decontaminate": decontaminate.SQL,
-        "op11_conversation_trie": prefixes.SQL, "op13_source_divergence": divergence.SQL,
+        "op11_conversation_trie": prefixes.SQL, "op12_personal_data": pii.SQL, "op13_source_divergence": divergence.SQL,
     }
