@@ -358,3 +358,20 @@ def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int,
         runs = int((np.diff(np.concatenate(([0], gone))) == 1).sum())
         out[i] = (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {_LAST}) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT r, id, b, substr(h, 400 * b + 1, {400 + 2 * WINDOW - 2}) AS x FROM (SELECT r, id, h, unnest(range(0, (len(h) // 2 - {WINDOW}) // 200 + 1)) AS b FROM d WHERE len(h) >= {2 * WINDOW})),
+strings AS (SELECT r, id, 200 * b + j AS i, substr(x, 2 * j + 1, {2 * WINDOW}) AS s FROM (SELECT r, id, b, x, unnest(range(0, len(x) // 2 - {WINDOW - 1})) AS j FROM blocks)),
+low AS (SELECT s, min(id) AS least FROM strings GROUP BY s HAVING min(id) < max(id)),
+hits AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM strings JOIN low USING (s) WHERE id > least),
+numbered AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + {WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hits),
+runs AS (SELECT r, min(i) AS a, max(i) + {WINDOW} AS b FROM numbered GROUP BY r, run),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS free FROM runs),
+cut AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * free + 1, 2 * (a - free)), '' ORDER BY a) AS kept
+  FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
