@@ -317,3 +317,21 @@ def op4(docs: DataFrame) -> DataFrame:
     return classes(docs.select("doc_id", "text")).select(
         no_id("id").alias("doc_id"), no_id("class_id").alias("class_id"), no_id("copy_of").alias("copy_of"), "n_links"
     )
+
+
+#: Every pair of different texts that share a shingle, and classes by following links; for small tables.
+SQL = rf"""
+WITH RECURSIVE rows AS (SELECT doc_id, coalesce(doc_id, {_NO_ID}) AS id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+nodes AS (SELECT text, any_value(w) AS w, min(id) AS rep, count(*) AS copies FROM rows WHERE len(w) > 0 GROUP BY text),
+shingles AS (SELECT DISTINCT rep, array_to_string(w[k : k + {SHINGLE - 1}], ' ') AS s FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS k FROM nodes)),
+sizes AS (SELECT rep, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.rep < b.rep GROUP BY 1, 2),
+near AS (SELECT a, b FROM pairs JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reached AS (SELECT rep AS a, rep AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS rep, min(b) AS class_id FROM reached GROUP BY 1),
+linked AS (SELECT a AS rep, sum(copies) AS n FROM links JOIN nodes ON nodes.rep = b GROUP BY 1)
+SELECT r.doc_id, nullif(coalesce(c.class_id, r.id), {_NO_ID}) AS class_id, nullif(coalesce(n.rep, r.id), {_NO_ID}) AS copy_of,
+       CAST(CASE WHEN n.rep IS NULL THEN 0 ELSE coalesce(l.n, 0) + n.copies - 1 END AS BIGINT) AS n_links
+FROM rows r LEFT JOIN nodes n ON n.text = r.text LEFT JOIN classes c ON c.rep = n.rep LEFT JOIN linked l ON l.rep = n.rep
+"""

@@ -34,6 +34,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_merkle_fixity": fixity.SQL, "op6_suffix_dedup": suffixes.SQL, "op7_hamming_top_k": hamming.SQL, "op10_decontaminate": decontaminate.SQL,
+        "op1_merkle_fixity": fixity.SQL, "op4_jaccard_join": near_duplicates.SQL, "op6_suffix_dedup": suffixes.SQL, "op7_hamming_top_k": hamming.SQL, "op10_decontaminate": decontaminate.SQL,
         "op11_conversation_trie": prefixes.SQL, "op12_personal_data": pii.SQL, "op13_source_divergence": divergence.SQL,
     }
