@@ -20,6 +20,7 @@ from vigil.operators import analyses, build, publish, statement, text
 from vigil.operators.build import KEY
 from vigil.operators.cohort import Cohort, eligible
 from vigil.sources import files, pipe_files
+from vigil.sources.countries import countries
 from vigil.sources.folder import load_folder
 from vigil.streaming import incremental
 
@@ -329,3 +330,40 @@ def n05(x: Lens) -> DataFrame:
     folder = _folder(x.spark)
     text.write_index(x.table("documents"), "doc_id", "text", folder)
     return text.search_index(x.spark, folder, "clowns, idiots, pathetically thes", 50)
+
+
+@register("screen_of_published_files", _screen_sql("product_code = 'BRAND#2'"))
+def a10_files(x: Lens) -> DataFrame:
+    """The screen on a bridge and rollups that were written, sorted by product code, and are read back."""
+    folder, reports = _folder(x.spark), x.some("product_code")
+    publish.write_bridge(x.pairs, reports, f"{folder}/bridge")
+    read = lambda name: x.spark.read.parquet(f"{folder}/{name}")
+    publish.write_small(publish.report_counts(reports), f"{folder}/reports")
+    publish.write_small(publish.code_counts(read("bridge")), f"{folder}/codes")
+    publish.write_small(x.dictionary, f"{folder}/dictionary")
+    return analyses.flat_screen(analyses.published_screen(read("bridge"), read("reports"), read("codes"), read("dictionary"), "BRAND#2", ELIGIBLE_FROM))
+
+
+_CODES = ("us", "DE ", "fr", "gb", "JP", "uk", "xx")
+
+
+@register("geography_by_country", f"""SELECT country, n, round(log10(n + 1), 6) AS log_n, iso3, name FROM (
+  SELECT upper(trim(([{", ".join(f"'{c}'" for c in _CODES)}])[c_nationkey % {len(_CODES)} + 1])) AS country, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+LEFT JOIN (VALUES ('US', 'USA', 'United States'), ('DE', 'DEU', 'Germany'), ('FR', 'FRA', 'France'), ('GB', 'GBR', 'United Kingdom'), ('JP', 'JPN', 'Japan'), ('UK', 'GBR', 'United Kingdom')) AS v(country, iso3, name) USING (country)""", lens=False)
+def e16(x: Lens) -> DataFrame:
+    """Reports by country with the country's codes and name."""
+    rows = x.table("orders").join(x.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    code = F.element_at(F.array(*[F.lit(c) for c in _CODES]), (F.col("c_nationkey") % len(_CODES) + 1).cast("int"))
+    return analyses.geography(rows.select(code.alias("reporter_country_code")), countries(x.spark))
+
+
+_NARROW = Cohort(device_terms=("ring", "econ"), exclude_forwarded=True, implant_only=True, serious_only=True)
+
+
+@register("cohort_sql_flags", """SELECT k AS "MDR_REPORT_KEY", '' AS one FROM reports WHERE (contains(lower(brand), 'ring') OR contains(lower(generic), 'ring') OR contains(lower(brand), 'econ') OR contains(lower(generic), 'econ')) AND NOT coalesce(fwd, false) AND implant AND serious
+UNION ALL SELECT k, 'key' FROM reports WHERE k = 7""")
+def c15_flags(x: Lens) -> DataFrame:
+    """The other criteria as SQL, and a report key, which stands alone."""
+    rows = x.some("BRAND_NAME", "GENERIC_NAME", "MODEL_NUMBER", "IS_FORWARDED_803_22_B2", "implant_flag", "any_serious_outcome")
+    alone = Cohort(report_key="7", implant_only=True)
+    return rows.filter(_NARROW.to_sql()).select(KEY, F.lit("").alias("one")).unionByName(rows.filter(alone.to_sql()).select(KEY, F.lit("key").alias("one")))
