@@ -58,11 +58,15 @@ def saved(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, lineage cut; the shuffles behind it may go."""
     shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    # Spark drops shuffle files when their plans are collected as garbage, which a large driver heap puts off
-    df.sparkSession.sparkContext._jvm.System.gc()
+    free(df.sparkSession)
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Spark drops shuffle files when their plans are collected as garbage, which a large driver heap puts off."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
