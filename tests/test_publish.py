@@ -100,3 +100,17 @@ def test_manifest_counts_undated_rows(spark, tmp_path):
     row = publish.manifest(spark, str(tmp_path / "t")).first()
     assert (row["rows"], row["undated"], row["first_year"], row["last_year"]) == (8, 2, 2010, 2016)
     assert publish.manifest(spark, str(tmp_path / "t")).filter(F.col("rows") == 8).count() == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 60])
+def test_checks_from_one_pass_are_the_checks(spark, n):
+    from vigil.operators import checks
+
+    rows = [(f"2{i % 7:03d}-05-01" if i % 9 else None, (2000 + i % 7 if i < 55 else 2050) if i % 9 else None, "DM*"[i % 3], "D" if i % 4 == 0 else " ") for i in range(n)]
+    df = spark.createDataFrame(rows, "day string, report_year int, EVENT_TYPE string, outcome_codes_raw string").withColumn("DATE_PREF", F.col("day").cast("date"))
+    each = [checks.dates(df), checks.outcomes(df), checks.event_types(df), checks.year_volume(df)] if n else []
+    got = checks.of_reports(df).collect()
+    if n:
+        assert sorted(map(tuple, got)) == sorted(tuple(r) for part in each for r in part.collect())
+    else:
+        assert {r["check"]: r["severity"] for r in got} == {"dated": 2, "date_range": 0, "outcome_coverage": 1, "event_type": 1}

@@ -83,6 +83,35 @@ def year_volume(reports: DataFrame) -> DataFrame:
     return _row(rows, "year_volume", F.when(low, 1).otherwise(0), F.col("n"), F.col("report_year"))
 
 
+def of_reports(reports: DataFrame) -> DataFrame:
+    """Q03, Q06, Q07 and Q08 from one pass: the reports are counted by year, and the rows of all four checks are read off
+    these counts."""
+    filled_ = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    kinds = ("D", "IN", "M")
+    years = reports.groupBy("report_year").agg(
+        F.count("*").alias("n"), F.count("DATE_PREF").alias("dated"), F.count_if(~F.year("DATE_PREF").between(1990, 2030)).alias("odd"), F.count_if(filled_("outcome_codes_raw")).alias("coded"),
+        *[F.count_if(F.col("EVENT_TYPE") == t).alias(t) for t in kinds],
+    )
+    listed = F.collect_list(F.when(F.col("report_year").isNotNull(), F.struct("n", "report_year")))
+    one = years.agg(*[F.sum(c).alias(c) for c in ("n", "dated", "odd", "coded", *kinds)], F.sort_array(listed).alias("years"))  # a year is a few bytes
+    share = lambda c: F.col(c) * 100.0 / F.col("n")
+    size = F.size("years")
+    at = lambda i: F.get(F.col("years"), i.cast("int"))["n"]
+    median = (at(F.floor((size - 1) / 2)) + at(F.floor(size / 2))) / 2.0
+
+    def row(check: str, level: Column, metric: Column, detail: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), level.cast("int").alias("severity"), metric.cast("double").alias("metric"), detail.cast("string").alias("detail"))
+
+    rows = [
+        row("dated", F.when(share("dated") >= 95, 0).when(share("dated") >= 70, 1).otherwise(2), share("dated"), F.lit("percent of reports")),
+        row("date_range", F.when(F.col("odd") > 0, 1).otherwise(0), F.coalesce("odd", F.lit(0)), F.lit("outside 1990-2030")),
+        row("outcome_coverage", F.when(share("coded") > 0, 0).otherwise(1), share("coded"), F.lit("percent of reports")),
+        *[row("event_type", F.when(F.col(t) > 0, 0).otherwise(1), F.coalesce(t, F.lit(0)), F.lit(t)) for t in kinds],
+    ]
+    volume = lambda x: row("year_volume", F.when((size > 2) & (x["n"] < 0.1 * median), 1).otherwise(0), x["n"], x["report_year"])
+    return one.select(F.inline(F.concat(F.array(*rows), F.transform("years", volume))))
+
+
 def severity(checks: DataFrame) -> DataFrame:
     """Q09: 0 clean, 1 warnings, 2 errors."""
     return checks.agg(F.coalesce(F.max("severity"), F.lit(0)).alias("severity"), F.count_if(F.col("severity") > 0).alias("findings"))

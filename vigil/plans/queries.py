@@ -668,11 +668,10 @@ UNION ALL SELECT 'outcome_coverage', CAST(CASE WHEN s > 0 THEN 0 ELSE 1 END AS I
 
 
 def _all_checks(x: Lens) -> DataFrame:
-    typed = x.some("EVENT_TYPE")  # each check composes only what it looks at
-    tables = {"mdr": x.mdr, "device": x.device, "patient": x.patient, "narrative": x.narrative, "reports": x.reports, "dictionary": x.dictionary}
+    tables = {"mdr": x.mdr, "device": x.device, "patient": x.patient, "narrative": x.narrative, "reports": x.some(), "dictionary": x.dictionary}
     parts = [
-        checks.filled(tables), checks.orphan_rows({"narrative": x.narrative}, x.mdr), checks.dates(typed), checks.narratives(x.narrative),
-        checks.columns(x.dictionary, "dictionary", ("FDA_CODE", "TERM")), checks.columns(x.reports, "reports", tuple(an.OUTCOMES)), checks.outcomes(x.some("outcome_codes_raw")), checks.event_types(typed), checks.year_volume(typed),
+        checks.filled(tables), checks.orphan_rows({"narrative": x.narrative}, x.mdr), checks.narratives(x.narrative),
+        checks.columns(x.dictionary, "dictionary", ("FDA_CODE", "TERM")), checks.columns(x.reports, "reports", tuple(an.OUTCOMES)), checks.of_reports(x.some("EVENT_TYPE", "outcome_codes_raw")),
     ]
     out = parts[0]
     for p in parts[1:]:
