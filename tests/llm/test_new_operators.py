@@ -60,7 +60,7 @@ def talks():
             rows.append((c, rnd.choice([t, t, None, 3]), rnd.choice(["user", "assistant", None]), rnd.choice(said)))
     same = [(None, "system", "rules"), *[(t, "user", f"step {t}") for t in range(30)]]
     rows += [(c, *x) for c in (100, 105, 110, 101, 202) for x in same]  # copies, and a long shared opening
-    rows += [(115, *x) for x in same[:20]] + [(120, *x) for x in same] + [(120, 50 + i, "user", str(i)) for i in range(2500)]
+    rows += [(115, *x) for x in same[:20]] + [(120, *x) for x in same] + [(120, 50 + i, "user", str(i)) for i in range(250)]
     rows += [(None, 1, "user", "nobody's"), rows[3], rows[3]]
     rnd.shuffle(rows)
     return rows
@@ -92,7 +92,7 @@ def test_containers_are_bounded_and_bursts_are_few(spark, talks):
     containers, edges = prefixes.burst(of, kinds, 20)
     sizes = containers.join(of, "seq").filter("pos > depth").groupBy("box").count()
     assert sizes.agg(F.max("count")).first()[0] <= 20
-    assert edges.agg(F.max(F.size("path"))).first()[0] <= 12  # 2,500 turns in one edge, not 2,500 rounds
+    assert edges.agg(F.max(F.size("path"))).first()[0] <= 12  # 250 turns in one edge, not 250 rounds
     rows.unpersist()
 
 
