@@ -188,14 +188,19 @@ def model(docs: DataFrame, learned: DataFrame, folder: str) -> tuple[float, Data
     `learned`: (text, toxic). Intermediate tables are written to the folder.
     """
     spark = docs.sparkSession
-    pairs(learned).write.parquet(f"{folder}/pair")
-    free(spark)  # of the pairs' shuffle, before their sums need one
-    counts = "v long, w long, t long, o long"
-    pair = spark.read.schema(counts).parquet(f"{folder}/pair")
-    pair.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).write.parquet(f"{folder}/word")
-    word = spark.read.schema("w long, t long, o long").parquet(f"{folder}/word")
-    pair.groupBy("v").agg(*_facts("t"), *_facts("o"), F.count("*").alias("kinds")).write.parquet(f"{folder}/history")
-    history = spark.read.schema("v long, kinds long, " + ", ".join(f"{c}_{x} long" for c in "to" for x in ("sum", "1", "2", "any"))).parquet(f"{folder}/history")
+    of = pairs(learned)
+    each = [
+        of.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).withColumn("kind", F.lit("word")),
+        of.groupBy("v").agg(*_facts("t"), *_facts("o"), F.count("*").alias("kinds")).withColumn("kind", F.lit("history")),
+    ]
+    # one count of all pairs feeds both tables
+    each[0].unionByName(each[1], allowMissingColumns=True).write.partitionBy("kind").parquet(f"{folder}/counts")
+    del of, each
+    free(spark)
+    schema = "v long, w long, t long, o long, kinds long, " + ", ".join(f"{c}_{x} long" for c in "to" for x in ("sum", "1", "2", "any")) + ", kind string"
+    table = spark.read.schema(schema).parquet(f"{folder}/counts")
+    word, history = (table.filter(F.col("kind") == k) for k in ("word", "history"))
+    pair = pairs(learned)  # counted again where they are looked at: a table of all of them would double the disk
 
     f = word.agg(*_facts("t"), *_facts("o")).first()
     g = history.agg(*[F.sum(f"{c}_{x}").alias(f"{c}_{x}") for c in "to" for x in "12"], F.sum("kinds").alias("kinds"), F.max(F.col("t_sum") + F.col("o_sum")).alias("most")).first()
