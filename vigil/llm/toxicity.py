@@ -142,7 +142,7 @@ def shares(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total])], ["w", "n", "total"])
 
     counted = saved(docs.select("text").mapInArrow(gather, "w long, n long, total long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-    total = counted.filter("w is null").first()["total"]
+    total = counted.agg(F.sum("total")).first()[0] or 0
     return wanted.join(counted, "w").select("w", (F.col("n") / F.lit(max(total, 1))).alias("p"))
 
 
