@@ -230,6 +230,13 @@ def test_narratives_of_a_report_with_very_many_parts(spark):
     assert got[1]["narr_part_count"] == 3000 and got[2]["HAS_REDACTION_B4"] and not got[1]["HAS_REDACTION_B4"]
 
 
+@pytest.mark.parametrize("chars", (6, 8, 10, 11))
+def test_a_narrative_cut_within_a_separator_keeps_its_piece(spark, chars):
+    rows = [(1, 1, "D", "abcdef"), (1, 2, "D", "gh"), (1, 3, "D", "i")]
+    df = spark.createDataFrame(rows, "MDR_REPORT_KEY long, MDR_TEXT_KEY long, TEXT_TYPE_CODE string, FOI_TEXT string")
+    assert build.narrative_summary(df, chars).first()["narrative_desc"] == "abcdef || gh || i"[:chars]
+
+
 def test_search_finds_rare_manufacturers(spark):
     makers = spark.range(4200).select(F.concat(F.lit("MAKER "), "id").alias("manufacturer"), F.explode(F.array(F.lit(1), F.lit(2))))
     rows = makers.select("manufacturer").union(spark.createDataFrame([("ZEBRA RARE",)], "manufacturer string")).selectExpr("manufacturer", "'M' as EVENT_TYPE", "2020 as report_year")
