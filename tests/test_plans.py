@@ -4,8 +4,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from vigil.operators import analyses, publish
+from vigil.operators import analyses, build, publish
+from vigil.operators.build import KEY
 from vigil.operators.cohort import Cohort, eligible
+from vigil.plans import queries
 from vigil.plans.lens import ELIGIBLE_FROM, Lens
 from vigil.sources.pipe_files import read_years
 
@@ -47,3 +49,23 @@ def test_year_folders_are_pruned(spark, tmp_path):
     text = plan(one)
     assert "PartitionFilters: [isnotnull(year_bucket" in text and "PushedFilters" in text and "product_code" in text.split("PushedFilters")[1]
     assert one.count() == x.reports.filter("report_year = 1997 and product_code = 'BRAND#2'").count()
+
+
+def test_lines_are_ranked_before_they_meet_the_wide_tables(spark):
+    makers = plan(Lens(spark, FOLDER).some("manufacturer", "EVENT_TYPE")).split("== Physical Plan ==")[1]
+    assert "s_name" in makers and "p_name" not in makers and "l_extendedprice" not in makers
+    years = plan(queries.QUERIES["cohort_years_events"](spark, FOLDER)).split("== Physical Plan ==")[1]
+    assert "o_orderkey" in years and "l_orderkey" not in years
+
+
+def test_first_devices_where_parts_are_missing_or_twofold(spark):
+    class Odd(Lens):
+        def table(self, name):
+            rows = super().table(name)
+            if name == "part":
+                return rows.filter("p_partkey % 3 <> 0").union(rows.filter("p_partkey % 5 = 0").withColumn("p_name", F.concat(F.lit("a "), "p_name")))
+            return rows.filter("s_suppkey <> 1") if name == "supplier" else rows
+
+    x, shown = Odd(spark, FOLDER), (KEY, "DEVICE_EVENT_KEY", "l_partkey", "l_suppkey", "BRAND_NAME", "MANUFACTURER_D_NAME", "DEVICE_AGE_TEXT")
+    few, all_lines = (sorted(map(tuple, build.first_device(d).select(*shown).collect())) for d in (x.first(), x.device))
+    assert few and few == all_lines
