@@ -237,6 +237,15 @@ def test_a_narrative_cut_within_a_separator_keeps_its_piece(spark, chars):
     assert build.narrative_summary(df, chars).first()["narrative_desc"] == "abcdef || gh || i"[:chars]
 
 
+def test_a_mean_age_is_the_same_in_any_order(spark):
+    ages = ["14 MO", "45", "43", "6", "47 MO", "3", "39", "35 MO"]
+    orders = [ages[i:] + ages[:i] for i in range(8)] + [ages[::-1], sorted(ages)]
+    rows = [(k, a, None, None) for k, order in enumerate(orders) for a in order] + [(98, "9" * 30, None, None), (98, "1", None, None), (99, "??", None, None)]
+    df = spark.createDataFrame(rows, "MDR_REPORT_KEY int, PATIENT_AGE string, PATIENT_SEX string, SEQUENCE_NUMBER_OUTCOME string").coalesce(1)
+    got = {r["MDR_REPORT_KEY"]: r["age_years_avg"] for r in build.patient_summary(df).collect()}
+    assert got.pop(99) is None and got.pop(98) == 5e29 and set(got.values()) == {18.0}
+
+
 def test_search_finds_rare_manufacturers(spark):
     makers = spark.range(4200).select(F.concat(F.lit("MAKER "), "id").alias("manufacturer"), F.explode(F.array(F.lit(1), F.lit(2))))
     rows = makers.select("manufacturer").union(spark.createDataFrame([("ZEBRA RARE",)], "manufacturer string")).selectExpr("manufacturer", "'M' as EVENT_TYPE", "2020 as report_year")
