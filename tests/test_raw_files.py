@@ -6,6 +6,8 @@ from vigil.functions import enrich
 from vigil.operators import analyses, build, checks, publish, search, text
 from vigil.operators.build import KEY
 from vigil.operators.cohort import Cohort
+from vigil.plans import stored
+from vigil.plans.lens import Lens
 from vigil.sources import pipe_files as pf
 from vigil.sources.countries import countries
 from vigil.sources.folder import load_folder
@@ -246,6 +248,13 @@ def test_a_mean_age_is_the_same_in_any_order(spark):
     assert got.pop(99) is None and got.pop(98) == 5e29 and set(got.values()) == {18.0}
 
 
+def test_headed_files_are_as_many_as_the_tasks(spark, tmp_path):
+    rows = spark.range(60).repartition(3).selectExpr("concat(id, '|\"a, b\"') as value")
+    stored._named(Lens(spark, str(tmp_path)), rows, str(tmp_path / "raw"), "device2020", "KEY|NAME")
+    texts = [p.read_text().splitlines() for p in (tmp_path / "raw").glob("device2020*.txt")]
+    assert len(texts) == 3 and all(t[0] == "KEY|NAME" for t in texts) and sorted(x for t in texts for x in t[1:]) == sorted(f'{i}|"a, b"' for i in range(60))
+
+
 def test_search_finds_rare_manufacturers(spark):
     makers = spark.range(4200).select(F.concat(F.lit("MAKER "), "id").alias("manufacturer"), F.explode(F.array(F.lit(1), F.lit(2))))
     rows = makers.select("manufacturer").union(spark.createDataFrame([("ZEBRA RARE",)], "manufacturer string")).selectExpr("manufacturer", "'M' as EVENT_TYPE", "2020 as report_year")

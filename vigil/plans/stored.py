@@ -143,9 +143,12 @@ def i03_late(x: Lens) -> DataFrame:
     return store.totals().select(F.lit("code").alias("part"), F.col("code").alias("name"), F.col("n_reports").alias("n")).unionByName(listed.withColumn("part", F.lit("listed"))).unionByName(kept)
 
 
-def _named(x: Lens, rows: DataFrame, folder: str, name: str) -> None:
-    """Writes lines as files of this beginning."""
-    rows.write.text(f"{folder}-parts/{name}")
+def _named(x: Lens, rows: DataFrame, folder: str, name: str, first: str | None = None) -> None:
+    """Writes lines as files of this beginning, as many as there are tasks, each with `first` as its first line."""
+    if first is None:
+        rows.write.text(f"{folder}-parts/{name}")
+    else:  # a CSV of one column, which is named by that line; no line has the separator
+        rows.toDF(first).write.csv(f"{folder}-parts/{name}", header=True, sep="\x01", quote="", escape="", emptyValue="")
     store = files.store_of(x.spark, folder)
     store.mkdirs(files.path_of(x.spark, folder))
     for i, part in enumerate(files.listed(x.spark, f"{folder}-parts/{name}")):
@@ -162,18 +165,14 @@ def s10(x: Lens) -> DataFrame:
     raw = f"{folder}/raw"
     line = lambda *c: F.concat_ws("|", *c).alias("value")
 
-    def headed(rows: DataFrame, first: str) -> DataFrame:
-        both = x.spark.createDataFrame([(0, first)], "at int, value string").union(rows.select(F.lit(1), "value"))
-        return both.repartition(1).sortWithinPartitions("at").select("value")
-
-    _named(x, headed(orders.select(line("o_orderkey", "o_orderstatus")), f"{KEY}|EVENT_TYPE"), raw, "mdrfoi")
+    _named(x, orders.select(line("o_orderkey", "o_orderstatus")), raw, "mdrfoi", f"{KEY}|EVENT_TYPE")
     odd = F.when(F.col("l_quantity") > 40, F.lit("more")).otherwise(F.lit(None))
-    _named(x, headed(lines.select(line("l_orderkey", "l_linenumber", F.lit("name"), odd)), f"{KEY}|DEVICE_EVENT_KEY|BRAND_NAME"), raw, "device2020")
+    _named(x, lines.select(line("l_orderkey", "l_linenumber", F.lit("name"), odd)), raw, "device2020", f"{KEY}|DEVICE_EVENT_KEY|BRAND_NAME")
     _named(x, lines.select(line(F.col("l_orderkey") + 1_000_000, "l_linenumber")), raw, "foidevproblem")
     _named(x, lines.select(line("l_orderkey", F.lit(1), "l_linenumber")), raw, "patientproblemcode")
     _named(x, part.groupBy("p_size").agg(F.min("p_type").alias("t")).select(line("p_size", "t")), raw, "deviceproblemcodes")
     quoted = part.groupBy("p_brand").count().select(F.format_string('"%s","a, b","C1","A1"', "p_brand").alias("value"))
-    _named(x, headed(quoted, '"FDA_CODE","TERM","NCIT_CODE","IMDRF_CODE"'), raw, "patientproblemdata")
+    _named(x, quoted, raw, "patientproblemdata", '"FDA_CODE","TERM","NCIT_CODE","IMDRF_CODE"')
     found = load_folder(x.spark, raw, f"{folder}/staged")
     roles = ("mdr", "device", "device_problem", "patient_problem", "device_dictionary", "patient_dictionary")
     counts = [getattr(found, r).agg(F.count("*").alias("n")).select(F.lit(r).alias("role"), "n") for r in roles]
