@@ -133,7 +133,7 @@ def i03_late(x: Lens) -> DataFrame:
     by_year = lambda: {y: {f.path for t in ("reports", "bridge", "totals") for f in files.listed(x.spark, f"{store.path(t)}/year_bucket={y}")} for y in years}
     years = [r[0] for r in store.table("reports").select("year_bucket").distinct().collect()]  # a row a year
     before = by_year()
-    late = x.patient_problem.filter("PROBLEM_CODE like 'R%'").join(x.some().filter(F.col("report_year").isin(*_LATE_YEARS)).select(KEY), KEY)
+    late = x.patient_problem.filter("PROBLEM_CODE like 'R%'").join(x.some("EVENT_TYPE").filter(F.col("report_year").isin(*_LATE_YEARS)).select(KEY), KEY)
     late.select(F.concat_ws("|", KEY, "PROBLEM_CODE")).write.text(f"{folder}/in")
     read = lambda spark, path: pipe_files.read_problem_codes(spark, path).withColumn(KEY, F.col(KEY).cast("long"))
     store.watch(f"{folder}/in", read, f"{folder}/log").awaitTermination()
