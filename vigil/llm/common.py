@@ -142,11 +142,15 @@ def text_steps(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int,
     """(first row, bytes, offsets) for runs of rows of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
+    column = column.cast(pa.large_binary())
     if not len(column):
         return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    ends = lambda c: np.frombuffer(c.buffers()[1], dtype=np.int64)[c.offset : c.offset + len(c) + 1]
+    offsets = ends(column)
+    if column.null_count and np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        column = column.fill_null(b"")  # a copy of all texts; most writers leave no bytes under a null
+        offsets = ends(column)
+    data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     first = 0
     while first < len(column):

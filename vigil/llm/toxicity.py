@@ -60,12 +60,15 @@ _WORD = byte_class("[0-9A-Za-z]")
 
 def _tokens(column: pa.Array) -> Iterator[tuple]:
     """(first row, rows, document, word before or 0, word) step by step."""
-    for first, buf, offsets in text_steps(pc.utf8_lower(column)):
-        doc, start, end = words(buf, offsets, _WORD)
-        w = span_hash(prefix_sums(buf), start, end).view(np.int64)
-        v = np.concatenate((np.zeros(1, dtype=np.int64), w))[: len(w)]
-        v[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
-        yield first, len(offsets) - 1, doc, v, w
+    # lower-cased step by step, so that no second copy of a whole batch lies beside it
+    for at, buf, offsets in text_steps(column):
+        step = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(buf))
+        for first, buf, offsets in text_steps(pc.utf8_lower(step), len(buf) * 4):
+            doc, start, end = words(buf, offsets, _WORD)
+            w = span_hash(prefix_sums(buf), start, end).view(np.int64)
+            v = np.concatenate((np.zeros(1, dtype=np.int64), w))[: len(w)]
+            v[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
+            yield at + first, len(offsets) - 1, doc, v, w
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -73,31 +76,51 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class _Sums:
-    """Columns of counts (the last `counts`) summed by the first; `add` gives back what grows too large."""
+    """Columns of counts (the last `counts`) summed by the first; `add` gives back what grows too large.
+
+    Rows are summed and given back one column at a time, as copies of all columns are what takes a task's memory.
+    """
 
     def __init__(self, columns: int, counts: int):
-        self.columns, self.counts, self.rows = columns, counts, []
-
-    def add(self, *arrays: np.ndarray) -> Iterator[np.ndarray]:
-        self.rows.append(np.stack(arrays))
-        if sum(r.shape[1] for r in self.rows) > 2 * KEYS:
-            self.rows = [self.all()]
-            if self.rows[0].shape[1] > KEYS:
-                yield self.rows.pop()
-
-    def all(self) -> np.ndarray:
-        if not self.rows:
-            return np.zeros((self.columns + self.counts, 0), dtype=np.int64)
-        held = np.concatenate(self.rows, axis=1)
-        _, at, code = np.unique(held[0], return_index=True, return_inverse=True)
-        sums = [np.bincount(code, weights=c, minlength=len(at)).astype(np.int64) for c in held[self.columns :]]
-        return np.stack([*held[: self.columns, at], *sums])
-
-
-def _batch(columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Rows sorted by word and word before, so that equal words lie side by side."""
+        self.columns, self.rows = columns, [[] for _ in range(columns + counts)]
+        self.n = 0
+
+    def add(self, *arrays: np.ndarray) -> Iterator[list[np.ndarray]]:
+        for held, array in zip(self.rows, arrays, strict=True):
+            held.append(array)
+        self.n += len(arrays[0])
+        if self.n > 2 * KEYS:
+            self._sum()
+            if self.n > KEYS:
+                yield self.all()
+
+    def _sum(self) -> None:
+        if not self.n:
+            return
+        keys = np.concatenate(self.rows[0])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        self.n, self.rows[0] = len(at), [keys[at]]
+        del keys
+        for i in range(1, len(self.rows)):
+            column = np.concatenate(self.rows[i])
+            self.rows[i] = []
+            column = column[order]
+            self.rows[i] = [column[at] if i < self.columns else np.add.reduceat(column, at)]
+
+    def all(self) -> list[np.ndarray]:
+        """The sums, which are held no longer."""
+        self._sum()
+        out = [held[0] if held else np.zeros(0, dtype=np.int64) for held in self.rows]
+        self.n, self.rows = 0, [[] for _ in self.rows]
+        return out
+
+
+def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """Rows sorted by word and word before, so that equal words lie side by side. The columns are used up."""
     order = np.lexsort((columns[0], columns[1]))
-    return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names)
+    return pa.RecordBatch.from_arrays([pa.array(columns.pop(0)[order]) for _ in names], names)
 
 
 def pairs(texts: DataFrame) -> DataFrame:
@@ -115,7 +138,8 @@ def pairs(texts: DataFrame) -> DataFrame:
                 t = toxic[first + each // m] > 0
                 counts = [np.bincount(each[x] % m, minlength=len(keys)) for x in (t, ~t)]
                 for full in sums.add(keys, v[at], w[at], *counts):
-                    yield _batch(full[1:], names)
+                    del full[0]
+                    yield _batch(full, names)
         yield _batch(sums.all()[1:], names)
 
     rows = texts.select("text", "toxic").mapInArrow(gather, ", ".join(f"{c} long" for c in names))
@@ -137,8 +161,9 @@ def shares(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 n = np.bincount(each, minlength=len(keys))
                 mine = _found(held.value, keys)[1] if held else np.ones(len(keys), dtype=bool)
                 for full in sums.add(keys[mine], n[mine]):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, full), pa.nulls(full.shape[1], pa.int64())], ["w", "n", "total"])
-        yield pa.RecordBatch.from_arrays([*map(pa.array, sums.all()), pa.nulls(sums.all().shape[1], pa.int64())], ["w", "n", "total"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, full), pa.nulls(len(full[0]), pa.int64())], ["w", "n", "total"])
+        rest = sums.all()
+        yield pa.RecordBatch.from_arrays([*map(pa.array, rest), pa.nulls(len(rest[0]), pa.int64())], ["w", "n", "total"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total])], ["w", "n", "total"])
 
     counted = saved(docs.select("text").mapInArrow(gather, "w long, n long, total long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
