@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from vigil.operators import analyses, build, publish
+from vigil.operators import analyses, build, publish, text
 from vigil.operators.build import KEY
 from vigil.operators.cohort import Cohort, eligible
 from vigil.plans import queries
@@ -69,3 +69,10 @@ def test_first_devices_where_parts_are_missing_or_twofold(spark):
     x, shown = Odd(spark, FOLDER), (KEY, "DEVICE_EVENT_KEY", "l_partkey", "l_suppkey", "BRAND_NAME", "MANUFACTURER_D_NAME", "DEVICE_AGE_TEXT")
     few, all_lines = (sorted(map(tuple, build.first_device(d).select(*shown).collect())) for d in (x.first(), x.device))
     assert few and few == all_lines
+
+
+def test_phrases_take_words_by_place(spark):
+    df = spark.createDataFrame([("pump alarm pump alarm",), ("pump",), ("",), (None,), ("Alarm, pump!",)], "t string")
+    counts = text.counted(df, "t", (2, 3))
+    assert {(r["term"], r["n_words"]): r["n"] for r in counts.collect()} == {("pump alarm", 2): 2, ("alarm pump", 2): 2, ("pump alarm pump", 3): 1, ("alarm pump alarm", 3): 1}
+    assert "slice(" not in counts._jdf.queryExecution().optimizedPlan().toString()  # a pass over the whole text for each run

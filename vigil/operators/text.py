@@ -31,8 +31,9 @@ def tokens(text: Column, extra: tuple[str, ...] = ()) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """Each word with the n - 1 after it. Words are taken by place: slice() turns the whole array over for each run."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
 
 
 def counted(texts: DataFrame, column: str, sizes: tuple[int, ...], extra: tuple[str, ...] = ()) -> DataFrame:
