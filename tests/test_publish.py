@@ -95,6 +95,21 @@ def test_search_reads_the_row_groups_of_its_stems(spark, tmp_path):
     assert [r["k"] for r in text.bm25(df, "k", "t", "pumps,", 500).collect()] != [] and text.bm25(df, "k", "t", "pump,", 500).count() == text.bm25(df, "k", "t", "pump", 500).count()
 
 
+def test_index_splits_each_text_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, "pump pumps alarm"), (1, "pump pumps alarm"), (2, ""), (3, None), (4, "the a")]
+    text.write_index(spark.createDataFrame(rows, "k long, t string").mapInArrow(look, "k long, t string"), "k", "t", str(tmp_path / "i"))
+    assert seen.value == len(rows)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "i/facts")).select("docs", "mean").collect()] == [(4, 1.5)]
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "i/postings")).select("stem", "key", "length", "f").collect()} == {("pump", 1, 3, 4), ("alarm", 1, 3, 2)}
+
+
 def test_manifest_counts_undated_rows(spark, tmp_path):
     reports(spark, 8).coalesce(1).write.parquet(str(tmp_path / "t"))
     row = publish.manifest(spark, str(tmp_path / "t")).first()

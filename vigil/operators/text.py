@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +85,16 @@ def write_index(texts: DataFrame, key: str, column: str, path: str) -> None:
     """A search index as two tables: `postings` (stem, key, f, length), sorted by stem so that a search reads the row
     groups of its stems alone, and `facts` (docs, mean), one row. The stemmer sees each distinct word once."""
     words = texts.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), tokens(F.col(column)).alias("w"))
-    words.select(F.size("w").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/facts")
-    counts = words.select("key", F.size("w").alias("length"), F.explode("w").alias("word")).groupBy("key", "length", "word").agg(F.count("*").alias("f"))
-    stems = stemmed(counts.select("word").distinct(), "word", "stem")
+    # an empty word stands for the text itself; kept while it is read, so that texts are split and their words summed once
+    each = words.select("key", F.size("w").alias("length"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("word"))
+    counts = each.groupBy("key", "length", "word").agg(F.count("*").alias("f")).persist(StorageLevel.DISK_ONLY)
+    texts_ = counts.filter("word = ''").agg(F.coalesce(F.sum("f"), F.lit(0)).alias("docs"), (F.sum(F.col("f") * F.col("length")) / F.sum("f")).alias("mean"))
+    texts_.write.mode("overwrite").parquet(f"{path}/facts")
+    stems = stemmed(counts.select("word").filter("word <> ''").distinct(), "word", "stem")
     postings = counts.join(stems, "word").groupBy("stem", "key", "length").agg(F.sum("f").alias("f"))
     ordered = postings.repartitionByRange("stem", "key").sortWithinPartitions("stem", "key")
     ordered.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+    counts.unpersist()
 
 
 def search_index(spark: SparkSession, path: str, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
